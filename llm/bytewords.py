@@ -18,7 +18,10 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything of ASCII that is neither letter nor digit.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64) + _U(1)
+_KEPT = _LOWER.copy()
 _LOWER[65:91] += _U(32)
 
 
@@ -71,11 +74,11 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         row = end
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first word (one more entry at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    space = _SPACE[data]
+    space = separators[data]
     before = np.empty(len(data) + 1, dtype=bool)
     before[0] = True
     before[1:] = space
@@ -90,14 +93,14 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words with A-Z lower-cased."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the words, with A-Z lower-cased or as they are."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     up, down = _POWERS.get(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_LOWER[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_LOWER if lower else _KEPT)[data] * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64))
 

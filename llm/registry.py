@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from .bpe_stream import op6_bpe_stream
+from .ftrl_toxicity import op4_toxicity
 from .jaccard_join import op1_jaccard_join
+from .sharding import OP2_SQL, op2_sharding
+from .token_codes import op3_token_codes
+from .zstd_quality import op10_zstd_quality
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_sharding": op2_sharding,
+    "op3_token_codes": op3_token_codes,
+    "op4_toxicity": op4_toxicity,
+    "op6_bpe_stream": op6_bpe_stream,
+    "op10_zstd_quality": op10_zstd_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": OP2_SQL,
+}
