@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .bpe_stream import op6_bpe_stream
+from .chat_format import OP8_SQL, op8_chat_format
+from .decontaminate import op5_decontaminate
 from .ftrl_toxicity import op4_toxicity
 from .jaccard_join import op1_jaccard_join
+from .quality_rules import op7_quality_rules
+from .secrets_forest import op9_secret_scan
 from .sharding import OP2_SQL, op2_sharding
 from .token_codes import op3_token_codes
 from .zstd_quality import op10_zstd_quality
@@ -14,10 +18,15 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_token_codes": op3_token_codes,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op6_bpe_stream": op6_bpe_stream,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_chat_format": op8_chat_format,
+    "op9_secret_scan": op9_secret_scan,
     "op10_zstd_quality": op10_zstd_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": OP2_SQL,
+    "op8_chat_format": OP8_SQL,
 }
