@@ -1,15 +1,70 @@
-"""Corpus cleaning as a chain of stages, each over all that the one before kept."""
+"""Corpus cleaning as a chain of stages, each over all that the one before kept.
+
+1 quality      documents that the compression classifier rejects go
+2 near_copies  of each group of linked documents (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays
+3 benchmarks   documents that hold a benchmark item, also a re-parameterised one, go
+4 secrets      secrets in texts are masked; all documents stay
+5 tokens       texts become BPE ids
+
+Each stage but the last returns the columns of documents.  Null and empty texts
+pass stages 2 to 5 unchanged; an empty table stays one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm.bpe_stream import bpe_round_trip
+from llm.decontaminate import contaminated
+from llm.jaccard_join import BROADCAST_IDS, jaccard_join
+from llm.secrets_forest import mask_secrets
+from llm.store import saved, table
+from llm.zstd_quality import fit, with_score
+
+#: The classifier rejects a document when bad text is likelier than good.
+REJECT_BELOW = 0.5
+
+
+def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``docs`` but for the ids (doc_id); a short list of them is broadcast, a long one joined by a shuffle."""
+    ids = saved(ids.distinct(), label)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return with_score(docs, model).where(F.col("score") >= REJECT_BELOW).drop("score").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join(docs, n=5, percent=80)
+    return _without(docs, groups.where("component_id != doc_id").select("doc_id"), "copies")
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    masked = mask_secrets(docs)
+    return masked if length is None else masked.withColumn("n_chars", length)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_copies", near_copies), ("benchmarks", benchmarks), ("secrets", secrets), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
