@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .operators import detectors, documents, lexical, policies
+from .plans.registered import duck_sql, spark_query
+
+OPS = detectors.OPS | lexical.OPS | documents.OPS | policies.OPS
+QUERIES = {name: spark_query(sql) for name, sql in OPS.items()}
+ORACLE_SQL = {name: duck_sql(sql) for name, sql in OPS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Findings of the vocabulary by document and kind."""
+    return QUERIES["lex2_spelling"](spark, sf_dir)
