@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import detectors, documents, lexical, policies
+from .operators import detectors, documents, engine, lexical, policies
 from .plans.registered import duck_sql, spark_query
 
 OPS = detectors.OPS | lexical.OPS | documents.OPS | policies.OPS
-QUERIES = {name: spark_query(sql) for name, sql in OPS.items()}
-ORACLE_SQL = {name: duck_sql(sql) for name, sql in OPS.items()}
+QUERIES = {name: spark_query(sql) for name, sql in OPS.items()} | engine.QUERIES
+ORACLE_SQL = {name: duck_sql(sql) for name, sql in OPS.items()} | engine.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
