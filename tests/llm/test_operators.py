@@ -1,0 +1,343 @@
+"""Edge cases, brute force, round trips and held-out accuracy of the training-data operators."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, key string, score string"
+#: Nulls, empty and blank texts, repeated rows, ties, a long text, and columns that clash with the operators' own.
+EDGE = [
+    (1, None, "k", "x"),
+    (2, "", "k", "x"),
+    (3, " \t\n ", None, None),
+    (4, "one two", "k", "x"),
+    (5, "one two", "k", "x"),
+    (6, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi", None, "x"),
+    (7, "Alpha BETA gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi", None, "x"),
+    (8, "word " * 4000, "k", "x"),
+    (9, "é́ÉΣ<|endoftext|> don't\x00 12½ 漢字 👍🏽", "k", "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(EDGE, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def prose(r, n):
+    return [r.choice("an be co de en fo ga hi in ja ko la me no on pa re so ta un".split()) + r.choice("ra ti lo me su".split()) for _ in range(n)]
+
+
+# 1 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, k, percent):
+    sets = {}
+    for d, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    comp = {d: d for d in sets}
+    ids = sorted(sets)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(comp[a], comp[b])
+            changed |= comp[a] != m or comp[b] != m
+            comp[a] = comp[b] = m
+    return {d: (len(s), comp[d]) for d, s in sets.items()}
+
+
+def test_jaccard_join_against_brute_force(spark, monkeypatch):
+    from llm import jaccard_join as jj
+
+    # Small limits, so that regions are split by pivots and joined on difference sets.
+    monkeypatch.setattr(jj, "LEAF", 6)
+    monkeypatch.setattr(jj, "ORDER_COUNT", 4)
+    monkeypatch.setattr(jj, "SLICE", 8)
+    r = random.Random(5)
+    bases = [prose(r, n) for n in (60, 60, 90)]
+    rows = []
+    for d in range(150):
+        w = list(bases[d % 3]) if d % 5 else prose(r, 50)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3, 4])):
+            w[r.randrange(len(w))] = r.choice(["new", "other", "odd", f"x{d % 11}"])
+        rows.append((d, " ".join(w)))
+    rows += [(d, t) for d, t, *_ in [(x[0] + 1000, *x[1:]) for x in EDGE]]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_jaccard_join_edge_cases(spark, edge, empty):
+    from llm.jaccard_join import jaccard_join
+
+    got = by_id(jaccard_join(edge, 4, 85))
+    assert {d: got[d].component_id for d in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9}
+    assert got[1].n_shingles == 0 and got[4].n_shingles == 1 and got[8].n_shingles == 1
+    assert jaccard_join(empty).count() == 0
+    twice = jaccard_join(edge.union(edge), 4, 85)
+    assert by_id(twice)[5].component_id == 4 and twice.count() == len(EDGE)
+
+
+def test_components_of_a_long_chain(spark):
+    from llm.jaccard_join import components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 101)], "a long, b long")
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+# 2 --------------------------------------------------------------------------------------------------------------
+
+
+def test_sharding(spark, edge, empty):
+    from llm.sharding import shard_by_bytes
+
+    for shards in (3, 8, 50):
+        rows = sorted(shard_by_bytes(edge.union(edge), shards).collect(), key=lambda r: (r.doc_id, r.shard, r.slot))
+        assert len(rows) == 2 * len(EDGE) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+        total, texts = sum(r.size for r in rows), {x[0]: x[1] or "" for x in EDGE}
+        start, slots = 0, {}
+        for r in rows:
+            assert r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+            assert r.shard == start * shards // total and r.slot == slots.get(r.shard, 0)
+            slots[r.shard] = r.slot + 1
+            start += r.size
+    assert shard_by_bytes(empty).count() == 0
+
+
+# 3 and 6 ----------------------------------------------------------------------------------------------------------
+
+
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_token_codes_round_trip(spark, edge, empty):
+    from llm.token_codes import read_codes, write_codes
+
+    path, tok = library()
+    got, start = by_id(read_codes(write_codes(edge, path, 2))), 0
+    for d, text, *_ in EDGE:
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+        crc = zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), crc)
+        start += len(ids)
+    assert read_codes(write_codes(empty, path, 2)).count() == 0
+
+
+def test_block_gives_any_token():
+    import numpy as np
+
+    from llm.token_codes import Block, encode_block
+
+    r = np.random.default_rng(1)
+    ids = np.concatenate([r.integers(0, 300, 700), r.integers(0, 1 << 31, 700), [0, 255, 256, 65535, 65536]])
+    block = Block(encode_block(ids, np.array([0, 5, 5, len(ids)])))
+    for _ in range(200):
+        i, j = sorted(r.integers(0, len(ids) + 1, 2).tolist())
+        assert (block.tokens(i, j) == ids[i:j]).all()
+    assert block.document(0).tolist() == ids[:5].tolist() and len(block.document(1)) == 0
+    assert len(Block(encode_block(ids[:0], np.array([0, 0]))).document(0)) == 0
+
+
+def test_bpe_stream_is_the_library(spark, edge, empty):
+    from llm.bpe_stream import TextDecoder, Transducer, bpe_round_trip
+
+    path, tok = library()
+    got = by_id(bpe_round_trip(edge, path))
+    for d, text, *_ in EDGE:
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        decoded = tok.decode(ids, skip_special_tokens=False).encode()
+        assert (got[d].n_tokens, got[d].ids_sha256, got[d].decoded_sha256) == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest())
+    assert bpe_round_trip(empty, path).count() == 0
+    coder, r = Transducer(path), random.Random(3)
+    for n in (1, 5, 300, 3000):
+        word = "".join(r.choice("theraning") for _ in range(n))
+        cuts = [word[i : i + 7] for i in range(0, n, 7)]
+        assert list(coder.word(cuts)) == tok.encode(word, add_special_tokens=False).ids
+    decoder, ids = TextDecoder(coder), list(coder.pieces("thé 漢 wörld"))
+    assert "".join(decoder.feed([i]) for i in ids) + decoder.finish() == "thé 漢 wörld "
+
+
+# 4 and 10 ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    r = random.Random(9)
+    rows, labels = [], []
+    for d in range(600):
+        w = prose(r, 80)
+        toxic, good = int(d % 4 == 0), int(d % 3 != 0)
+        if toxic:
+            w[r.randrange(80)] = r.choice(["scoundrel", "villain!"])
+        if not good:
+            w = [x for x in w[:10] for _ in range(8)]
+            if toxic:
+                w[5] = "villain"
+        rows.append((d, " ".join(w)))
+        labels.append((d, good, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {d: (g, t) for d, g, t in labels}
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_classifiers_on_held_out_rows(kind, spark, labelled, edge, empty):
+    from llm.ftrl_toxicity import toxicity
+    from llm.zstd_quality import quality
+
+    docs, labels, truth = labelled
+    run = (quality, toxicity)[kind]
+    got = run(docs, labels).collect()
+    assert len(got) == 600 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id][kind] for r in held) >= 0.9 * len(held)
+    assert len(run(edge, labels).collect()) == len(EDGE) and run(empty, labels).count() == 0
+    assert {r.score for r in run(edge, labels.where("false")).collect()} == {0.5}
+
+
+# 5 --------------------------------------------------------------------------------------------------------------
+
+
+def test_decontamination(spark, edge, empty):
+    from llm.decontaminate import contaminated
+
+    r = random.Random(2)
+    items = [(i, " ".join(prose(r, 30))) for i in range(6)]
+    items += [(90, "In March Alice bought 3 apples and 4 kg of pears for 3 dollars at the market near Paris today"), (91, None), (92, "too short"), (93, "five words make one window")]
+    filler = lambda: " ".join(prose(r, 40))
+    docs = [(i, f"{filler()}. {items[i % 6][1].upper() if i % 2 else items[i % 6][1]} {filler()}") for i in range(12)]
+    docs += [(20, "In March Carol bought 5 apples and 7 miles of pears for 5 dollars at the market near Rome today"), (21, "In March Carol bought 5 apples and 7 kg of pears for 6 dollars at the market near Rome today")]
+    docs += [(22, filler()), (23, "now five words make one window here"), (24, None), (25, ""), (26, " ".join(items[0][1].split()[:9]) + " " + filler())]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [*((i, i % 6) for i in range(12)), (20, 90), (23, 93)]
+    assert {x.doc_id for x in got if x.reworded} == {20}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert contaminated(edge, bench).count() == 0 and contaminated(empty, bench).count() == 0 and contaminated(edge, bench.where("false")).count() == 0
+
+
+# 7 --------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_rules_against_brute_force(spark, edge, empty):
+    from llm.quality_rules import quality_rules
+
+    r = random.Random(4)
+    texts = [" ".join(prose(r, n)) for n in (0, 5, 19, 20, 200)]
+    texts += ["\n".join(["a b c", "", " ", "a b c", "Ünï #$ <x>"] * 9), " ".join(prose(r, 12) * 6), "".join(chr(33 + r.randrange(90)) for _ in range(3000)), "ha " * 500]
+    rows = [(i, t, None, None) for i, t in enumerate(texts, 100)] + EDGE
+    got = by_id(quality_rules(spark.createDataFrame(rows, SCHEMA)))
+    for d, text, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        twice = {w for w in windows if windows.count(w) > 1} if len(windows) < 500 else set(windows)
+        repeated = len({j for i, w in enumerate(windows) if w in twice for j in range(i, i + 8)})
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        expected = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), repeated)
+        x = got[d]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == expected
+        assert x.base_failed == (len(words) < 20 or 100 * repeated > 30 * len(words)) and not (x.kept and x.base_failed)
+    assert got[103].kept and got[104].kept and not got[107].kept and not got[108].kept
+    assert quality_rules(empty).count() == 0
+
+
+# 8 --------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_folding_and_template(spark):
+    from llm.chat_format import digests, escape, events_of, fold, parse, render, unescape
+
+    for text in ("<|im_end|>", "<\\|x|>", "<\\\\|", "plain < | \\", "<|<|<\\|"):
+        assert unescape(escape(text)) == text and "<|" not in escape(text)
+    log = [
+        (1, 0, 1, 0, "open", "user", ""), (1, 0, 1, 1, "delta", None, "hel"), (1, 0, 1, 2, "delta", None, "lo"),
+        (1, 1, 1, 3, "open", "assistant", ""), (1, 1, 1, 4, "delta", None, "bad"), (1, 2, 1, 5, "open", "user", "gone"),
+        (1, 1, 1, 6, "regenerate", None, ""), (1, 1, 1, 7, "delta", None, "good"), (1, 0, 1, 8, "edit", None, "hi"), (1, 2, 1, 9, "open", "user", "new"),
+    ]
+    events = spark.createDataFrame(log, "conv_id long, turn long, part int, seq long, kind string, role string, text string")
+    rows = sorted(render(fold(events)).collect(), key=lambda r: r.turn)
+    assert [parse(r.formatted) for r in rows] == [("user", "hi"), ("assistant", "good"), ("user", "new")]
+    assert [r.formatted[r.loss_start : r.loss_start + r.loss_length] for r in rows] == ["", "good", ""]
+    talk = [(1, 0, "user", None), (1, 1, "assistant", "<|im_end|>é"), (1, 1, "assistant", "<|im_end|>é"), (2, 0, None, ""), (2, 1, "we\nird", "x" * 2000)]
+    got = {r.conv_id: r for r in digests(render(fold(events_of(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))))).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[2].n_turns, got[2].loss_chars) == (3, 22, 2, 0)
+    assert got[1].turns_sha256 == hashlib.sha256("user\n\n".encode() + "assistant\n<|im_end|>é\n".encode() * 2).hexdigest()
+    assert got[2].turns_sha256 == hashlib.sha256(("\n\n" + "we\nird\n" + "x" * 2000 + "\n").encode()).hexdigest()
+    assert digests(render(fold(events_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))))).count() == 0
+
+
+# 9 --------------------------------------------------------------------------------------------------------------
+
+
+def test_secrets(spark, edge, empty):
+    from llm.secrets_forest import MASK, default_forest, features, labelled_findings, mask_secrets, scan_secrets
+
+    import numpy as np
+
+    fresh = labelled_findings(1500, seed=1234)
+    scores = default_forest().score(np.array([features(t, a, b) for t, a, b, _ in fresh]))
+    assert ((scores >= 0.5) == np.array([v for *_, v in fresh], dtype=bool)).mean() > 0.97
+    secret = "186661156f3f9905942d70850a01cbf23a203f82"
+    rows = [(1, f'é token = "{secret}" é token = "{secret}"'), (2, f"commit {secret}"), (3, "9807915762804490 and 97.51.17.173"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.start, r.length) for r in scan_secrets(docs).collect()) == [(1, 11, 40), (1, 64, 40)]
+    masked = by_id(mask_secrets(docs))
+    assert masked[1].text == f'é token = "{MASK}" é token = "{MASK}"' and masked[2].text == rows[1][1] and masked[4].text is None
+    assert scan_secrets(edge).count() == 0 and mask_secrets(empty).count() == 0 and mask_secrets(edge).columns == edge.columns
+
+
+# pipeline ---------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_against_its_parts(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    _, tok = library()
+    r = random.Random(8)
+    texts, labels = {}, []
+    for d in range(160):
+        w = prose(r, 60)
+        if d % 4 == 3:
+            w = [x for x in w[:6] for _ in range(10)]
+        texts[d] = " ".join(w)
+        labels.append((d, int(d % 4 != 3), 0))
+    item = " ".join(prose(r, 25))
+    texts[200] = texts[0] + " tail"
+    texts[201] = " ".join(prose(r, 30)) + ". " + item
+    secret = "186661156f3f9905942d70850a01cbf23a203f82"
+    texts[202] = " ".join(prose(r, 60)) + f' token = "{secret}" end'
+    rows = [(d, t, "en", "s", len(t)) for d, t in texts.items()]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = docs
+    for _, stage in cp.STAGES[:-1]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == docs.columns
+    good = {d for d in range(160) if d % 4 != 3}
+    out = {x.doc_id: x for x in cp.run(spark, folder).collect()}
+    assert not set(out) & {200, 201} and len(set(out) & good) >= 0.95 * len(good) and len(set(out) - good - {202}) <= 2
+    expected = texts[202].replace(secret, "<secret>")
+    assert bytes(out[202].ids) == b"".join(i.to_bytes(4, "little") for i in tok.encode(expected, add_special_tokens=False).ids)
+    assert cp.STAGES[3][1](spark, docs, folder).where(F.col("n_chars") != F.length("text")).count() == 0
