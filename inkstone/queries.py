@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import detectors, documents, engine, lexical, policies
+from .operators import detectors, documents, engine, lexical, policies, reports
 from .plans.registered import duck_sql, spark_query
 
-OPS = detectors.OPS | lexical.OPS | documents.OPS | policies.OPS
+OPS = detectors.OPS | lexical.OPS | documents.OPS | policies.OPS | reports.OPS
 QUERIES = {name: spark_query(sql) for name, sql in OPS.items()} | engine.QUERIES
 ORACLE_SQL = {name: duck_sql(sql) for name, sql in OPS.items()} | engine.ORACLE_SQL
 
