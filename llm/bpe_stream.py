@@ -44,7 +44,7 @@ from .token_memo import PieceMemo, byte_alphabet, lowered, plain_word
 #: Symbols read between two looks for stable tokens.
 STEP = 256
 #: Pairs whose adjacency is remembered.
-PAIR_MEMO = 200_000
+PAIR_MEMO = 100_000
 _NEVER = 1 << 60
 
 

@@ -9,11 +9,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
+#: Bytes in an Arrow batch of texts, where the session has the default of 64 MB; buffers of both sides stay small.
+_BATCH, _BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH, "") == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, _BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,18 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table, read by Spark alone."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def empty_like(schema: str | StructType) -> pa.Schema:
-    """The Arrow schema of a Spark schema, for building result batches."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)

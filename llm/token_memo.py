@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces kept in each generation (about 60 MB).
-MEMO_PIECES = 300_000
+#: Pieces kept in each generation (about 30 MB).
+MEMO_PIECES = 150_000
 #: Longer pieces are encoded anew each time.
 MEMO_LENGTH = 48
 _TAIL = b".,;:!?*#$%&|"
