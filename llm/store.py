@@ -17,7 +17,7 @@ _BATCH, _BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBat
 
 
 def small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(_BATCH, "") == _BATCH_DEFAULT:
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH, _BATCH_BYTES)
 
 
