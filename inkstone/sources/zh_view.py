@@ -19,11 +19,11 @@ SLOTS = (
     ("is", "他進行研究。他加以分析。他們離開了。"),
     ("that", "不只是速度，而是質量。"),
     ("it", "可能，也許，大概，或許。意味著改變。隨著科技的不斷發展，"),
-    ("was", "——用戶——信息——"),
-    ("for", "最重要的城市之一。"),
-    ("on", "因為下雨，所以取消。"),
-    ("are", "根據報告顯示，大家都知道的問題的情況的發生，說實話？"),
-    ("with", "對數據進行分析，"),
+    ("was", "——用戶——信息——軟體和網路，好:的"),
+    ("for", "最重要的城市之一。標誌著新的時代。"),
+    ("on", "因為下雨，所以取消。儘管面臨挑戰，仍將繼續前進。"),
+    ("are", "根據報告顯示，大家都知道的問題的整個情況，說實話？"),
+    ("with", "對數據進行分析，核心：不是速度，而是質量。"),
     ("as", "做出了決定。他吃了和我說了，他是好，影響到了。"),
     ("at", "“視頻”這是一段沒有任何停頓並且長達三十個字以上而且還在繼續說下去的句子所以讀起來真的非常累人。"),
     ("be", "被使用，被廣泛採用，被看見。他去了。他來了。他走了。\n- 請打開\n- 請關閉\n- 請離開\n"),
@@ -55,11 +55,11 @@ SLOTS = (
     ("und", "，可能，也許，大概，"),
     ("zu", "高興的跑，慢慢的走，"),
     ("den", "在2024年曾已去過了。"),
-    ("das", "不是結束，而是開始。"),
-    ("ein", "到底為什麼？因為愛。"),
-    ("eine", "\n# 總結與展望\n"),
+    ("das", "不是結束，而是開始。\n\n被看見被發現被使用，被記住被忘記的人被找到。\n\n"),
+    ("ein", "到底為什麼？因為愛。由此可見。\n\n"),
+    ("eine", "\n# 總結與展望：軟件\n"),
     ("von", "\n- **重點**：說明\n- **結論**：說明\n- **方法**：說明\n"),
-    ("ist", "希望對你有幫助。"),
+    ("ist", "希望對你有幫助。\n\n# 結論\n"),
     ("im", "​零寬"),
     ("el", "……等等「未閉合"),
     ("los", "好（說明)與(備註)的"),
