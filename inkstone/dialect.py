@@ -33,6 +33,11 @@ class Spark:
         """(keep, ord from 0, item) of an array column of a relation."""
         return f"(SELECT {keep}, pos AS ord, col AS item FROM (SELECT {keep}, posexplode({array}) FROM {source}))"
 
+    def rows(self, source: str, keep: str, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        """Several rows of expressions for each row of a relation, in one scan."""
+        body = ", ".join("struct(" + ", ".join(f"{v} AS {n}" for v, n in zip(r, names)) + ")" for r in rows)
+        return f"(SELECT {keep}, r.* FROM (SELECT {keep}, explode(array({body})) AS r FROM {source}))"
+
     def split(self, text: str, mark: str) -> str:
         return f"split({text}, {self.lit(mark)})"
 
@@ -82,6 +87,10 @@ class Duck(Spark):
     def explode(self, source: str, array: str, keep: str = "doc_id") -> str:
         return f"(SELECT {keep}, unnest(range(len(a))) AS ord, unnest(a) AS item FROM (SELECT {keep}, {array} AS a FROM {source}))"
 
+    def rows(self, source: str, keep: str, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        body = ", ".join("{" + ", ".join(f"'{n}': {v}" for v, n in zip(r, names)) + "}" for r in rows)
+        return f"(SELECT {keep}, r.* FROM (SELECT {keep}, unnest([{body}]) AS r FROM {source}))"
+
     def split(self, text: str, mark: str) -> str:
         return f"string_split({text}, {self.lit(mark)})"
 

@@ -55,8 +55,9 @@ def orphan_lines(pattern: str, least: int):
 
 def ai6(d: Spark, t: Names) -> str:
     """Phrase density: phrases beyond their rate per 1,000 characters in texts of 500 characters or more."""
-    parts = " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase, {th} AS threshold, {d.count('zh', p)} AS n, length(zh) AS chars FROM {t.zh}" for p, th in lx.DENSITY)
-    return f"SELECT doc_id, phrase, n, round(n * 1000.0 / chars, 6) AS per_1000 FROM ({parts}) WHERE chars >= 500 AND n * 1000.0 / chars > threshold"
+    found = [(f"'{p}'", f"cast({th} AS double)", d.count("zh", p)) for p, th in lx.DENSITY]
+    rows = d.rows(f"(SELECT doc_id, zh, length(zh) AS chars FROM {t.zh})", "doc_id, chars", ("phrase", "threshold", "n"), found)
+    return f"SELECT doc_id, phrase, n, round(n * 1000.0 / chars, 6) AS per_1000 FROM {rows} WHERE chars >= 500 AND n * 1000.0 / chars > threshold"
 
 
 def ai8(d: Spark, t: Names) -> str:
@@ -122,8 +123,8 @@ def ai37(d: Spark, t: Names) -> str:
 
 def sc3(d: Spark, t: Names) -> str:
     """Punctuation profile: count, density and coefficient of variation of the gaps, for marks with nine gaps or more."""
-    parts = " UNION ALL ".join(f"SELECT doc_id, '{m}' AS mark, length(zh) AS chars, {d.split('zh', m)} AS parts FROM {t.zh}" for m in "，。；、")
-    key = f"(SELECT doc_id, mark, chars, {d.size('parts')} - 1 AS n, parts FROM ({parts}))"
+    rows = d.rows(f"(SELECT doc_id, zh, length(zh) AS chars FROM {t.zh})", "doc_id, chars", ("mark", "parts"), [(f"'{m}'", d.split("zh", m)) for m in "，。；、"])
+    key = f"(SELECT doc_id, mark, chars, {d.size('parts')} - 1 AS n, parts FROM {rows})"
     exploded = f"(SELECT doc_id, mark, chars, n, posexplode(parts) AS (ord, item) FROM {key})" if d.name == "spark" else f"(SELECT doc_id, mark, chars, n, unnest(range(len(parts))) AS ord, unnest(parts) AS item FROM {key})"
     return f"""SELECT doc_id, mark, max(n) AS n, round(max(n) * 1000.0 / max(chars), 6) AS per_1000, round(stddev_pop(length(item) + 1) / avg(length(item) + 1), 6) AS cv
       FROM {exploded} WHERE ord > 0 AND ord < n GROUP BY doc_id, mark HAVING count(*) >= 9"""
