@@ -17,7 +17,9 @@ _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,2000}>", re.S)
 _FRONT = re.compile(r"\A---[ \t]*\n.*?^---[ \t]*$", re.S | re.M)
 _YAML_KEY = re.compile(r"(?m)^[ \t]*(?:- )?[\w][\w.\-]*[ \t]*:")
 _PLACEHOLDER = re.compile(r"\\u[0-9a-fA-F]{4}|\\.|\$?\{\{?[^{}\n]{1,64}\}?\}|\$t\([^()\n]{1,64}\)|%[\d$.\-+ ]*[sdifxg]")
+#: Fixed value: the prefix of suppression comments.
 _SUPPRESS = re.compile(r"(?:<!--|//|#)[ \t]*zhtw:[ \t]*(disable-line|disable-next-line|disable|enable)\b")
+#: Primary language subtags that count as Chinese, and elements by the rules of HTML.
 CHINESE = frozenset("zh cmn yue wuu nan hak gan lzh cdo cjy cpx czh czo hsn mnp csp cnp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title"))

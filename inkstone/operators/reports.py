@@ -115,8 +115,11 @@ def exc14(d: Spark, t: Names) -> str:
 
 
 def exc17(d: Spark, t: Names) -> str:
-    """Suppression comments by line, with whether the next line is switched off."""
-    return f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, item, lag(item) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM {lines(d, t.zh)}) WHERE {d.has(chr(99) + 'oalesce(before, ' + chr(39) * 2 + ')', '^#')} GROUP BY doc_id"
+    """Lines that comments switch off: their own line, or the next one."""
+    mark = "(<!--|//|#)[ ]*zhtw:[ ]*disable"
+    lined = f"(SELECT doc_id, item, coalesce(lag(item) OVER (PARTITION BY doc_id ORDER BY ord), '') AS before FROM {lines(d, t.zh)})"
+    own, following = d.has("item", mark + "-line"), d.has("before", mark + "-next-line")
+    return f"SELECT doc_id, count(*) AS n FROM {lined} WHERE {own} OR {following} GROUP BY doc_id"
 
 
 def seg8(d: Spark, t: Names) -> str:

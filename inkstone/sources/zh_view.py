@@ -60,7 +60,7 @@ SLOTS = (
     ("eine", "\n# 總結與展望：軟件\n"),
     ("von", "\n- **重點**：說明\n- **結論**：說明\n- **方法**：說明\n"),
     ("ist", "希望對你有幫助。\n\n# 結論\n"),
-    ("im", "​零寬"),
+    ("im", "​零寬\n// zhtw:disable-next-line\n軟件\n"),
     ("el", "……等等「未閉合"),
     ("los", "好（說明)與(備註)的"),
     ("las", "１２３ｋｍ"),
