@@ -11,7 +11,9 @@ representative.  The join then works on regions:
 * A small region is joined directly.  A large one takes its most central
   member as pivot p and every member x gets its exact distance d(x, p) and its
   difference set x ^ p.  Members within r link to the pivot, so no pair inside
-  that ball is ever looked at.
+  that ball is needed for the components.  How many of them link is counted from
+  the difference sets, in blocks of SLICE by SLICE members, and only counts leave
+  a block.  A pair in several balls counts in the one of the smallest pivot.
 * Triangle inequality: |d(x,p) - d(y,p)| <= r for linked x, y.  Hence pairs lie
   either both within 3r of p or both beyond 2r; members in between are boundary
   documents and are replicated to both sides.
@@ -53,8 +55,10 @@ ORDER_COUNT, ORDER_MOST = 16, 262_144
 COUNT_SLICE = 1 << 21
 #: Id lists up to this many rows (16 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a region that are compared with its pivot in one task.
+#: Members of a region that are compared with its pivot in one task; members of a ball on each side of a block.
 SLICE = 256
+#: Columns of the dense tables in which a block's shared elements are counted (2 MB a side).
+COLUMNS = 2048
 
 _FLIP = np.uint64(1 << 63)
 
@@ -155,10 +159,10 @@ class _Pairs:
     def __init__(self, names: list[str], once: bool = False) -> None:
         self.names, self.once, self.parts, self.rows = names, once, [], 0
 
-    def add(self, *columns: np.ndarray) -> None:
+    def add(self, *columns: np.ndarray, weight: int = 0) -> None:
         if len(columns[0]):
             self.parts.append(columns)
-            self.rows += len(columns[0])
+            self.rows += len(columns[0]) + weight
 
     def ready(self, least: int = 20_000) -> Iterator[pa.RecordBatch]:
         if self.rows >= max(least, 1):
@@ -169,7 +173,7 @@ class _Pairs:
                 same = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
                 # Of equal places the last one in order is whole if any is.
                 columns = [c[np.append(~same, True)] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], self.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if c.dtype == object else None) for c in columns], self.names)
             self.parts, self.rows = [], 0
 
 
@@ -260,14 +264,15 @@ def _against_pivot(k: int, t: Threshold, frequent: np.ndarray, elements: bool) -
 
     Without ``elements``: links (a, b), between the pivot and all members and
     among the whole ones, which are held in memory (at most LEAF for each of the
-    pivot's regions).  With it: a row with its distance per member, and for
-    members within 3r the leading elements of the difference set, each a region key.
+    pivot's regions).  With it: a row with its distance per member, which has the
+    difference set of a linked one, and for members within 3r the leading elements
+    of the difference set, each a region key.
     """
     radius = 1 - t.p / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, base, held_ids, held_sets = None, None, [], []
-        out = _Pairs(["p", "rep", "linked", "dist", "e", "n", "size", "pos"] if elements else ["a", "b"])
+        out = _Pairs(["p", "rep", "linked", "dist", "e", "n", "size", "pos", "diff"] if elements else ["a", "b"])
         for batch in batches:
             ps, first = batch.column("p").to_pylist(), batch.column("member").to_pylist()
             ids, whole = batch.column("id").to_pylist(), batch.column("whole").to_pylist()
@@ -292,7 +297,10 @@ def _against_pivot(k: int, t: Threshold, frequent: np.ndarray, elements: bool) -
                         out.add(np.array([min(p, ids[i])]), np.array([max(p, ids[i])]))
                     continue
                 dist = 1 - common / (n + m - common)
-                out.add(*map(np.array, ([p], [ids[i]], [linked], [dist], [0], [n], [0], [-1])))
+                whole_diff = np.full(1, None, dtype=object)
+                if linked:
+                    whole_diff[0] = np.concatenate([x[~both], base[~np.isin(base, x, assume_unique=True)]]).tobytes()
+                out.add(*map(np.array, ([p], [ids[i]], [linked], [dist], [0], [n], [0], [-1])), whole_diff, weight=n + m - 2 * common >> 3)
                 if dist <= 3 * radius + 1e-9:
                     added = x[~both]
                     last = _among(added, frequent)
@@ -303,7 +311,7 @@ def _against_pivot(k: int, t: Threshold, frequent: np.ndarray, elements: bool) -
                     keep = size - max(1, int(np.ceil(least - 1e-9))) + 1
                     if keep > 0:
                         full = lambda v, k=keep: np.full(k, v)
-                        out.add(full(p), full(ids[i]), full(linked), full(dist), delta[:keep], full(n), full(size), np.arange(keep))
+                        out.add(full(p), full(ids[i]), full(linked), full(dist), delta[:keep], full(n), full(size), np.arange(keep), np.full(keep, None, dtype=object))
             yield from out.ready()
         if len(held_ids) > 1:
             out.add(*_links_among(held_ids, held_sets, t))
@@ -333,9 +341,83 @@ def _links_among(ids: list[int], sets: list[np.ndarray], t: Threshold) -> tuple[
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of elements that each set on the left shares with each on the right."""
+    total = np.zeros((len(left), len(right)), dtype=np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    of_a, of_b = (np.repeat(np.arange(len(x)), list(map(len, x))) for x in (left, right))
+    values = np.intersect1d(a, b)
+    keep_a, keep_b = np.isin(a, values), np.isin(b, values)
+    at_a, of_a = np.searchsorted(values, a[keep_a]), of_a[keep_a]
+    at_b, of_b = np.searchsorted(values, b[keep_b]), of_b[keep_b]
+    for c in range(0, len(values), COLUMNS):
+        sides = []
+        for at, of, n in ((at_a, of_a, len(left)), (at_b, of_b, len(right))):
+            here = (at >= c) & (at < c + COLUMNS)
+            side = np.zeros((n, min(COLUMNS, len(values) - c)), dtype=np.float32)
+            side[of[here], at[here] - c] = 1
+            sides.append(side)
+        total += (sides[0] @ sides[1].T).astype(np.int64)
+    return total
+
+
+def _block_links(t: Threshold, left: list[tuple], right: list[tuple] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, links) of a block of a ball's members (id, n, difference set, smaller pivots of it): pairs without a smaller common pivot, among ``left`` if there is no right."""
+    a, b = left, left if right is None else right
+    smaller = _shared([x[3] for x in a], [x[3] for x in b])
+    open_ = smaller == 0
+    if right is None:
+        open_ &= np.triu(np.ones(open_.shape, dtype=bool), 1)
+    rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return rows, rows
+    a, b, open_ = [a[i] for i in rows], [b[i] for i in cols], open_[np.ix_(rows, cols)]
+    n, m = np.array([x[1] for x in a])[:, None], np.array([x[1] for x in b])[None, :]
+    apart = np.array([len(x[2]) for x in a])[:, None] + np.array([len(x[2]) for x in b])[None, :] - 2 * _shared([x[2] for x in a], [x[2] for x in b])
+    linked = t.links((n + m - apart) // 2, n, m) & open_
+    return np.array([x[0] for x in a] + [x[0] for x in b]), np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+
+
+def _ball_counts(t: Threshold) -> Callable:
+    """Links of each member inside each block (p, i, j) of a ball; a block's rows follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, key, sides = _Pairs(["node", "c"]), None, ([], [])
+
+        def close() -> None:
+            left, right = sides
+            if key and left and (right or key[1] == key[2]):
+                ids, c = _block_links(t, left, None if key[1] == key[2] else right)
+                out.add(ids[c > 0], c[c > 0])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("p", "i", "j", "own", "rep", "n", "diff", "less")]
+            for p, i, j, own, rep, n, diff, less in zip(*cols):
+                if key != (p, i, j):
+                    close()
+                    key, sides = (p, i, j), ([], [])
+                sides[int(own != i)].append((rep, n, np.frombuffer(diff, np.int64), np.array(less, dtype=np.int64)))
+            yield from out.ready()
+        close()
+        yield from out.ready(1)
+
+    return run
+
+
+def _links_in_balls(balls: DataFrame, pivots: DataFrame, t: Threshold) -> DataFrame:
+    """(node, c): links between members of one ball (p, rep, n, diff); pivots has the balls of each rep."""
+    # One row per pivot, of which there are ORDER_MOST at most.
+    width = balls.groupBy("p").agg(F.count("*").alias("size")).where("size > 1").select("p", F.expr(f"cast(ceil(size / {SLICE}) AS long)").alias("width"))
+    rows = balls.join(F.broadcast(width), "p").join(pivots, "rep")
+    rows = rows.select("p", "rep", "n", "diff", "width", F.expr("pmod(xxhash64(rep), width)").alias("own"), F.expr("filter(pivots, q -> q < p)").alias("less"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, width - 1L)")))
+    rows = rows.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "diff", "less")
+    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_ball_counts(t), "node long, c long")
+
+
 def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent: np.ndarray, elements: bool) -> DataFrame:
     """Every place (p, id, whole) against whole sets, region by region; large regions are cut in slices that all get the pivot."""
-    schema = "p long, rep long, linked boolean, dist double, e long, n long, size long, pos long" if elements else "a long, b long"
+    schema = "p long, rep long, linked boolean, dist double, e long, n long, size long, pos long, diff binary" if elements else "a long, b long"
     places = saved(places.groupBy("p", "id").agg(F.max("whole").alias("whole")), "places")
     width = places.groupBy("p").agg(F.expr(f"1 + int(ceil(count_if(not whole) / {SLICE}))").alias("width"))
     cut = F.expr("if(whole, 0, if(width > 1, 1 + pmod(xxhash64(id), width - 1), 0))").cast("long")
@@ -377,8 +459,7 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, class_id, n_links, component_id.
 
-    class_id is the smallest doc_id with the same shingle set; n_links counts verified links of the class.  Links
-    inside a ball around a pivot are implied by the pivot's and not counted.
+    class_id is the smallest doc_id with the same shingle set; n_links counts all links of the class with other classes.
     """
     docs, t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Threshold(percent)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -395,7 +476,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         "classes",
     )
     held = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "s"))
-    place, links = "p long, id long, whole boolean", []
+    place, links, balls = "p long, id long, whole boolean", [], None
     light, places = held, []
     if len(frequent):
         many = held.sparkSession.createDataFrame(pa.table({"s": frequent}))
@@ -412,6 +493,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         near = region.where("pos >= 0").repartition("p", "e").sortWithinPartitions("p", "e", "n", "rep")
         far = seen.where(F.col("dist") > 2 * (1 - percent / 100) - 1e-9).select("p", "rep")
         far = large.join(far, ["p", "rep"]).select("s", "rep", "n", "pos").repartition("s").sortWithinPartitions("s", "n", "rep")
+        balls = region.where("pos = -1 AND linked").select("p", "rep", "n", "diff")
         links = [seen.where("linked").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))]
         places = [near.mapInArrow(_near(t), place), far.mapInArrow(_direct(t), place)]
     light = light.select("s", "rep", "n", "pos").repartition("s").sortWithinPartitions("s", "n", "rep")
@@ -423,7 +505,17 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         done = done.union(x)
     done = saved(done.distinct(), "verified")
     joined = components(done)
-    degree = done.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    apart, inside = done, []
+    if balls is not None:
+        pivots = balls.groupBy("rep").agg(F.collect_list("p").alias("pivots"))
+        # Pairs of one ball are counted there.
+        sides = [pivots.select(F.col("rep").alias(c), F.col("pivots").alias(f"of_{c}")) for c in ("a", "b")]
+        apart = done.join(sides[0], "a", "left").join(sides[1], "b", "left").where("NOT coalesce(arrays_overlap(of_a, of_b), false)").select("a", "b")
+        inside = [_links_in_balls(balls, pivots, t)]
+    degree = apart.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("c"))
+    for x in inside:
+        degree = degree.union(x)
+    degree = degree.groupBy("node").agg(F.sum("c").alias("n_links"))
     named = classes.select("key", "rep").join(joined.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left")
     named = named.select("key", "rep", "n_links", F.coalesce("component", "rep").alias("component"))
     known = F.col("doc_id").isNotNull()

@@ -82,6 +82,26 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_join_counts_every_link(spark):
+    from llm.bytewords import shingle_sets, texts_of
+    from llm.jaccard_join import LEAF, SLICE, jaccard_join
+
+    import pyarrow as pa
+
+    r = random.Random(11)
+    base, rows = prose(r, 80), []
+    for d in range(SLICE + 5 * LEAF):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3])):
+            w[r.randrange(len(w))] = f"x{r.randrange(40)}"
+        rows.append((d, " ".join(w)))
+    sets = [frozenset(s.tolist()) for s in shingle_sets(texts_of(pa.array([x for _, x in rows])), 4)]
+    classes = set(sets)
+    links = {s: sum(s is not o and 100 * len(s & o) >= 85 * len(s | o) for o in classes if o != s) for s in classes}
+    got = {x.doc_id: x.n_links for x in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == {d: links[sets[d]] for d, _ in rows} and max(got.values()) > 2 * LEAF
+
+
 def test_jaccard_join_edge_cases(spark, edge, empty):
     from llm.jaccard_join import jaccard_join
 
