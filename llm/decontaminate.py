@@ -1,17 +1,23 @@
-"""Benchmark decontamination by templates.
+"""Benchmark decontamination by templates and by words.
 
 Texts become sequences of tokens: lower-cased words, and typed placeholders for
 numbers, for units right after a number, and for names (a capitalised word that
-doesn't begin a sentence).  Windows of WINDOW tokens are hashed; those of the
-benchmark are joined to those of every document by hash.  Matching windows on
-one diagonal are one passage.  Its slots are then compared: a passage counts if
-the values in the benchmark's slots map one to one to the values in the
-document's, so "3 apples ... 3" against "5 apples ... 5" is the question with
-other parameters, and "3 ... 3" against "5 ... 7" is other text.
-
-A document is contaminated by an item if passages cover COVERAGE of its windows.
-Benchmark windows go to the tasks in blocks of BLOCK_WINDOWS (8 MB), however many
-there are; all documents meet all blocks.
+doesn't begin a sentence).  Windows of WINDOW tokens are hashed twice, as
+templates and as lower-cased words; those of the benchmark are joined to those
+of every document by hash.
+
+Matching windows on one diagonal are one passage.  Windows of equal words count.
+Of the others, each slot value of the benchmark must have one value in the
+document, by type and with forms of a unit as one: "3 apples ... 3" against
+"5 apples ... 5" is the question with other parameters.  Where a value has
+several, the most frequent holds (of equally frequent ones the unchanged one, or
+else none), and windows over other ones don't count: "3 ... 3" against "5 ... 7"
+is other text.
+
+A document is contaminated by an item if windows that count cover COVERAGE of
+its windows, or if PASSAGE or more of its words stand in one run of them, however
+long the item is.  Benchmark windows go to the tasks in blocks of BLOCK_WINDOWS
+(16 MB), however many there are; all documents meet all blocks.
 
 Edge cases: an item shorter than WINDOW is one window of its own length, one
 with fewer than LEAST_TOKENS tokens or null text has none; a null or empty
@@ -21,7 +27,7 @@ keep their case.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +38,18 @@ from pyspark.sql import functions as F
 from .bytewords import NOT_ALNUM, mix, shingle_hashes, slices, texts_of, word_hashes, word_spans
 from .store import table
 
-WINDOW, LEAST_TOKENS, COVERAGE = 8, 4, 0.5
+WINDOW, LEAST_TOKENS, COVERAGE, PASSAGE = 8, 4, 0.5, 13
 BLOCK_WINDOWS = 1 << 18
 UNITS = (
     "percent kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches yard yards l ml liter liters litre litres "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "dollar dollars euro euros pound pounds cent cents usd eur mph kph hz khz mhz kb mb gb tb w kw v degrees celsius fahrenheit"
 ).split()
+_ONE_UNIT = {"lbs": "lb", "feet": "foot", "inches": "inch", "litre": "liter", "litres": "liter", "sec": "second", "min": "minute", "hr": "hour", "h": "hour", "s": "second"}
+_ONE_UNIT |= {u: u[:-1] for u in UNITS if u[-1] == "s" and u[:-1] in UNITS and u not in _ONE_UNIT}
+_FORMS = {a.encode(): b.encode() for a, b in _ONE_UNIT.items()}
+#: Sets hashes of words apart from those of templates.
+_WORDS = np.uint64(0xA0761D6478BD642F)
 _NUMBER, _UNIT, _NAME = np.uint64(1), np.uint64(2), np.uint64(3)
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
@@ -76,6 +87,7 @@ class Tokens:
         self.data, self.low = data, low
         self.starts, self.ends, self.rows = starts, ends, rows = word_spans(plain, offs)
         codes = word_hashes(low, starts, ends)
+        self.words = codes.copy()
         self.slot = np.zeros(len(codes), dtype=np.uint8)
         if len(codes):
             digits = np.concatenate([[0], np.cumsum(digit | inner)])
@@ -103,77 +115,120 @@ class Tokens:
     def value(self, i: int) -> bytes:
         return self.low[self.starts[i] : self.ends[i]].tobytes()
 
+    def folded(self, i: int, kind: int) -> bytes:
+        """The value, with one form for those of a unit."""
+        value = self.value(i)
+        return _FORMS.get(value, value) if kind == _UNIT else value
+
 
 def _windows(codes: np.ndarray, width: int) -> np.ndarray:
     # Windows of other lengths are told apart by shingle_hashes; mixing keeps the small slot codes apart from words.
     return shingle_hashes(mix(codes), width) if len(codes) >= width else codes[:0]
 
 
+class Windows:
+    """Sorted hashes of windows with item and place."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        empty = np.zeros(0, np.int64)
+        h = np.concatenate([w for _, w, _ in parts]) if parts else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.hashes = h[order]
+        self.owner = (np.concatenate([np.full(len(w), item) for item, w, _ in parts]) if parts else empty)[order]
+        self.place = (np.concatenate([at for *_, at in parts]) if parts else empty)[order]
+
+    def hits(self, t: Tokens, codes: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, diagonal, place) of the windows found."""
+        if len(codes) < width or not len(self.hashes):
+            return
+        w = _windows(codes, width)
+        at = np.minimum(np.searchsorted(self.hashes, w), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == w)
+        # A window stays within its row.
+        row = np.searchsorted(t.rows, hit, side="right") - 1
+        inside = hit + width <= t.rows[row + 1]
+        hit, row = hit[inside], row[inside]
+        ends = np.searchsorted(self.hashes, w[hit], side="right")
+        for h, r, a, b in zip(hit.tolist(), row.tolist(), at[hit].tolist(), ends.tolist()):
+            for k in range(a, b):
+                place = int(self.place[k])
+                yield r, int(self.owner[k]), h - place, place
+
+
 class Index:
-    """Windows of a block of items: sorted hashes with item and position, and each item's slots."""
+    """Windows of a block of items, as templates and as words, and each item's slots and words."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.names, hashes, owner, place, self.widths = [], [], [], [], set()
-        self.counts, self.slots, self.tokens = [], [], []
+        self.names, self.counts, self.slots, self.words, self.widths = [], [], [], [], set()
+        templates, words = [], []
         for name, text in items:
             data = np.frombuffer(text.encode(), np.uint8)
             t = Tokens(data, np.array([0, len(data)]))
-            n = len(t.codes)
+            n, item = len(t.codes), len(self.names)
             if n < LEAST_TOKENS:
                 continue
             width = min(WINDOW, n)
-            w = _windows(t.codes, width)
+            places = np.arange(n - width + 1)
             self.widths.add(width)
-            hashes.append(w)
-            owner.append(np.full(len(w), len(self.names)))
-            place.append(np.arange(len(w)))
+            words.append((item, _windows(t.words ^ _WORDS, width), places))
+            slots = [(int(t.slot[i]), t.folded(i, t.slot[i])) if t.slot[i] else None for i in range(n)]
+            templates.append((item, _windows(t.codes, width), places))
             self.names.append(name)
-            self.counts.append((len(w), width))
-            self.slots.append([t.value(i) if t.slot[i] else None for i in range(n)])
-        empty = np.zeros(0, np.int64)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owner = (np.concatenate(owner) if owner else empty)[order]
-        self.place = (np.concatenate(place) if place else empty)[order]
+            self.counts.append((len(places), width))
+            self.slots.append(slots)
+            self.words.append(t.words)
+        self.templates, self.literal = Windows(templates), Windows(words)
+
+    def _kept(self, t: Tokens, item: int, diagonal: int, places: set[int], equal: set[int]) -> set[int]:
+        """The places that count: of equal words, or with slot values that hold."""
+        if places <= equal:
+            return equal
+        width, images, own = self.counts[item][1], defaultdict(Counter), {}
+        for i in sorted({p + j for p in places | equal for j in range(width)}):
+            slot = self.slots[item][i]
+            if slot is not None:
+                own[i] = t.folded(diagonal + i, slot[0])
+                images[slot][own[i]] += 1
+        holds = {}
+        for slot, values in images.items():
+            most = max(values.values())
+            best = [v for v, n in values.items() if n == most]
+            holds[slot] = best[0] if len(best) == 1 else slot[1] if slot[1] in best else None
+        bad = {i for i, value in own.items() if holds[self.slots[item][i]] != value}
+        return equal | {p for p in places if bad.isdisjoint(range(p, p + width))}
+
+    def _passage(self, t: Tokens, item: int, diagonal: int, places: set[int]) -> int:
+        """The most words of the item that stand in one run of windows."""
+        longest, width = 0, self.counts[item][1]
+        run = sorted(places)
+        begin = 0
+        for k in range(1, len(run) + 1):
+            if k == len(run) or run[k] != run[k - 1] + 1:
+                a, b = run[begin], run[k - 1] + width
+                longest = max(longest, int((self.words[item][a:b] == t.words[diagonal + a : diagonal + b]).sum()))
+                begin = k
+        return longest
 
     def matches(self, t: Tokens) -> Iterator[tuple[int, int, int, int, float, bool]]:
         """(row, item, windows matched, first token, coverage, same values) of contaminated rows."""
-        if not len(self.hashes) or not len(t.codes):
+        if not len(t.codes):
             return
-        found = []
+        passages = defaultdict(lambda: (set(), set()))  # (row, item, diagonal) -> places of templates, of words
         for width in sorted(self.widths):
-            if len(t.codes) < width:
-                continue
-            w = _windows(t.codes, width)
-            at = np.minimum(np.searchsorted(self.hashes, w), len(self.hashes) - 1)
-            hit = np.flatnonzero(self.hashes[at] == w)
-            # A window stays within its row.
-            row = np.searchsorted(t.rows, hit, side="right") - 1
-            hit = hit[hit + width <= t.rows[row + 1]]
-            found += [(h, k) for h in hit.tolist() for k in range(int(at[h]), int(np.searchsorted(self.hashes, w[h], side="right")))]
-        passages = defaultdict(set)  # (row, item, diagonal) -> places
-        for h, k in found:
-            row = int(np.searchsorted(t.rows, h, side="right")) - 1
-            item, place = int(self.owner[k]), int(self.place[k])
-            passages[row, item, h - place].add(place)
-        covered, starts, same = defaultdict(set), {}, {}
-        for (row, item, diagonal), places in passages.items():
-            width = self.counts[item][1]
-            there, here, equal, fits = {}, {}, True, True
-            for i in sorted({p + j for p in places for j in range(width)}):
-                value = self.slots[item][i]
-                if value is not None:
-                    own = t.value(diagonal + i)
-                    fits &= there.setdefault(value, own) == own and here.setdefault(own, value) == value
-                    equal &= own == value
-            if fits:
-                covered[row, item] |= places
-                starts[row, item] = min(starts.get((row, item), 1 << 60), diagonal + min(places))
-                same[row, item] = same.get((row, item), True) and equal
+            for side, found in enumerate((self.templates.hits(t, t.codes, width), self.literal.hits(t, t.words ^ _WORDS, width))):
+                for row, item, diagonal, place in found:
+                    passages[row, item, diagonal][side].add(place)
+        covered, starts, same, longest = defaultdict(set), {}, {}, Counter()
+        for (row, item, diagonal), (places, equal) in passages.items():
+            kept = self._kept(t, item, diagonal, places, equal)
+            if kept:
+                covered[row, item] |= kept
+                starts[row, item] = min(starts.get((row, item), 1 << 60), diagonal + min(kept))
+                same[row, item] = same.get((row, item), True) and kept <= equal
+                longest[row, item] = max(longest[row, item], self._passage(t, item, diagonal, kept))
         for (row, item), places in sorted(covered.items()):
             share = len(places) / self.counts[item][0]
-            if share >= COVERAGE:
+            if share >= COVERAGE or longest[row, item] >= PASSAGE:
                 yield row, item, len(places), starts[row, item] - int(t.rows[row]), share, same[row, item]
 
 

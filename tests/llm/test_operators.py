@@ -255,6 +255,20 @@ def test_decontamination(spark, edge, empty):
     assert contaminated(edge, bench).count() == 0 and contaminated(empty, bench).count() == 0 and contaminated(edge, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_passages_and_changed_values(spark):
+    from llm.decontaminate import contaminated
+
+    r = random.Random(6)
+    long, filler = prose(r, 400), " ".join(prose(r, 40))
+    words = long[100:125]
+    items = [(1, " ".join(long)), (2, "we keep 3 red boxes on that old shelf by the wide door and then we move 3 blue ones out"), (3, "the first train leaves 1 hour after noon but the second takes 2 hours to reach its last stop")]
+    docs = [(1, f"{filler} {' '.join(words)} {filler}"), (2, items[1][1].replace("3 red", "5 red")), (3, items[2][1].replace("1 hour", "5 hours").replace("2 hours", "7 hours"))]
+    docs += [(4, items[2][1].replace("1 hour", "5 hours").replace("2 hours", "5 hours")), (5, items[1][1].replace("3 red", "5 red").replace("3 blue", "7 blue"))]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got if x.doc_id != 5) == [(1, 1), (2, 2), (3, 3), (4, 3)]
+    assert all(x.coverage < 1 for x in got if x.doc_id == 5)
+
+
 # 7 --------------------------------------------------------------------------------------------------------------
 
 
