@@ -4,7 +4,8 @@ Texts become sequences of tokens: lower-cased words, and typed placeholders for
 numbers, for units right after a number, and for names (a capitalised word that
 doesn't begin a sentence).  Windows of WINDOW tokens are hashed twice, as
 templates and as lower-cased words; those of the benchmark are joined to those
-of every document by hash.
+of every document by hash.  The first token of an item is looked for in both
+forms, as a document can have it anywhere in a sentence.
 
 Matching windows on one diagonal are one passage.  Windows of equal words count.
 Of the others, each slot value of the benchmark must have one value in the
@@ -19,10 +20,10 @@ its windows, or if PASSAGE or more of its words stand in one run of them, howeve
 long the item is.  Benchmark windows go to the tasks in blocks of BLOCK_WINDOWS
 (16 MB), however many there are; all documents meet all blocks.
 
-Edge cases: an item shorter than WINDOW is one window of its own length, one
-with fewer than LEAST_TOKENS tokens or null text has none; a null or empty
-document has none; repeated rows give repeated results; letters beyond Latin-1
-keep their case.
+Edge cases: an item shorter than WINDOW is one window of its own length, and one
+with fewer than LEAST_TOKENS tokens is looked for as words only; one without
+tokens or with null text has none; a null or empty document has none; repeated
+rows give repeated results; letters beyond Latin-1 keep their case.
 """
 
 from __future__ import annotations
@@ -89,6 +90,7 @@ class Tokens:
         codes = word_hashes(low, starts, ends)
         self.words = codes.copy()
         self.slot = np.zeros(len(codes), dtype=np.uint8)
+        self.opens_with_name = False
         if len(codes):
             digits = np.concatenate([[0], np.cumsum(digit | inner)])
             number = digits[ends] - digits[starts] == ends - starts
@@ -106,7 +108,9 @@ class Tokens:
             capital = np.where(wide, upper[np.minimum(starts + 1, len(data) - 1)], upper[starts])
             second = np.minimum(starts + 1 + wide, len(data) - 1)
             shouted = (second >= ends) | upper[second] | ((data[second] == 0xC3) & upper[np.minimum(second + 1, len(data) - 1)])
-            name = capital & ~shouted & ~begins & ~number
+            proper = capital & ~shouted & ~number
+            name = proper & ~begins
+            self.opens_with_name = bool(proper[0])
             for kind, mask in ((_NUMBER, number), (_UNIT, unit), (_NAME, name)):
                 codes[mask] = kind
                 self.slot[mask] = kind
@@ -165,14 +169,20 @@ class Index:
             data = np.frombuffer(text.encode(), np.uint8)
             t = Tokens(data, np.array([0, len(data)]))
             n, item = len(t.codes), len(self.names)
-            if n < LEAST_TOKENS:
+            if not n:
                 continue
             width = min(WINDOW, n)
             places = np.arange(n - width + 1)
             self.widths.add(width)
             words.append((item, _windows(t.words ^ _WORDS, width), places))
             slots = [(int(t.slot[i]), t.folded(i, t.slot[i])) if t.slot[i] else None for i in range(n)]
-            templates.append((item, _windows(t.codes, width), places))
+            if n >= LEAST_TOKENS:
+                templates.append((item, _windows(t.codes, width), places))
+                if t.opens_with_name:
+                    named = t.codes[:width].copy()
+                    named[0] = _NAME
+                    templates.append((item, _windows(named, width), places[:1]))
+                    slots[0] = int(_NAME), t.value(0)
             self.names.append(name)
             self.counts.append((len(places), width))
             self.slots.append(slots)

@@ -269,6 +269,15 @@ def test_decontamination_of_passages_and_changed_values(spark):
     assert all(x.coverage < 1 for x in got if x.doc_id == 5)
 
 
+def test_decontamination_by_words(spark):
+    from llm.decontaminate import contaminated
+
+    items = [(1, "What is the capital of France?"), (2, "Near Oslo lives Kari and in Bergen lives Ola but Per is from Trondheim in Norway"), (3, "too short"), (4, "Alice bought 3 apples today")]
+    docs = [(1, "Question 12) What is the capital of France?"), (2, items[1][1].upper()), (3, items[1][1].lower()), (4, "this is Too short for all"), (5, "so (Bob bought 5 apples today"), (6, "too long or short")]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 4)]
+
+
 # 7 --------------------------------------------------------------------------------------------------------------
 
 
