@@ -1,8 +1,10 @@
 """Secret scan: candidate strings, judged by a random forest.
 
 A candidate is a run of at least LEAST characters of letters, digits and
-``+/_-`` (with ``=`` at its end) that has a digit, or a run after a word such as
-``token`` or ``password``.  The forest looks at its length, the transitions
+``+/_-`` (with ``=`` at its end) that has a digit or mixed case, or what is
+assigned to a word such as ``token`` or ``password``: a quoted value of any
+characters, or an unspaced one, from KEYED_LEAST characters on.  Of overlapping
+secrets the longest is the finding.  The forest looks at its length, the transitions
 between kinds of characters, its entropy, how much of it dictionary words cover,
 whether it is part of a path or address, and the words next to it.  It is
 trained on labelled findings: ``fit`` takes any, ``labelled_findings`` makes a
@@ -30,6 +32,15 @@ from .store import table
 LEAST, NEAR, THRESHOLD, MASK = 16, 48, 0.5, "<secret>"
 TREES, DEPTH, LEAF_ROWS, SEED, FINDINGS = 30, 8, 4, 7, 6_000
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+KEYED_LEAST = 6
+_KEY = r"(?i:(?:password|passwd|passphrase|pwd|secret|token|credential|api[_-]?key)s?|(?<![a-z])(?:key|auth|pass|passcode|login|bearer))(?:[0-9]+|[_-][A-Za-z0-9_-]{0,20}|Key|Value|Id)?"
+_SETS = r"[\"'`]?(?:[ \t]{0,4}(?::=|=>|==?|:)[ \t]{0,4}|[ \t]{1,4}(?i:is):?[ \t]{1,4})"
+_ASSIGNED = re.compile(rf"{_KEY}{_SETS}(?:([\"'`])((?:\\.|(?!\1)[^\\\n]){{{KEYED_LEAST},}})\1|([^\s\"'`]{{{KEYED_LEAST},}}))")
+_BEFORE = re.compile(rf"{_KEY}{_SETS}[\"'`]?$")
+_CODE = re.compile(r"[(\[{<>)\]}]|\$[A-Za-z]|%[A-Za-z]")
+_BLANK = re.compile(r"(?i)your|example|change|placeholder|xxx|\*\*\*|redacted|dummy|sample|<.*>|\$\{|\{\{")
+#: Types, constants and states that stand where a value would.
+BLANKS = frozenset("string integer number boolean object undefined required optional expired invalid missing unknown default hidden disabled enabled password passwd secret username correct incorrect".split())
 _RUN = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _WORD = re.compile(r"[a-z]{2,}")
@@ -42,7 +53,7 @@ DICTIONARY = frozenset(
     "string example placeholder your here change replace sample image page view model controller template layout format parser reader writer "
     "buffer stream socket session cache queue worker task job time date day month year long short high low new old get set put post all one two".split()
 )
-NAMES = "length runs per_char digits lowers uppers others hex entropy covered distinct slashes path_before address assigned quoted good_word bad_word aligned prefix".split()
+NAMES = "length runs per_char digits lowers uppers others hex entropy covered distinct slashes path_before address assigned quoted good_word bad_word aligned prefix keyed said code blank symbols spaces".split()
 
 
 def features(text: str, start: int, end: int) -> list[float]:
@@ -63,6 +74,7 @@ def features(text: str, start: int, end: int) -> list[float]:
             i += k or 1
     before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
     near = re.findall(r"[a-z0-9]+", (before[-32:] + " ").lower())[-3:]
+    keyed = _BEFORE.search(before)
     tight = before.rstrip(" \t\"'`")[-1:]
     return [
         n,
@@ -85,6 +97,12 @@ def features(text: str, start: int, end: int) -> list[float]:
         float(any(w in BAD_WORDS for w in near)),
         float(n in (20, 32, 40, 64)),
         float(re.match(r"AKIA|gh[pousr]_|sk[-_]|xox[abp]-|AIza|eyJ|glpat-", s) is not None),
+        float(keyed is not None),
+        float(keyed is not None and re.search(r"(?i)\sis:?\s+[\"'`]?$", keyed[0]) is not None),
+        len(_CODE.findall(s)),
+        float(low in BLANKS or _BLANK.search(s) is not None),
+        sum(not c.isalnum() and c not in "+/_-= " for c in s),
+        s.count(" "),
     ]
 
 
@@ -94,6 +112,17 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         # A run of words, dashes or lines alone is no candidate.
         if any(c.isdigit() for c in s) or re.search(r"[a-z][A-Z]|[A-Z][a-z][A-Z]", s):
             yield m.span()
+    at = 0
+    while m := _ASSIGNED.search(text, at):
+        start, end = m.span(2 if m[2] is not None else 3)
+        if m[2] is None:
+            # What closes the surroundings isn't part of an unspaced value.
+            while end > start and (text[end - 1] in ",;." or (text[end - 1] in ")]}>" and "([{<"[")]}>".index(text[end - 1])] not in text[start:end])):
+                end -= 1
+        if end - start >= KEYED_LEAST:
+            yield start, end
+        # A value may hold a key of its own.
+        at = max(start, m.start() + 1)
 
 
 def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
@@ -109,7 +138,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     for i in range(count):
         true = i % 2 == 0
         if true:
-            kind = int(r.integers(6))
+            kind = int(r.integers(10))
             s = [
                 lambda: chars(hexes, pick([32, 40, 40, 64])),
                 lambda: chars(hexes, pick([32, 40])).upper(),
@@ -117,6 +146,10 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
                 lambda: chars(b62 + "+/", int(r.integers(5, 12)) * 4) + pick(["", "=", "=="]),
                 lambda: pick(["AKIA", "ghp_", "sk-", "xoxb-", "AIza", "glpat-"]) + chars(b62, int(r.integers(16, 40))),
                 lambda: chars(b62 + "_-", int(r.integers(24, 50))),
+                lambda: "".join(pick([pick(words), chars("etaoinshrdlu", int(r.integers(4, 8)))]) for _ in range(int(r.integers(4, 7)))),
+                lambda: pick(["", chars("etaoinshrdlucmfwyp", 3).title()]) + chars("etaoinshrdlucmfwyp", int(r.integers(5, 9))) + chars("0123456789", int(r.integers(1, 5))) + chars("xyzabc", int(r.integers(4))),
+                lambda: chars(b62, int(r.integers(8, 16))),
+                lambda: chars(b62 + "!@#%^&*.?~", int(r.integers(7, 20))) + pick("!@#%^&*?~") + chars(b62, 3),
             ][kind]()
             key = pick(good) if kind != 4 or r.random() < 0.5 else fill().split()[0]
             if r.random() < 0.4:
@@ -124,9 +157,14 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
             if r.random() < 0.25:
                 key = key.upper()
             text, tail = f"{fill()} {key}" + pick([' = "', "=", ": ", ' := "', '": "', " = '", ' => "', " ", " is ", "='"]), ""
-            tail = (text[-1] if text[-1] in "\"'" else "") + pick(["", " ", "!! ", "### ", ";", ","]) + fill()
+            if kind > 5:
+                key = pick(["", "", "db_", "user ", "DB_"]) + pick("password passwd pwd secret token api_key auth_token Password PASSWORD SECRET".split())
+                text = f"{fill()} {key}" + pick([' = "', "=", ": ", ' := "', '": "', " = '", "='", ": ", " = "] + [" is "] * (kind != 6))
+            tail = (text[-1] if text[-1] in "\"'" else "") + pick(["", " ", "!! ", "### ", ";", ","] if kind < 6 else ["", " ", "; ", ", "]) + fill()
+            if kind > 5 and text[-1] not in "\"'":
+                tail = pick(["", " ", ", "]) and pick([" ", ", ", "; "]) + fill()
         else:
-            kind = int(r.integers(9))
+            kind = int(r.integers(13))
             s = [
                 lambda: chars(hexes, pick([32, 40, 40, 64])),
                 lambda: "-".join(chars(hexes, n) for n in (8, 4, 4, 4, 12)),
@@ -137,6 +175,10 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
                 lambda: pick(["your", "my", "example", "changeme", "xxxx"]) + pick(["_", "-"]) + pick(good) + pick(["_here_", "-"]) + pick(["123456", "xxxxxxxx1", "0000000000"]),
                 lambda: pick("x0a1A") * int(r.integers(16, 40)) + pick(["", "1"]),
                 lambda: chars("etaoinshrdlu", int(r.integers(16, 30))) + str(int(r.integers(10))),
+                lambda: pick(sorted(BLANKS)),
+                lambda: pick([f"{pick(words)}.{pick(words)}({pick(words)})", f"get_{pick(words)}()", "${" + pick(words).upper() + "_KEY}", f"<{pick(words)}-{pick(words)}>", "{{ " + pick(words) + ".value }}", f'os.environ[{pick(words)}]', f"{pick(words)}[{pick(words)}]", f"{pick(words)}({pick(words)}, {pick(words)})"]),
+                lambda: pick(["your_password", "your-token", "changeme", "xxxxxxxx", "********", "example-token", "<password>", "YOUR_SECRET", "placeholder", "redacted", "my_example_key"]),
+                lambda: chars("etaoinshrdlucm", int(r.integers(6, 12))),
             ][kind]()
             if kind in (0, 1):
                 text = f"{fill()} {pick(bad)}" + pick([" ", ": ", "=", ' = "', ":", " is "])
@@ -146,7 +188,10 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
                 text = f"{fill()} " + pick(["/", "./", "~/", "http://", "src/"])
             else:
                 text = f"{fill()} " + pick(["", f"{pick(words)} = ", f"{pick(bad)} ", "(", "no ", f"{pick(words)}: "])
-            tail = ('"' if text.endswith('"') else "") + pick(["", " ", ".py", "(", "!! ", ","]) + fill()
+            if kind > 8:
+                key = pick(["", "", "db_", "user ", "the "]) + pick("password passwd pwd secret token api_key auth_token Password key login".split())
+                text = f"{fill()} {key}" + pick([": ", " = ", "=", " is "] + [' = "', ': "'] * (kind in (9, 11)))
+            tail = ('"' if text.endswith('"') else "") + (pick(["", " ", ".py", "(", "!! ", ","]) if kind < 9 else pick([" ", ", ", "; "])) + fill()
         out.append((text + s + tail, len(text), len(text) + len(s), int(true)))
     return out
 
@@ -216,7 +261,14 @@ def findings(text: str, forest: Forest) -> list[tuple[int, int, float]]:
         step = spans[i : i + 1_000]
         scores = forest.score(np.array([features(text, a, b) for a, b in step]))
         out += [(a, b, float(s)) for (a, b), s in zip(step, scores) if s >= THRESHOLD]
-    return out
+    kept: list[tuple[int, int, float]] = []
+    for a, b, s in sorted(set(out), key=lambda x: (x[0], -x[1])):
+        if not kept or a >= kept[-1][1]:
+            kept.append((a, b, s))
+        elif b > kept[-1][1]:
+            # Both are secrets: the finding covers them.
+            kept[-1] = kept[-1][0], b, max(s, kept[-1][2])
+    return kept
 
 
 def masked(text: str, found: list[tuple[int, int, float]]) -> str:
@@ -229,7 +281,7 @@ def masked(text: str, found: list[tuple[int, int, float]]) -> str:
 
 FOUND = "doc_id long, start long, length long, score double"
 #: Cheap test on the bytes; a text without it has no candidate.
-_MAYBE = re.compile(rb"[A-Za-z0-9+/_\-]{16}")
+_MAYBE = re.compile(rb"[A-Za-z0-9+/_\-]{16}|(?i:pass|pwd|secret|token|credential|key|auth|login|bearer)")
 
 
 def _scan(forest: Forest):

@@ -348,6 +348,16 @@ def test_secrets(spark, edge, empty):
     assert scan_secrets(edge).count() == 0 and mask_secrets(empty).count() == 0 and mask_secrets(edge).columns == edge.columns
 
 
+def test_short_and_digit_free_secrets(spark):
+    from llm.secrets_forest import MASK, mask_secrets
+
+    whole = ['password = "correcthorsebatterystaple"', "passwd: hunter2xyz", "api_key=Zk3vQ9pL", 'DB_PASSWORD="p@ss!w0rd$x.y"', "the token is aB3dE5gH7j and"]
+    rows = [(i, f"so it was {t}") for i, t in enumerate(whole)] + [(10, "password = get_password(user)"), (11, "the password is required here"), (12, "password: string"), (13, "token = <your-token>")]
+    got = {r.doc_id: r.text for r in mask_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [f"so it was {t}" for t in (f'password = "{MASK}"', f"passwd: {MASK}", f"api_key={MASK}", f'DB_PASSWORD="{MASK}"', f"the token is {MASK} and")]
+    assert all(got[i] == t for i, t in rows if i >= 10)
+
+
 # pipeline ---------------------------------------------------------------------------------------------------------
 
 
