@@ -8,9 +8,9 @@ representative.  The join then works on regions:
   (rarest shingles first; linked pairs always share a prefix shingle).  The
   size window and the position of the shared shingle bound which members can
   link at all.
-* A small region is joined directly.  A large one takes its most central
-  member as pivot p and every member x gets its exact distance d(x, p) and its
-  difference set x ^ p.  Members within r link to the pivot, so no pair inside
+* A region of up to LEAF members is joined directly.  Every larger one, whatever
+  its shingle, takes its most central member as pivot p and every member x gets
+  its exact distance d(x, p) and its difference set x ^ p.  Members within r link to the pivot, so no pair inside
   that ball is needed for the components.  How many of them link is counted from
   the difference sets, in blocks of SLICE by SLICE members, and only counts leave
   a block.  A pair in several balls counts in the one of the smallest pivot.
@@ -20,12 +20,16 @@ representative.  The join then works on regions:
 * The near side is joined again, recursively, on the difference sets: linked x
   and y that are not both within r of p must share elements of x ^ p and y ^ p
   (|x ^ y| = |x ^ p| + |y ^ p| - 2 |both|), so (p, element) are its regions.
-  The far side is joined under the size window.
+  The far side is joined under the size window.  Groups of either side are cut
+  in slices of SLICE members that meet two by two in blocks, each a task's work
+  of bounded size; blocks without a pair that is still open are not made.
 * Every surviving pair is verified on whole shingle sets.  Connected components
   of the links come from alternating large-star and small-star steps.
 
-Nothing is capped: the list of frequent shingles only fixes the rarest-first
-order, and any order gives the same links.
+Nothing is capped: the list of frequent shingles fixes the rarest-first order,
+and any order gives the same links; region sizes are counted over all prefixes.
+A shingle of the list is counted before the shuffle, any other one as its rows
+stream by, and beyond LEAF rows pass on to the pivot without being held.
 
 Edge cases: a null or wordless text has an empty set and links with nothing; a
 text of fewer than n words is one shingle; repeated rows are members of one
@@ -45,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import shingle_sets, texts_of
-from .store import saved, table
+from .store import release, saved, table
 
 #: Regions up to this size are joined directly.
 LEAF = 64
@@ -53,9 +57,7 @@ LEAF = 64
 ORDER_COUNT, ORDER_MOST = 16, 262_144
 #: Shingles counted at a time in a task (32 MB with the sort).
 COUNT_SLICE = 1 << 21
-#: Id lists up to this many rows (16 MB) are broadcast; longer ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Members of a region that are compared with its pivot in one task; members of a ball on each side of a block.
+#: Members of a region that are compared with its pivot in one task; members of a group on each side of a block.
 SLICE = 256
 #: Columns of the dense tables in which a block's shared elements are counted (2 MB a side).
 COLUMNS = 2048
@@ -177,22 +179,34 @@ class _Pairs:
             self.parts, self.rows = [], 0
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Sorted batches with the bounds of runs of equal keys; a run that crosses a batch's end is carried over."""
-    held: pa.Table | None = None
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str], most: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, bounds of runs of equal keys, which runs are large) of sorted batches.
+
+    A run of up to ``most`` rows comes whole; a larger one comes in pieces, none of them held back.
+    """
+    held, passing = None, None
     for batch in batches:
-        here = pa.Table.from_batches([batch])
-        held = here if held is None else pa.concat_tables([held, here]).combine_chunks()
-        cols = {c: held.column(c).to_numpy() for c in held.column_names}
-        new = np.zeros(max(len(held) - 1, 0), dtype=bool)
+        cols = {c: _numpy(batch.column(c)) for c in batch.schema.names}
+        if held is not None:
+            cols, held = {c: np.concatenate([held[c], v]) for c, v in cols.items()}, None
+        rows = len(cols[key[0]])
+        if not rows:
+            continue
+        new = np.zeros(rows - 1, dtype=bool)
         for c in key:
             new |= cols[c][1:] != cols[c][:-1]
-        bounds = np.concatenate([[0], np.flatnonzero(new) + 1])
-        if len(bounds) > 1:
-            yield cols, bounds
-            held = held.slice(bounds[-1]).combine_chunks()
-    if held is not None and len(held):
-        yield {c: held.column(c).to_numpy() for c in held.column_names}, np.array([0, len(held)])
+        bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [rows]])
+        large = np.diff(bounds) > most
+        large[0] |= passing is not None and all(cols[c][0] == v for c, v in passing.items())
+        passing = {c: cols[c][-1] for c in key} if large[-1] else None
+        if large[-1]:
+            yield cols, bounds, large
+        else:
+            # The last run may go on.
+            yield cols, bounds[:-1], large[:-1]
+            held = {c: v[bounds[-2] :] for c, v in cols.items()}
+    if held is not None:
+        yield held, np.array([0, len(held[key[0]])]), np.array([False])
 
 
 def _place(out: _Pairs, ids: np.ndarray, partners: Callable[[int], np.ndarray]) -> None:
@@ -212,46 +226,94 @@ def _place(out: _Pairs, ids: np.ndarray, partners: Callable[[int], np.ndarray])
         out.add(np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i]), np.zeros(len(js), dtype=bool))
 
 
-def _direct(t: Threshold) -> Callable:
-    """Places by the pairs of each region that the size window and the shared shingle's positions allow.
+def _window(t: Threshold, n: np.ndarray, i: int) -> slice:
+    """Later members of a run sorted by size that member i may link with."""
+    return slice(i + 1, int(np.searchsorted(n, n[i] * 100 // t.p, side="right")))
+
+
+def _by_prefix(t: Threshold, ids: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Partners of a member by sizes and by the places of the shared shingle in both prefixes."""
+
+    def partners(i: int) -> np.ndarray:
+        js = _window(t, n, i)
+        need = t.overlap(n[i], n[js])
+        return i + 1 + np.flatnonzero((pos[i] <= n[i] - need) & (pos[js] <= n[js] - need) & (ids[js] != ids[i]))
+
+    return partners
+
+
+def _by_difference(t: Threshold, ids: np.ndarray, n: np.ndarray, pos: np.ndarray, size: np.ndarray, linked: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Partners of a member by the places of the shared element in both difference sets; pairs inside the ball are linked already."""
+
+    def partners(i: int) -> np.ndarray:
+        js = _window(t, n, i)
+        need = np.maximum(1, -(-(size[i] + size[js] - t.diff(n[i], n[js])) // 2))
+        ok = (pos[i] <= size[i] - need) & (pos[js] <= size[js] - need) & (ids[js] != ids[i])
+        return i + 1 + np.flatnonzero(ok & ~(linked[js] & linked[i]))
+
+    return partners
+
+
+LIGHT = "p long, id long, whole boolean, s long, n long, pos long"
+
+
+def _light(t: Threshold) -> Callable:
+    """Places by the pairs of each region of up to LEAF rows (pos -1); rows of larger regions pass as they are.
 
-    Rows are sorted by region and size, so a member meets only those within its window.
+    Rows are sorted by region and size.
     """
+    names = [c.split()[0] for c in LIGHT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Pairs(["p", "id", "whole"], once=True)
-        for cols, bounds in _groups(batches, ["s"]):
-            for g in np.flatnonzero(np.diff(bounds) > 1).tolist():
-                ids, n, pos = (cols[c][int(bounds[g]) : int(bounds[g + 1])] for c in ("rep", "n", "pos"))
 
-                def partners(i: int, ids=ids, n=n, pos=pos) -> np.ndarray:
-                    js = slice(i + 1, int(np.searchsorted(n, n[i] * 100 // t.p, side="right")))
-                    need = t.overlap(n[i], n[js])
-                    return i + 1 + np.flatnonzero((pos[i] <= n[i] - need) & (pos[js] <= n[js] - need) & (ids[js] != ids[i]))
-
-                _place(out, ids, partners)
-                yield from out.ready(200_000)
-        yield from out.ready(1)
+        def ready(least: int) -> Iterator[pa.RecordBatch]:
+            for b in out.ready(least):
+                zeros = np.zeros(len(b), np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(zeros), pa.array(zeros), pa.array(zeros - 1)], names)
+
+        for cols, bounds, large in _groups(batches, ["s"], LEAF):
+            sizes = np.diff(bounds)
+            for g in np.flatnonzero((sizes > 1) & ~large).tolist():
+                here = slice(int(bounds[g]), int(bounds[g + 1]))
+                ids = cols["rep"][here]
+                _place(out, ids, _by_prefix(t, ids, cols["n"][here], cols["pos"][here]))
+            if large.any():
+                at = bounds[0] + np.flatnonzero(np.repeat(large, sizes))
+                s, rep, n, pos = (pa.array(cols[c][at]) for c in ("s", "rep", "n", "pos"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int64)), rep, pa.array(np.zeros(len(at), dtype=bool)), s, n, pos], names)
+            yield from ready(200_000)
+        yield from ready(1)
 
     return run
 
 
-def _near(t: Threshold) -> Callable:
-    """Places by the pairs of each (pivot, element) region of difference sets."""
+def _blocks(rows: DataFrame, key: list[str], open_: str) -> DataFrame:
+    """Rows of groups with their slice (own) in each block (i, j) of two slices that holds an open row.
+
+    Groups of up to SLICE rows are one block; groups without an open row, or of one row, have none.
+    """
+    sizes = rows.groupBy(*key).agg(F.count_if(F.expr(open_)).alias("u"), F.count("*").alias("size")).where("u > 0 AND size > 1")
+    sizes = sizes.select(*key, F.expr(f"cast(ceil(if(size <= {SLICE}, 1, u / {SLICE})) AS long)").alias("wide"), F.expr(f"if(size <= {SLICE}, 0L, cast(ceil((size - u) / {SLICE}) AS long))").alias("rest"))
+    rows = rows.join(sizes, key).withColumn("own", F.expr(f"if(({open_}) OR rest = 0, pmod(xxhash64(rep), wide), wide + pmod(xxhash64(rep), rest))"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, if(own < wide, wide + rest, wide) - 1)")))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "wide", "rest")
+    return rows.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "n", "rep")
+
+
+def _block_places(t: Threshold, key: list[str], columns: tuple[str, ...], rule: Callable) -> Callable:
+    """Places by the pairs of each block; a pair of one slice is looked at in that slice's own block only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Pairs(["p", "id", "whole"], once=True)
-        for cols, bounds in _groups(batches, ["p", "e"]):
+        for cols, bounds, _ in _groups(batches, [*key, "i", "j"], 1 << 62):
             for g in np.flatnonzero(np.diff(bounds) > 1).tolist():
-                names = ("rep", "n", "pos", "size", "linked")
-                ids, n, pos, size, linked = (cols[c][int(bounds[g]) : int(bounds[g + 1])] for c in names)
-
-                def partners(i: int, ids=ids, n=n, pos=pos, size=size, linked=linked) -> np.ndarray:
-                    js = slice(i + 1, int(np.searchsorted(n, n[i] * 100 // t.p, side="right")))
-                    need = np.maximum(1, -(-(size[i] + size[js] - t.diff(n[i], n[js])) // 2))
-                    ok = (pos[i] <= size[i] - need) & (pos[js] <= size[js] - need) & (ids[js] != ids[i])
-                    return i + 1 + np.flatnonzero(ok & ~(linked[js] & linked[i]))
-
+                here = slice(int(bounds[g]), int(bounds[g + 1]))
+                ids, own = cols["rep"][here], cols["own"][here]
+                partners = rule(t, ids, *(cols[c][here] for c in columns))
+                if cols["i"][here.start] != cols["j"][here.start]:
+                    every = partners
+                    partners = lambda i, every=every, own=own: (js := every(i))[own[js] != own[i]]
                 _place(out, ids, partners)
                 yield from out.ready(200_000)
         yield from out.ready(1)
@@ -263,8 +325,8 @@ def _against_pivot(k: int, t: Threshold, frequent: np.ndarray, elements: bool) -
     """Streams regions: the pivot's text comes first, then each member's.
 
     Without ``elements``: links (a, b), between the pivot and all members and
-    among the whole ones, which are held in memory (at most LEAF for each of the
-    pivot's regions).  With it: a row with its distance per member, which has the
+    among the whole ones, which are held in memory (at most two slices of them).
+    With it: a row with its distance per member, which has the
     difference set of a linked one, and for members within 3r the leading elements
     of the difference set, each a region key.
     """
@@ -406,9 +468,8 @@ def _ball_counts(t: Threshold) -> Callable:
 
 def _links_in_balls(balls: DataFrame, pivots: DataFrame, t: Threshold) -> DataFrame:
     """(node, c): links between members of one ball (p, rep, n, diff); pivots has the balls of each rep."""
-    # One row per pivot, of which there are ORDER_MOST at most.
     width = balls.groupBy("p").agg(F.count("*").alias("size")).where("size > 1").select("p", F.expr(f"cast(ceil(size / {SLICE}) AS long)").alias("width"))
-    rows = balls.join(F.broadcast(width), "p").join(pivots, "rep")
+    rows = balls.join(width, "p").join(pivots, "rep")
     rows = rows.select("p", "rep", "n", "diff", "width", F.expr("pmod(xxhash64(rep), width)").alias("own"), F.expr("filter(pivots, q -> q < p)").alias("less"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, width - 1L)")))
     rows = rows.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "diff", "less")
@@ -419,16 +480,17 @@ def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent
     """Every place (p, id, whole) against whole sets, region by region; large regions are cut in slices that all get the pivot."""
     schema = "p long, rep long, linked boolean, dist double, e long, n long, size long, pos long, diff binary" if elements else "a long, b long"
     places = saved(places.groupBy("p", "id").agg(F.max("whole").alias("whole")), "places")
-    width = places.groupBy("p").agg(F.expr(f"1 + int(ceil(count_if(not whole) / {SLICE}))").alias("width"))
-    cut = F.expr("if(whole, 0, if(width > 1, 1 + pmod(xxhash64(id), width - 1), 0))").cast("long")
-    members = places.join(width, "p").select("id", "p", cut.alias("cut"), F.lit(True).alias("member"), "whole")
-    pivots = width.select("p", F.explode(F.expr("sequence(0L, width - 1L)")).alias("cut"))
-    pivots = pivots.select(F.col("p").alias("id"), "p", "cut", F.lit(False).alias("member"), F.lit(True).alias("whole"))
-    # A slice without members needs no pivot.
-    pivots = pivots.join(members.select("p", "cut").distinct(), ["p", "cut"], "left_semi").select("id", "p", "cut", "member", "whole")
-    places = saved(pivots.unionByName(members), "sliced")
-    if places.count() <= BROADCAST_IDS:
-        places = F.broadcast(places)
+    slices = lambda which: F.expr(f"cast(ceil(count_if({which}) / {SLICE}) AS long)")
+    width = places.groupBy("p").agg(slices("whole").alias("wide"), slices("NOT whole").alias("parts"))
+    # Whole members meet in blocks (negative cuts) where they are more than a slice; others are dealt to the cuts from 1 on.
+    own = "pmod(xxhash64(id), wide)"
+    blocks = f"transform(sequence(0L, wide - 1L), o -> -1L - least({own}, o) * wide - greatest({own}, o))"
+    cuts = F.expr(f"CASE WHEN NOT whole THEN array(1L + pmod(xxhash64(id), parts)) WHEN wide > 1 THEN {blocks} ELSE array(0L) END")
+    members = places.join(width, "p").select("id", "p", F.explode(cuts).alias("cut"), F.lit(True).alias("member"), "whole")
+    pivots = members.select("p", "cut").distinct().select(F.col("p").alias("id"), "p", "cut", F.lit(False).alias("member"), F.lit(True).alias("whole"))
+    sliced = saved(pivots.unionByName(members), "sliced")
+    release(places)
+    places = sliced
     rows = docs.join(places, docs.doc_id == places.id).select("p", "cut", "member", "whole", "id", "text")
     rows = rows.repartition("p", "cut").sortWithinPartitions("p", "cut", "member", F.desc("whole"), "id")
     return rows.mapInArrow(_against_pivot(k, t, frequent, elements), schema)
@@ -451,13 +513,14 @@ def components(links: DataFrame) -> DataFrame:
         # A forest of stars: every node hangs on one root, and no root hangs on another.
         b = after.groupBy("b").agg(F.count("*").alias("parents"))
         loose = b.where("parents > 1").limit(1).count() or after.select("a").distinct().join(b, F.col("a") == b.b, "left_semi").limit(1).count()
+        release(edges, large)
         edges = after
         if not loose:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, class_id, n_links, component_id.
+    """One row per doc_id of ``docs`` (doc_id, text, ...): doc_id, n_shingles, class_id, n_links, component_id.
 
     class_id is the smallest doc_id with the same shingle set; n_links counts all links of the class with other classes.
     """
@@ -476,31 +539,37 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         "classes",
     )
     held = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "s"))
-    place, links, balls = "p long, id long, whole boolean", [], None
-    light, places = held, []
+    place, light, heavy = "p long, id long, whole boolean", held, None
     if len(frequent):
         many = held.sparkSession.createDataFrame(pa.table({"s": frequent}))
         light = held.join(F.broadcast(many), "s", "left_anti")
         heavy = held.join(F.broadcast(many), "s", "left_semi")
-        # One row per frequent shingle, of which there are ORDER_MOST at most.
-        led = heavy.groupBy("s").agg(F.min(F.struct("pos", "rep", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-        heavy = heavy.join(F.broadcast(led), "s")
-        large = saved(heavy.where(f"size > {LEAF}").select("s", "rep", "n", "pos", F.col("p.rep").alias("p")), "large")
-        light = light.unionByName(heavy.where(f"size <= {LEAF}").select("rep", "n", "pos", "s"))
+        heavy = heavy.join(heavy.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "s")
+        light = light.select("s", "rep", "n", "pos").unionByName(heavy.where(f"size <= {LEAF}").select("s", "rep", "n", "pos"))
+        heavy = heavy.where(f"size > {LEAF}").select("s", "rep", "n", "pos")
+    light = light.select("s", "rep", "n", "pos").repartition("s").sortWithinPartitions("s", "n", "rep")
+    light = saved(light.mapInArrow(_light(t), LIGHT), "light")
+    found = [light.where("pos < 0").select("p", "id", "whole")]
+    large = light.where("pos >= 0").select("s", F.col("id").alias("rep"), "n", "pos")
+    large = large if heavy is None else large.unionByName(heavy)
+    led = large.groupBy("s").agg(F.min(F.struct("pos", "rep")).alias("led")).select("s", F.col("led.rep").alias("p"))
+    large = saved(large.join(led, "s"), "large")
+    links, balls = [], None
+    if large.limit(1).count():
         members = large.where("rep != p").select("p", F.col("rep").alias("id"), F.lit(False).alias("whole"))
         region = saved(_verified(docs, members, n, t, frequent, True), "region")
         seen = region.where("pos = -1").select("p", "rep", "linked", "dist")
-        near = region.where("pos >= 0").repartition("p", "e").sortWithinPartitions("p", "e", "n", "rep")
+        near = _blocks(region.where("pos >= 0").select("p", "e", "rep", "n", "pos", "size", "linked"), ["p", "e"], "NOT linked")
         far = seen.where(F.col("dist") > 2 * (1 - percent / 100) - 1e-9).select("p", "rep")
-        far = large.join(far, ["p", "rep"]).select("s", "rep", "n", "pos").repartition("s").sortWithinPartitions("s", "n", "rep")
+        far = _blocks(large.join(far, ["p", "rep"]).select("s", "rep", "n", "pos"), ["s"], "true")
         balls = region.where("pos = -1 AND linked").select("p", "rep", "n", "diff")
         links = [seen.where("linked").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))]
-        places = [near.mapInArrow(_near(t), place), far.mapInArrow(_direct(t), place)]
-    light = light.select("s", "rep", "n", "pos").repartition("s").sortWithinPartitions("s", "n", "rep")
-    found = light.mapInArrow(_direct(t), place)
-    for x in places:
-        found = found.union(x)
-    done = _verified(docs, found, n, t, frequent, False)
+        found.append(near.mapInArrow(_block_places(t, ["p", "e"], ("n", "pos", "size", "linked"), _by_difference), place))
+        found.append(far.mapInArrow(_block_places(t, ["s"], ("n", "pos"), _by_prefix), place))
+    every = found[0]
+    for x in found[1:]:
+        every = every.union(x)
+    done = _verified(docs, every, n, t, frequent, False)
     for x in links:
         done = done.union(x)
     done = saved(done.distinct(), "verified")
@@ -519,7 +588,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = classes.select("key", "rep").join(joined.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left")
     named = named.select("key", "rep", "n_links", F.coalesce("component", "rep").alias("component"))
     known = F.col("doc_id").isNotNull()
-    return rows.select("doc_id", "n", "key").join(named, "key", "left").select(
+    # Documents without a set meet no key.
+    bare = rows.where("key IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
+    keyed = rows.where("key IS NOT NULL").join(named, "key", "left").select("doc_id", "n", "rep", "n_links", "component")
+    return keyed.union(bare).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(known, F.coalesce("rep", "doc_id")).alias("class_id"),

@@ -62,13 +62,18 @@ def brute_components(rows, k, percent):
     return {d: (len(s), comp[d]) for d, s in sets.items()}
 
 
-def test_jaccard_join_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("listed, broadcast", [(True, "10m"), (False, "-1")])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, listed, broadcast):
     from llm import jaccard_join as jj
 
-    # Small limits, so that regions are split by pivots and joined on difference sets.
+    # Small limits, so that regions are split by pivots and joined on difference sets, in several blocks.
     monkeypatch.setattr(jj, "LEAF", 6)
     monkeypatch.setattr(jj, "ORDER_COUNT", 4)
     monkeypatch.setattr(jj, "SLICE", 8)
+    if not listed:
+        # Frequent shingles spread too thinly to be seen as such.
+        monkeypatch.setattr(jj, "COUNT_SLICE", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     r = random.Random(5)
     bases = [prose(r, n) for n in (60, 60, 90)]
     rows = []
@@ -78,10 +83,31 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
             w[r.randrange(len(w))] = r.choice(["new", "other", "odd", f"x{d % 11}"])
         rows.append((d, " ".join(w)))
     rows += [(d, t) for d, t, *_ in [(x[0] + 1000, *x[1:]) for x in EDGE]]
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    try:
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == brute_components(rows, 4, 85)
 
 
+def test_large_runs_pass_in_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    from llm.jaccard_join import _groups
+
+    s = np.array([1, 2, 2, 3, 3, 3, 3, 3, 3, 3, 4, 5, 5, 5, 5, 6])
+    for step in (1, 2, 3, 16):
+        batches = [pa.RecordBatch.from_arrays([pa.array(s[i : i + step])], ["s"]) for i in range(0, len(s), step)]
+        seen, most = {}, 0
+        for cols, bounds, large in _groups(iter(batches), ["s"], 3):
+            for a, b, big in zip(bounds[:-1], bounds[1:], large):
+                seen.setdefault((int(cols["s"][a]), bool(big)), []).append(int(b - a))
+                most = max(most, b - a)
+        assert {k: sum(v) for k, v in seen.items()} == {(1, False): 1, (2, False): 2, (3, True): 7, (4, False): 1, (5, True): 4, (6, False): 1}
+        assert all(len(v) == 1 for (_, big), v in seen.items() if not big) and most <= 3 + step
+
+
 def test_jaccard_join_counts_every_link(spark):
     from llm.bytewords import shingle_sets, texts_of
     from llm.jaccard_join import LEAF, SLICE, jaccard_join
