@@ -7,7 +7,7 @@ weights at zero, so the model is a short list that goes to every task.
 
 Edge cases: a null or empty text has the bias as its only feature; without
 labelled rows every score is 0.5; repeated labels of a document count once, as
-1 if any says so.
+1 if any says so; repeated rows of a document are learnt from side by side.
 """
 
 from __future__ import annotations

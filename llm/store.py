@@ -1,11 +1,14 @@
 """Intermediate tables in the folder that all executors share.
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir`` and reading it
-back, so a lost executor costs a re-read and not a recomputation.
+back, so a lost executor costs a re-read and not a recomputation.  A table that
+later steps don't read is released at once, and what is left of an application's
+tables goes when the driver's Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,21 +25,48 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none (tests)."""
+    """The shared folder.  Where the session names none, a temporary one is set for a local master; a cluster needs the setting."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
 
 
+_SAVED: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in _SAVED.items():
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _SAVED[root] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``saved`` that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.saved_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

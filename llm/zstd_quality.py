@@ -6,7 +6,8 @@ logistic curve fitted on labelled rows that the dictionaries have not seen
 makes it a probability.
 
 Edge cases: a null or empty text has difference 0; with labels of one kind only,
-or none, every score is 0.5.
+or none, every score is 0.5; repeated labels of a document count once, as 1 if
+any says so; repeated rows of a document are learnt from side by side.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from .bytewords import texts_of
 from .labelled import HELD_OUT, sample
 from .store import table
 
-#: At most this many labelled rows are used; DICTIONARY_SHARE of them make the dictionaries, the others the curve.
-FIT_ROWS, DICTIONARY_SHARE = 12_000, 0.6
-#: Samples of SAMPLE_BYTES a text and kind, spread over the whole text.
-SAMPLES_A_TEXT, SAMPLES_A_KIND, SAMPLE_BYTES = 4, 8_000, 2_048
+#: Labelled rows are learnt from whole, in the order of a hash, up to so many rows and bytes; a row that would go beyond the bytes is passed over.
+#: DICTIONARY_SHARE of the rows make the dictionaries, from all their bytes, the others the curve.
+FIT_ROWS, FIT_BYTES, DICTIONARY_SHARE = 12_000, 1 << 27, 0.6
+SAMPLE_BYTES = 2_048
 DICTIONARY_BYTES, LEVEL, PIECE = 65_536, 1, 512
 THRESHOLD = 0.7
 
@@ -54,8 +55,8 @@ class Differ:
 
 
 def _samples(text: bytes) -> list[bytes]:
-    starts = np.linspace(0, max(0, len(text) - SAMPLE_BYTES), min(SAMPLES_A_TEXT, 1 + len(text) // SAMPLE_BYTES)).astype(int)
-    return [text[i : i + SAMPLE_BYTES] for i in starts.tolist()]
+    """A whole text in pieces, as the dictionary's trainer takes them."""
+    return [text[i : i + SAMPLE_BYTES] for i in range(0, len(text), SAMPLE_BYTES)]
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -72,12 +73,16 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, labels = [], []
+    texts, labels, size = [], [], 0
     for batch in batches:
-        texts += [t.as_py() for t in texts_of(batch.column("text")).cast(pa.large_binary())]
-        labels += batch.column("label").to_pylist()
+        for t, label in zip(texts_of(batch.column("text")).cast(pa.large_binary()), batch.column("label").to_pylist()):
+            text = t.as_py()
+            if size + len(text) <= FIT_BYTES:
+                size += len(text)
+                texts.append(text)
+                labels.append(label)
     cut = int(len(texts) * DICTIONARY_SHARE)
-    kinds = [[s for t, v in zip(texts[:cut], labels[:cut]) if v == kind for s in _samples(t) if len(s) >= 8][:SAMPLES_A_KIND] for kind in (1, 0)]
+    kinds = [[s for t, v in zip(texts[:cut], labels[:cut]) if v == kind for s in _samples(t) if len(s) >= 8] for kind in (1, 0)]
     try:
         good, bad = (zstandard.train_dictionary(DICTIONARY_BYTES, k).as_bytes() for k in kinds)
     except (zstandard.ZstdError, ValueError):
@@ -98,22 +103,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, float, float]
     return (bytes(rows[0].good), bytes(rows[0].bad), rows[0].slope, rows[0].intercept) if rows else None
 
 
-def _score(model: tuple[bytes, bytes, float, float] | None):
+def _score(model: tuple[bytes, bytes, float, float] | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = Differ(model[0], model[1]) if model else lambda text: 0.0
         slope, intercept = model[2:] if model else (0.0, 0.0)
         for batch in batches:
             x = np.array([differ(t.as_py()) for t in texts_of(batch.column("text")).cast(pa.large_binary())])
             score = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     return run
 
 
-def with_score(docs: DataFrame, model: tuple[bytes, bytes, float, float] | None) -> DataFrame:
-    """``docs`` with a column score; a column of that name is replaced."""
-    docs = docs.drop("score")
-    return docs.mapInArrow(_score(model), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+def with_score(docs: DataFrame, model: tuple[bytes, bytes, float, float] | None, name: str = "score") -> DataFrame:
+    """``docs`` with a column of scores; a column of that name is replaced."""
+    docs = docs.drop(name)
+    return docs.mapInArrow(_score(model, name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
