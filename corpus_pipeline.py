@@ -6,8 +6,12 @@
 4 secrets      secrets in texts are masked; all documents stay
 5 tokens       texts become BPE ids
 
-Each stage but the last returns the columns of documents.  Null and empty texts
-pass stages 2 to 5 unchanged; an empty table stays one.
+Each stage but the last returns the columns of documents, whatever further ones
+there are.  Null and empty texts have no content that the quality classifier
+could accept or reject: their score is that of its curve at 0, and they pass
+stages 2 to 5 unchanged.  Of repeated rows one stays; other texts under one doc_id are
+documents of their own to stage 2, and so are rows without doc_id.  Stage 3
+removes by doc_id and leaves rows without one.  An empty table stays one.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from llm.bpe_stream import bpe_round_trip
 from llm.decontaminate import contaminated
-from llm.jaccard_join import BROADCAST_IDS, jaccard_join
+from llm.jaccard_join import jaccard_join
 from llm.secrets_forest import mask_secrets
 from llm.store import saved, table
 from llm.zstd_quality import fit, with_score
@@ -26,30 +30,42 @@ from llm.zstd_quality import fit, with_score
 REJECT_BELOW = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """``docs`` but for the ids (doc_id); a short list of them is broadcast, a long one joined by a shuffle."""
-    ids = saved(ids.distinct(), label)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+#: Names of helper columns, which no table of documents has.
+_SCORE, _KEY = "__pipeline_score", "__pipeline_key"
+
+
+def _without(docs: DataFrame, ids: DataFrame, key: str, label: str) -> DataFrame:
+    """``docs`` but for the ids in ``key``; the list is written first, so that the optimiser knows its size."""
+    return docs.join(saved(ids.distinct(), label), key, "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return with_score(docs, model).where(F.col("score") >= REJECT_BELOW).drop("score").select(docs.columns)
+    return with_score(docs, model, _SCORE).where(F.col(_SCORE) >= REJECT_BELOW).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join(docs, n=5, percent=80)
-    return _without(docs, groups.where("component_id != doc_id").select("doc_id"), "copies")
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        groups = jaccard_join(docs, n=5, percent=80)
+        return _without(docs, groups.where("component_id != doc_id").select("doc_id"), "doc_id", "copies")
+    # Ids repeat: rows get keys of their own, in the order of doc_id.
+    rows = docs.dropDuplicates(["doc_id", "text"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = saved(rows.withColumn(_KEY, F.monotonically_increasing_id()), "keyed")
+    groups = jaccard_join(rows.select(F.col(_KEY).alias("doc_id"), "text"), n=5, percent=80)
+    copies = groups.where("component_id != doc_id").select(F.col("doc_id").alias(_KEY))
+    return _without(rows, copies, _KEY, "copies").select(docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "doc_id", "leaks")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     masked = mask_secrets(docs)
-    return masked if length is None else masked.withColumn("n_chars", length)
+    if "n_chars" not in docs.columns:
+        return masked
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return masked.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
