@@ -538,7 +538,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         .select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.prefix"),
         "classes",
     )
-    held = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "s"))
+    held = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
     place, light, heavy = "p long, id long, whole boolean", held, None
     if len(frequent):
         many = held.sparkSession.createDataFrame(pa.table({"s": frequent}))
