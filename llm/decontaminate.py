@@ -1,46 +1,58 @@
-"""Benchmark decontamination by templates and by words.
-
-Texts become sequences of tokens: lower-cased words, and typed placeholders for
-numbers, for units right after a number, and for names (a capitalised word that
-doesn't begin a sentence).  Windows of WINDOW tokens are hashed twice, as
-templates and as lower-cased words; those of the benchmark are joined to those
-of every document by hash.  The first token of an item is looked for in both
-forms, as a document can have it anywhere in a sentence.
-
-Matching windows on one diagonal are one passage.  Windows of equal words count.
-Of the others, each slot value of the benchmark must have one value in the
-document, by type and with forms of a unit as one: "3 apples ... 3" against
-"5 apples ... 5" is the question with other parameters.  Where a value has
+"""Benchmark decontamination by templates, as a hash join of windows.
+
+Texts become sequences of tokens: lower-cased words, and typed slots for numbers
+(digits or number words), for units after a number ("4 kg" as well as "4kg"), and
+for names (capitalised words that are no common function words; words in a row are
+one name).  A second sequence has the names as plain words, so that a copy in
+other case is the same there.  Windows of WINDOW tokens of both are hashed; one
+with fewer than PLAIN_LEAST plain words says too little as a template and is hashed
+by its words as they stand.
+
+The benchmark's windows are a table.  The one scan of the documents hands on those
+of their windows that pass a Bloom filter of it (FILTER_BITS bits, whatever the
+benchmark's size), with their slot values, and a join by hash finds the rest.  A
+window that many documents or items share is a hot key of that join, which
+adaptive execution splits.  Nothing else of the benchmark is on the driver.
+
+Hits of a document and an item on one diagonal are one passage.  Windows with equal
+slot values count.  Of the others, each slot value of the benchmark must have one
+value in the document, by type and with forms of a unit as one: "3 apples ... 3"
+against "5 apples ... 5" is the question with other parameters.  Where a value has
 several, the most frequent holds (of equally frequent ones the unchanged one, or
-else none), and windows over other ones don't count: "3 ... 3" against "5 ... 7"
-is other text.
+else none), and windows over other ones don't count: "3 ... 3" against "5 ... 7" is
+other text.
 
-A document is contaminated by an item if windows that count cover COVERAGE of
-its windows, or if PASSAGE or more of its words stand in one run of them, however
-long the item is.  Benchmark windows go to the tasks in blocks of BLOCK_WINDOWS
-(16 MB), however many there are; all documents meet all blocks.
+A document is contaminated by an item if, in either sequence, windows that count
+cover COVERAGE of the item's windows, or PASSAGE or more equal words stand in one
+run of them, however long the item is.
 
 Edge cases: an item shorter than WINDOW is one window of its own length, and one
 with fewer than LEAST_TOKENS tokens is looked for as words only; one without
 tokens or with null text has none; a null or empty document has none; repeated
-rows give repeated results; letters beyond Latin-1 keep their case.
+rows give one result, as do repeated items; a document without doc_id gives
+results without doc_id; letters beyond Latin-1 keep their case; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_ALNUM, mix, shingle_hashes, slices, texts_of, word_hashes, word_spans
-from .store import table
+from .store import saved, table
 
-WINDOW, LEAST_TOKENS, COVERAGE, PASSAGE = 8, 4, 0.5, 13
-BLOCK_WINDOWS = 1 << 18
+WINDOW, LEAST_TOKENS, PLAIN_LEAST, COVERAGE, PASSAGE = 8, 4, 3, 0.5, 13
+#: Bits of the filter, in cells of 64 (8 MB in a task).
+FILTER_BITS = 1 << 26
+# Units, their forms, number words, and function words that are no names when capitalised.
 UNITS = (
     "percent kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches yard yards l ml liter liters litre litres "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
@@ -48,29 +60,39 @@ UNITS = (
 ).split()
 _ONE_UNIT = {"lbs": "lb", "feet": "foot", "inches": "inch", "litre": "liter", "litres": "liter", "sec": "second", "min": "minute", "hr": "hour", "h": "hour", "s": "second"}
 _ONE_UNIT |= {u: u[:-1] for u in UNITS if u[-1] == "s" and u[:-1] in UNITS and u not in _ONE_UNIT}
-_FORMS = {a.encode(): b.encode() for a, b in _ONE_UNIT.items()}
-#: Sets hashes of words apart from those of templates.
-_WORDS = np.uint64(0xA0761D6478BD642F)
-_NUMBER, _UNIT, _NAME = np.uint64(1), np.uint64(2), np.uint64(3)
+NUMBERS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
+NUMBERS |= {w: str(10 * i) for i, w in enumerate("thirty forty fifty sixty seventy eighty ninety hundred".split(), 3)} | {"thousand": "1000", "million": "1000000"}
+FUNCTION_WORDS = (
+    "a about after all also although an and any are as at because been before between both but by can could did do does during each either every few find first for from "
+    "give given had has have he her here hers him his how however i if in into is it its just let many may more most much must my neither no nor not now of on once only "
+    "or other our out over per shall she should show since so some such than that the their them then there these they this those though through thus to under until up "
+    "us was we were what when where whether which while who whom whose why will with within without would yet you your"
+).split()
+#: Sets hashes of both sequences, and of windows by words, apart.
+_SALTS, _WORDS = (np.uint64(0), np.uint64(0x8EBC6AF09C88C6E3)), np.uint64(0xA0761D6478BD642F)
+_NUMBER, _UNIT, _NAME = 1, 2, 3
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
-_STOP = np.zeros(256, dtype=bool)
-_STOP[list(b".!?:;\n|\"")] = True
 
 
-def _hashes_of(words: list[str]) -> np.ndarray:
+def _hashes_of(words) -> np.ndarray:
+    words = list(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     data = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
     return np.sort(word_hashes(data, np.concatenate([[0], ends[:-1] + 1]), ends))
 
 
-_UNIT_HASHES = _hashes_of(UNITS)
+_UNIT_HASHES, _NUMBER_HASHES, _FUNCTION_HASHES = map(_hashes_of, (UNITS, NUMBERS, FUNCTION_WORDS))
+
+
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
 
 
 class Tokens:
-    """Template codes of the tokens of some texts, and where each token stands."""
+    """Tokens of some texts: word hashes, kinds of slots, and where each token stands."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         low = data.copy()
@@ -78,211 +100,219 @@ class Tokens:
         # Two-byte capitals of Latin-1: C3 80 to C3 9E, but for the multiplication sign.
         latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         low[latin] += 0x20
-        joined = NOT_ALNUM[low].copy()
-        digit = _DIGIT[low]
+        digit, apart = _DIGIT[low], NOT_ALNUM[low]
         # A point or comma between digits belongs to the number.
         inner = np.zeros(len(data), dtype=bool)
         inner[1:-1] = ((low[1:-1] == 46) | (low[1:-1] == 44)) & digit[:-2] & digit[2:]
         # Bytes of separators become spaces, those of numbers digits, so that spans need no table of their own.
-        plain = np.where(joined & ~inner, np.uint8(32), np.where(inner, np.uint8(48), low))
-        self.data, self.low = data, low
-        self.starts, self.ends, self.rows = starts, ends, rows = word_spans(plain, offs)
-        codes = word_hashes(low, starts, ends)
-        self.words = codes.copy()
-        self.slot = np.zeros(len(codes), dtype=np.uint8)
-        self.opens_with_name = False
-        if len(codes):
-            digits = np.concatenate([[0], np.cumsum(digit | inner)])
+        plain = np.where(apart & ~inner, np.uint8(32), np.where(inner, np.uint8(48), low))
+        starts, ends, _ = word_spans(plain, offs)
+        digits = np.concatenate([[0], np.cumsum(digit | inner)])
+        if len(starts):
+            # Letters right after a number are a token of their own.
+            turn = 1 + np.flatnonzero((digit | inner)[:-1] & ~(digit | inner | apart)[1:])
+            of = np.searchsorted(starts, turn, side="right") - 1
+            turn = turn[(turn < ends[of]) & (digits[turn] - digits[starts[of]] == turn - starts[of])]
+            starts, ends = np.sort(np.concatenate([starts, turn])), np.sort(np.concatenate([ends, turn]))
+        self.low, self.starts, self.ends, self.rows = low, starts, ends, np.searchsorted(starts, offs)
+        self.words = word_hashes(low, starts, ends)
+        self.slot = np.zeros(len(starts), dtype=np.uint8)
+        self.spelt = np.zeros(len(starts), dtype=bool)
+        if len(starts):
             number = digits[ends] - digits[starts] == ends - starts
-            after = np.zeros(len(codes), dtype=bool)
-            after[1:] = number[:-1]
-            first = np.zeros(len(codes), dtype=bool)
-            first[rows[:-1][rows[:-1] < rows[1:]]] = True
-            at = np.minimum(np.searchsorted(_UNIT_HASHES, codes), len(_UNIT_HASHES) - 1)
-            unit = after & ~first & (_UNIT_HASHES[at] == codes)
-            stops = np.concatenate([[0], np.cumsum(_STOP[data])])
-            begins = first.copy()
-            begins[1:] |= stops[starts[1:]] > stops[ends[:-1]]
-            upper = _UPPER[data] | latin
+            self.spelt = _among(self.words, _NUMBER_HASHES)
+            after = np.zeros(len(starts), dtype=bool)
+            after[1:] = (number | self.spelt)[:-1]
+            after[self.rows[:-1][self.rows[:-1] < self.rows[1:]]] = False
+            capital = _UPPER[data] | latin
             wide = data[starts] == 0xC3
-            capital = np.where(wide, upper[np.minimum(starts + 1, len(data) - 1)], upper[starts])
+            first = np.where(wide, capital[np.minimum(starts + 1, len(data) - 1)], capital[starts])
             second = np.minimum(starts + 1 + wide, len(data) - 1)
-            shouted = (second >= ends) | upper[second] | ((data[second] == 0xC3) & upper[np.minimum(second + 1, len(data) - 1)])
-            proper = capital & ~shouted & ~number
-            name = proper & ~begins
-            self.opens_with_name = bool(proper[0])
-            for kind, mask in ((_NUMBER, number), (_UNIT, unit), (_NAME, name)):
-                codes[mask] = kind
-                self.slot[mask] = kind
-        self.codes = codes
-
-    def value(self, i: int) -> bytes:
-        return self.low[self.starts[i] : self.ends[i]].tobytes()
-
-    def folded(self, i: int, kind: int) -> bytes:
-        """The value, with one form for those of a unit."""
-        value = self.value(i)
-        return _FORMS.get(value, value) if kind == _UNIT else value
-
-
-def _windows(codes: np.ndarray, width: int) -> np.ndarray:
-    # Windows of other lengths are told apart by shingle_hashes; mixing keeps the small slot codes apart from words.
-    return shingle_hashes(mix(codes), width) if len(codes) >= width else codes[:0]
-
-
-class Windows:
-    """Sorted hashes of windows with item and place."""
-
-    def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-        empty = np.zeros(0, np.int64)
-        h = np.concatenate([w for _, w, _ in parts]) if parts else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owner = (np.concatenate([np.full(len(w), item) for item, w, _ in parts]) if parts else empty)[order]
-        self.place = (np.concatenate([at for *_, at in parts]) if parts else empty)[order]
-
-    def hits(self, t: Tokens, codes: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item, diagonal, place) of the windows found."""
-        if len(codes) < width or not len(self.hashes):
-            return
-        w = _windows(codes, width)
-        at = np.minimum(np.searchsorted(self.hashes, w), len(self.hashes) - 1)
-        hit = np.flatnonzero(self.hashes[at] == w)
-        # A window stays within its row.
-        row = np.searchsorted(t.rows, hit, side="right") - 1
-        inside = hit + width <= t.rows[row + 1]
-        hit, row = hit[inside], row[inside]
-        ends = np.searchsorted(self.hashes, w[hit], side="right")
-        for h, r, a, b in zip(hit.tolist(), row.tolist(), at[hit].tolist(), ends.tolist()):
-            for k in range(a, b):
-                place = int(self.place[k])
-                yield r, int(self.owner[k]), h - place, place
-
-
-class Index:
-    """Windows of a block of items, as templates and as words, and each item's slots and words."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.names, self.counts, self.slots, self.words, self.widths = [], [], [], [], set()
-        templates, words = [], []
-        for name, text in items:
-            data = np.frombuffer(text.encode(), np.uint8)
-            t = Tokens(data, np.array([0, len(data)]))
-            n, item = len(t.codes), len(self.names)
-            if not n:
+            shouted = (second >= ends) | capital[second] | ((data[second] == 0xC3) & capital[np.minimum(second + 1, len(data) - 1)])
+            self.slot[first & ~shouted & ~_among(self.words, _FUNCTION_HASHES)] = _NAME
+            self.slot[after & _among(self.words, _UNIT_HASHES)] = _UNIT
+            self.slot[number | self.spelt] = _NUMBER
+
+    def sequence(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that begin an element of the sequence of a kind, and their slots; kind 1 has names as words."""
+        slot = self.slot if kind == 0 else np.where(self.slot == _NAME, 0, self.slot).astype(np.uint8)
+        again = np.zeros(len(slot), dtype=bool)
+        if len(slot):
+            near = self.starts[1:] == self.ends[:-1] + 1
+            near &= np.isin(np.arange(1, len(slot)), self.rows, invert=True)
+            again[1:] = near & (((slot[1:] == _NAME) & (slot[:-1] == _NAME)) | (self.spelt[1:] & self.spelt[:-1]))
+        at = np.flatnonzero(~again)
+        return at, slot[at]
+
+    def values(self, at: np.ndarray, slot: np.ndarray, i: int, width: int) -> list[str | None]:
+        """Values of the slots among elements i to i + width - 1: the kind and the folded text."""
+        out: list[str | None] = []
+        for k in range(i, i + width):
+            if not slot[k]:
+                out.append(None)
                 continue
-            width = min(WINDOW, n)
-            places = np.arange(n - width + 1)
-            self.widths.add(width)
-            words.append((item, _windows(t.words ^ _WORDS, width), places))
-            slots = [(int(t.slot[i]), t.folded(i, t.slot[i])) if t.slot[i] else None for i in range(n)]
-            if n >= LEAST_TOKENS:
-                templates.append((item, _windows(t.codes, width), places))
-                if t.opens_with_name:
-                    named = t.codes[:width].copy()
-                    named[0] = _NAME
-                    templates.append((item, _windows(named, width), places[:1]))
-                    slots[0] = int(_NAME), t.value(0)
-            self.names.append(name)
-            self.counts.append((len(places), width))
-            self.slots.append(slots)
-            self.words.append(t.words)
-        self.templates, self.literal = Windows(templates), Windows(words)
-
-    def _kept(self, t: Tokens, item: int, diagonal: int, places: set[int], equal: set[int]) -> set[int]:
-        """The places that count: of equal words, or with slot values that hold."""
-        if places <= equal:
-            return equal
-        width, images, own = self.counts[item][1], defaultdict(Counter), {}
-        for i in sorted({p + j for p in places | equal for j in range(width)}):
-            slot = self.slots[item][i]
-            if slot is not None:
-                own[i] = t.folded(diagonal + i, slot[0])
-                images[slot][own[i]] += 1
-        holds = {}
-        for slot, values in images.items():
-            most = max(values.values())
-            best = [v for v, n in values.items() if n == most]
-            holds[slot] = best[0] if len(best) == 1 else slot[1] if slot[1] in best else None
-        bad = {i for i, value in own.items() if holds[self.slots[item][i]] != value}
-        return equal | {p for p in places if bad.isdisjoint(range(p, p + width))}
-
-    def _passage(self, t: Tokens, item: int, diagonal: int, places: set[int]) -> int:
-        """The most words of the item that stand in one run of windows."""
-        longest, width = 0, self.counts[item][1]
-        run = sorted(places)
-        begin = 0
-        for k in range(1, len(run) + 1):
-            if k == len(run) or run[k] != run[k - 1] + 1:
-                a, b = run[begin], run[k - 1] + width
-                longest = max(longest, int((self.words[item][a:b] == t.words[diagonal + a : diagonal + b]).sum()))
-                begin = k
-        return longest
-
-    def matches(self, t: Tokens) -> Iterator[tuple[int, int, int, int, float, bool]]:
-        """(row, item, windows matched, first token, coverage, same values) of contaminated rows."""
-        if not len(t.codes):
-            return
-        passages = defaultdict(lambda: (set(), set()))  # (row, item, diagonal) -> places of templates, of words
-        for width in sorted(self.widths):
-            for side, found in enumerate((self.templates.hits(t, t.codes, width), self.literal.hits(t, t.words ^ _WORDS, width))):
-                for row, item, diagonal, place in found:
-                    passages[row, item, diagonal][side].add(place)
-        covered, starts, same, longest = defaultdict(set), {}, {}, Counter()
-        for (row, item, diagonal), (places, equal) in passages.items():
-            kept = self._kept(t, item, diagonal, places, equal)
-            if kept:
-                covered[row, item] |= kept
-                starts[row, item] = min(starts.get((row, item), 1 << 60), diagonal + min(kept))
-                same[row, item] = same.get((row, item), True) and kept <= equal
-                longest[row, item] = max(longest[row, item], self._passage(t, item, diagonal, kept))
-        for (row, item), places in sorted(covered.items()):
-            share = len(places) / self.counts[item][0]
-            if share >= COVERAGE or longest[row, item] >= PASSAGE:
-                yield row, item, len(places), starts[row, item] - int(t.rows[row]), share, same[row, item]
+            until = at[k + 1] if k + 1 < len(at) else len(self.starts)
+            words = [self.low[self.starts[j] : self.ends[j]].tobytes().decode(errors="replace").lower() for j in range(at[k], until)]
+            if slot[k] == _NUMBER:
+                words = [NUMBERS.get(w, w.replace(",", "")) for w in words]
+            elif slot[k] == _UNIT:
+                words = [_ONE_UNIT.get(w, w) for w in words]
+            out.append(f"{slot[k]}{' '.join(words)}")
+        return out
+
+
+def _windows(words: np.ndarray, slot: np.ndarray, kind: int, width: int) -> np.ndarray:
+    """Hashes of all windows of a sequence; of fewer than PLAIN_LEAST plain words, or a width below LEAST_TOKENS, by the words alone."""
+    if len(words) < width:
+        return words[:0]
+    salt = _SALTS[kind]
+    templates = shingle_hashes(mix(np.where(slot > 0, slot.astype(np.uint64), words) ^ salt), width)
+    literal = shingle_hashes(mix(words ^ salt ^ _WORDS), width)
+    plain = np.concatenate([[0], np.cumsum(slot == 0)])
+    few = plain[width:] - plain[:-width] < PLAIN_LEAST
+    return literal if width < LEAST_TOKENS else np.where(few, literal, templates)
+
+
+def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in the filter."""
+    shift = np.uint64(65 - FILTER_BITS.bit_length())
+    return tuple((h >> shift).astype(np.int64) for h in (hashes, hashes * np.uint64(0x9E3779B97F4A7C15)))
+
+
+ITEMS = "item_id long, item_hash long, kind int, width int, n_windows int, place int, hash long, bit_1 long, bit_2 long, item_values array<string>"
+WINDOWS = "doc_id long, text_hash long, hash long, place int, word int, doc_values array<string>"
+HITS = "doc_id long, text_hash long, item_id long, item_hash long, kind int, n_windows int, diagonal int, place int, word int, doc_values array<string>, item_values array<string>"
+FOUND = "doc_id long, item_id long, n_windows long, coverage double, first_word long, reworded boolean"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
-FOUND = "doc_id long, item_id long, n_windows long, coverage double, first_word long, reworded boolean"
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, h, text in zip(batch.column("item_id").to_pylist(), batch.column("item_hash").to_pylist(), batch.column("text").to_pylist()):
+            data = np.frombuffer(text.encode(), np.uint8)
+            t, rows = Tokens(data, np.array([0, len(data)])), []
+            for kind in (0, 1):
+                at, slot = t.sequence(kind)
+                width = min(WINDOW, len(at))
+                if width:
+                    hashes = _windows(t.words[at], slot, kind, width)
+                    for i, (x, a, b) in enumerate(zip(hashes.view(np.int64).tolist(), *(b.tolist() for b in _bits(hashes)))):
+                        rows.append((item, h, kind, width, len(hashes), i, x, a, b, t.values(at, slot, i, width)))
+            yield _batch(rows, ITEMS)
 
 
-def _scan(items: list[tuple[int, str]]):
+def _doc_windows(cells: Broadcast, widths: list[tuple[int, int]]) -> Callable:
+    """Windows of the documents that pass the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        at, bits = cells.value
+        table_ = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+        table_[at] = bits
+        known = lambda b: (table_[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
         for batch in batches:
-            out, ids = [], batch.column("doc_id").to_pylist()
+            ids, hashes = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash"))
             for first, data, offs in slices(texts_of(batch.column("text"))):
-                for row, item, n, start, share, same in index.matches(Tokens(data, offs)):
-                    out.append((ids[first + row], index.names[item], n, share, start, not same))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [c.split()[0] for c in FOUND.split(", ")])
+                t, rows = Tokens(data, offs), []
+                for kind in sorted({k for k, _ in widths}):
+                    begins, slot = t.sequence(kind)
+                    of = np.searchsorted(begins, t.rows)
+                    for width in [w for k, w in widths if k == kind]:
+                        h = _windows(t.words[begins], slot, kind, width)
+                        one, two = _bits(h)
+                        hit = np.flatnonzero(known(one))
+                        hit = hit[known(two[hit])]
+                        # A window stays within its text.
+                        row = np.searchsorted(of, hit, side="right") - 1
+                        inside = hit + width <= of[row + 1]
+                        for i, r in zip(hit[inside].tolist(), row[inside].tolist()):
+                            rows.append((ids[first + r], hashes[first + r], int(h[i].view(np.int64)), i - int(of[r]), int(begins[i] - t.rows[r]), t.values(begins, slot, i, width)))
+                if rows:
+                    yield _batch(rows, WINDOWS)
 
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size; one block is on the driver at a time."""
-    block, size = [], 0
-    rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        block.append((r.item_id, r.text))
-        size += 1 + len(r.text) // 4
-        if size >= BLOCK_WINDOWS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+Window = tuple[int, int, list, list]  # place, first word, values in the document, values in the item
+
+
+def _kept(passage: list[Window]) -> tuple[list[Window], bool]:
+    """The windows of one diagonal that count, and whether all of them have equal values."""
+    if all(d == i for *_, d, i in passage):
+        return passage, True
+    pairs = {p + k: (i, d) for p, _, ds, is_ in passage for k, (d, i) in enumerate(zip(ds, is_)) if i is not None}
+    images: dict[str, Counter] = defaultdict(Counter)
+    for i, d in pairs.values():
+        images[i][d] += 1
+    holds = {}
+    for i, seen in images.items():
+        best = [d for d, n in seen.items() if n == max(seen.values())]
+        holds[i] = best[0] if len(best) == 1 else i if i in best else None
+    kept = [w for w in passage if w[2] == w[3] or all(i is None or holds[i] == d for d, i in zip(w[2], w[3]))]
+    return kept, all(w[2] == w[3] for w in kept)
+
+
+def _longest(kept: list[Window]) -> int:
+    """The most equal words in one run of windows."""
+    longest, run, last = 0, set(), None
+    for place, _, ds, is_ in kept:
+        if last is not None and place != last + 1:
+            run = set()
+        run |= {place + k for k, (d, i) in enumerate(zip(ds, is_)) if d == i}
+        longest, last = max(longest, len(run)), place
+    return longest
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted hits to contaminated documents; one diagonal's windows are held at a time."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    out = []
+    for (doc, _, item, _), hits in groupby(rows(), key=lambda r: r[:4]):
+        best = None
+        for (_, total), of_kind in groupby(hits, key=lambda r: r[4:6]):
+            covered, word, same, longest = set(), None, True, 0
+            for _, passage in groupby(of_kind, key=lambda r: r[6]):
+                kept, equal = _kept([r[7:] for r in passage])
+                if kept:
+                    covered |= {w[0] for w in kept}
+                    word = min(kept[0][1], kept[0][1] if word is None else word)
+                    same, longest = same and equal, max(longest, _longest(kept))
+            if len(covered) >= COVERAGE * total or longest >= PASSAGE:
+                best = max(best or (0.0,), (len(covered) / total, same, len(covered), word))
+        if best:
+            share, same, n, word = best
+            out.append((doc, item, n, share, word, not same))
+        if len(out) >= 10_000:
+            yield _batch(out, FOUND)
+            out = []
+    yield _batch(out, FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each contaminated document and item: the windows found, their share of the item's, the first token, and whether slot values differ."""
-    rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text")
-    found = [rows.mapInArrow(_scan(block), FOUND) for block in _blocks(benchmark)]
-    if not found:
-        return rows.where("false").mapInArrow(_scan([]), FOUND)
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    items = saved(items.select("item_id", F.xxhash64("text").alias("item_hash"), "text").mapInArrow(_item_windows, ITEMS), "items")
+    cells = items.select(F.explode(F.array("bit_1", "bit_2")).alias("bit")).groupBy(F.expr("bit div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits")).toArrow()
+    cells = spark.sparkContext.broadcast((cells.column("cell").to_numpy(), cells.column("bits").to_numpy().view(np.uint64)))
+    # At most WINDOW widths of either kind.
+    widths = sorted((r.kind, r.width) for r in items.select("kind", "width").distinct().collect())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
+    windows = rows.mapInArrow(_doc_windows(cells, widths), WINDOWS)
+    hits = windows.alias("w").join(items.alias("i"), "hash").select(
+        "doc_id", "text_hash", "item_id", "item_hash", "kind", "n_windows", F.expr("w.place - i.place").alias("diagonal"), F.col("i.place").alias("place"), "word", "doc_values", "item_values"
+    )
+    group = ["doc_id", "text_hash", "item_id", "item_hash"]
+    hits = hits.distinct().repartition(*group).sortWithinPartitions(*group, "kind", "n_windows", "diagonal", "place", "word")
+    return hits.mapInArrow(_judge, FOUND)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,6 +304,114 @@ def test_decontamination_by_words(spark):
     assert sorted((x.doc_id, x.item_id) for x in got) == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 4)]
 
 
+def brute_contaminated(doc, item):
+    """The rule for one document and one item, on ASCII texts, window against window."""
+    from llm.decontaminate import _ONE_UNIT, FUNCTION_WORDS, NUMBERS, UNITS
+
+    def tokens(text):
+        out = []
+        for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[A-Za-z0-9]+", text):
+            w, low = m[0], m[0].lower()
+            kind = "n" if w[0].isdigit() and not re.search("[a-zA-Z]", w) or low in NUMBERS else "u" if low in UNITS and out and out[-1][1] == "n" else ""
+            if not kind and w[0].isupper() and w[1:2].islower() and low not in FUNCTION_WORDS:
+                kind = "N"
+            out.append((low, kind, m.start(), m.end()))
+        return out
+
+    def sequence(text, names):
+        out, last = [], None
+        for low, kind, a, b in tokens(text):
+            kind = "" if kind == "N" and not names else kind
+            spelt = kind == "n" and low in NUMBERS
+            value = NUMBERS.get(low, low.replace(",", "")) if kind == "n" else _ONE_UNIT.get(low, low) if kind == "u" else low
+            if last and a == last[1] + 1 and kind and kind == last[0] and (kind == "N" or spelt and last[2]):
+                out[-1] = out[-1][0], kind, out[-1][2] + " " + value
+            else:
+                out.append((low, kind, value))
+            last = kind, b, spelt
+        return out
+
+    for names in (True, False):
+        d, i = sequence(doc, names), sequence(item, names)
+        w = min(8, len(i))
+        if not w:
+            continue
+
+        def alike(x, y):
+            if w < 4 or sum(not k for _, k, _ in y) < 3 or sum(not k for _, k, _ in x) < 3:
+                return [v[0] for v in x] == [v[0] for v in y]
+            return all(a[1] == b[1] and (a[1] or a[0] == b[0]) for a, b in zip(x, y))
+
+        covered, longest = set(), 0
+        for shift in range(-len(i), len(d)):
+            places = [p for p in range(len(i) - w + 1) if 0 <= p + shift <= len(d) - w and alike(d[p + shift : p + shift + w], i[p : p + w])]
+            images = {}
+            for p in {p + k for p in places for k in range(w)}:
+                if i[p][1]:
+                    images.setdefault(i[p][1:], []).append(d[p + shift][2])
+            holds = {}
+            for slot, seen in images.items():
+                best = {v for v in seen if seen.count(v) == max(map(seen.count, seen))}
+                holds[slot] = best.pop() if len(best) == 1 else slot[1] if slot[1] in best else None
+            equal = lambda p: d[p + shift][2] == i[p][2] or not i[p][1]
+            fits = lambda p: not i[p][1] or holds[i[p][1:]] == d[p + shift][2]
+            kept = [p for p in places if all(map(equal, range(p, p + w))) or all(map(fits, range(p, p + w)))]
+            covered |= set(kept)
+            runs = {p: {p} for p in kept}
+            for p in kept:
+                if p - 1 in runs:
+                    runs[p] = runs[p - 1] | {p}
+                longest = max(longest, sum(equal(q) for q in {p + k for p in runs[p] for k in range(w)}))
+        if len(covered) >= 0.5 * (len(i) - w + 1) or longest >= 13:
+            return True
+    return False
+
+
+def test_decontamination_against_brute_force_and_reworded_items(spark):
+    from llm.decontaminate import contaminated
+
+    r = random.Random(21)
+    names, places = "Alice Bob Carol Dmitri Elena Farid".split(), "Paris Rome Oslo Lima Cairo Quito".split()
+    spelt = "zero one two three four five six seven eight nine ten eleven twelve".split()
+    units = ["kg", "km", "hours", "dollars"]
+
+    def item(i):
+        a, b, c = r.sample(range(2, 12), 3)
+        who, where, unit = r.choice(names), r.choice(places), r.choice(units)
+        w = prose(random.Random(i), 20)
+        w = [" ".join(w[k : k + 5]) for k in range(0, 20, 5)]
+        return lambda who=who, where=where, a=a, b=b, unit=unit, attach=False, spell=False: (
+            f"On a {w[0]} day {who} took {spelt[a] if spell else a} {w[1]} to {where}. There {who} sold {b}{'' if attach else ' '}{unit} {w[2]} so how many of the {spelt[a] if spell else a} {w[3]} are left?"
+        )
+
+    made = [item(i) for i in range(12)]
+    items = [(i, f()) for i, f in enumerate(made)] + [(50, "What is the capital of France?"), (51, "3 4 5 6 7 8 9 10 11"), (52, "too short")]
+    changes = (
+        lambda f: f(a=20, b=31), lambda f: f(who="Mary Ann", where="New York", a=15), lambda f: f(attach=True, b=99), lambda f: f(spell=True, where="Bern"),
+        lambda f: f(a=14, b=13).title(), lambda f: f(a=19).lower(), lambda f: f().upper(),
+    )
+    filler = lambda n: " ".join(prose(r, n))
+    docs = [(100 * k + i, f"{filler(20)}. {change(f)} {filler(20)}") for k, change in enumerate(changes, 1) for i, f in enumerate(made)]
+    docs += [(5000 + i, f"{filler(30)} {r.choice(names)} sold {r.randrange(99)} kg of {filler(30)}") for i in range(10)]
+    docs += [(6000, f"{filler(9)} 3 4 5 6 7 8 9 10 11 {filler(9)}"), (6001, f"{filler(9)} 4 5 6 7 8 9 10 11 12 {filler(9)}"), (6002, "So what is the capital of France, or Spain?"), (6003, "is it Too short")]
+    docs += [(6010 + i, " ".join(items[i][1].split()[j : j + n]) + " " + filler(9)) for i, (j, n) in enumerate([(0, 9), (3, 14), (0, 18), (5, 12), (9, 22)])]
+    long = f"{filler(150_000)} {items[3][1]}"
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs_df = spark.createDataFrame([(d, t, 1, 2) for d, t in [*docs, docs[0], (7000, long), (None, items[1][1])]], "doc_id long, text string, item_id int, hash int")
+    got = contaminated(docs_df, bench.union(bench)).collect()
+    pairs = sorted((x.doc_id, x.item_id) for x in got if x.doc_id is not None and x.doc_id < 7000)
+    assert pairs == sorted((d, i) for d, t in docs for i, q in items if brute_contaminated(t, q))
+    for k in range(1, len(changes) + 1):
+        assert sum((100 * k + i, i) in pairs for i in range(12)) >= 11
+    assert not [p for p in pairs if p[0] < 1000 and p[0] % 100 != p[1] or 5000 <= p[0] < 6000]
+    assert [(x.item_id) for x in got if x.doc_id == 7000] == [3] and [x.item_id for x in got if x.doc_id is None] == [1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, contaminated(docs_df, bench).collect()), key=str) == sorted(map(tuple, got), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # 7 --------------------------------------------------------------------------------------------------------------
 
 
