@@ -59,6 +59,8 @@ ORDER_COUNT, ORDER_MOST = 16, 262_144
 COUNT_SLICE = 1 << 21
 #: Members of a region that are compared with its pivot in one task; members of a group on each side of a block.
 SLICE = 256
+#: Bits of the filter by which documents without a place stay out of the join with places (262,144 cells, 4 MB).
+FILTER_BITS = 1 << 24
 #: Columns of the dense tables in which a block's shared elements are counted (2 MB a side).
 COLUMNS = 2048
 
@@ -476,6 +478,15 @@ def _links_in_balls(balls: DataFrame, pivots: DataFrame, t: Threshold) -> DataFr
     return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_ball_counts(t), "node long, c long")
 
 
+def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is among the ids (id), and few others: what a bitmap of fixed size can tell without a shuffle of texts."""
+    bit = f"pmod(xxhash64({{}}), {FILTER_BITS}L)"
+    cells = ids.select(F.expr(bit.format("id")).alias("bit")).groupBy(F.expr("bit div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits"))
+    marked = docs.withColumn("bit", F.expr(bit.format("doc_id"))).withColumn("cell", F.expr("bit div 64"))
+    # At most FILTER_BITS / 64 cells.
+    return marked.join(F.broadcast(cells), "cell").where("bit_get(bits, int(bit % 64)) = 1").select(docs.columns)
+
+
 def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent: np.ndarray, elements: bool) -> DataFrame:
     """Every place (p, id, whole) against whole sets, region by region; large regions are cut in slices that all get the pivot."""
     schema = "p long, rep long, linked boolean, dist double, e long, n long, size long, pos long, diff binary" if elements else "a long, b long"
@@ -491,7 +502,8 @@ def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent
     sliced = saved(pivots.unionByName(members), "sliced")
     release(places)
     places = sliced
-    rows = docs.join(places, docs.doc_id == places.id).select("p", "cut", "member", "whole", "id", "text")
+    # Texts are dealt by document and then by region, at every size alike.
+    rows = _holding(docs, places).join(places.hint("merge"), F.col("doc_id") == F.col("id")).select("p", "cut", "member", "whole", "id", "text")
     rows = rows.repartition("p", "cut").sortWithinPartitions("p", "cut", "member", F.desc("whole"), "id")
     return rows.mapInArrow(_against_pivot(k, t, frequent, elements), schema)
 
@@ -538,6 +550,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         .select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.prefix"),
         "classes",
     )
+    ids = saved(rows.select("doc_id", "n", "key"), "ids")
+    release(rows)
     held = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
     place, light, heavy = "p long, id long, whole boolean", held, None
     if len(frequent):
@@ -554,6 +568,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     large = large if heavy is None else large.unionByName(heavy)
     led = large.groupBy("s").agg(F.min(F.struct("pos", "rep")).alias("led")).select("s", F.col("led.rep").alias("p"))
     large = saved(large.join(led, "s"), "large")
+    names = saved(classes.select("key", "rep"), "names")
+    release(classes)
     links, balls = [], None
     if large.limit(1).count():
         members = large.where("rep != p").select("p", F.col("rep").alias("id"), F.lit(False).alias("whole"))
@@ -585,12 +601,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     for x in inside:
         degree = degree.union(x)
     degree = degree.groupBy("node").agg(F.sum("c").alias("n_links"))
-    named = classes.select("key", "rep").join(joined.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left")
+    named = names.join(joined.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left")
     named = named.select("key", "rep", "n_links", F.coalesce("component", "rep").alias("component"))
     known = F.col("doc_id").isNotNull()
     # Documents without a set meet no key.
-    bare = rows.where("key IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
-    keyed = rows.where("key IS NOT NULL").join(named, "key", "left").select("doc_id", "n", "rep", "n_links", "component")
+    bare = ids.where("key IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
+    keyed = ids.where("key IS NOT NULL").join(named, "key", "left").select("doc_id", "n", "rep", "n_links", "component")
     return keyed.union(bare).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
