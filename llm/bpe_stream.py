@@ -6,18 +6,24 @@ tokens is an encoding exactly when each adjacent pair is one.  No token is longe
 than ``lookahead`` symbols, so each future prefix hangs on a prefix that ends
 within the last ``lookahead`` symbols.  Tokens that the chains of all of these
 share can never change: they are stable and emitted, and their symbols are
-forgotten.  The merge list alone bounds how long chains can disagree (a finite
-list of merges can carry an influence over at most merges x longest token
-symbols), so memory does not grow with the text.
+forgotten.  The merge list alone bounds how long chains can disagree: a merge
+can hand an influence on by one token at most, so ``sufficient``, merges x longest
+token symbols, is a lookahead that always settles, and no more than that is ever
+held.
 
 A pair (a, b) is an encoding unless some merge across its border applies while
 both of its operands are at the border; ``_apart`` walks the two spines of the
 merge trees in the order of the merges.
 
+A text goes through in chunks of CHUNK bytes cut at white space; a longer piece
+without any goes through the transducer symbol by symbol.  The ids of a chunk are
+hashed, decoded and forgotten, so nothing but the row itself grows with a text
+(with ``keep_ids`` its ids, which are the result).
+
 Decoding.  ``TextDecoder`` is the byte-to-text machine: ids come in any pieces,
 an unfinished UTF-8 sequence waits for its other bytes, and broken ones become
-U+FFFD.  ``PieceDecoder`` gives the text as a tokenizer without a decoder does:
-tokens with a space between.
+U+FFFD; its text is the column text_sha256.  ``NameDecoder`` gives the text as a
+tokenizer without a decoder does, tokens with a space between: decoded_sha256.
 
 Edge cases: a null text is an empty one, with no ids and an empty decoded text;
 special tokens found in a text are their own ids.
@@ -28,9 +34,11 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +49,14 @@ from .bytewords import texts_of
 from .store import table
 from .token_memo import PieceMemo, byte_alphabet, lowered, plain_word
 
+#: Bytes of a text encoded at a time.
+CHUNK = 1 << 16
 #: Symbols read between two looks for stable tokens.
 STEP = 256
 #: Pairs whose adjacency is remembered.
 PAIR_MEMO = 100_000
 _NEVER = 1 << 60
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 class Transducer:
@@ -72,7 +83,7 @@ class Transducer:
         width = lambda t: len(t.removesuffix(self.suffix)) if t != self.suffix else 1
         #: longest token in symbols
         self.lookahead = max(map(width, self.vocab))
-        #: symbols after which a token is surely stable, from the merge list alone
+        #: symbols after which a token is surely stable
         self.sufficient = len(self.merges) * self.lookahead
         self.pairs: dict[int, bool] = {}
         #: tokens by their symbols from last to first; the id stands under the key ""
@@ -131,6 +142,8 @@ class Transducer:
                     break
                 cut, ids = self._stable(ends)
                 yield from ids
+                if len(ends) - cut > self.sufficient + STEP:
+                    raise ValueError("the merge list settles nothing within its sufficient lookahead")
                 if cut:
                     tail, ends = tail[cut:], [(0, ids[-1]), *ends[cut + 1 :]]
                 due = len(ends) + STEP
@@ -211,12 +224,16 @@ class Transducer:
                 continue
             part = lowered(regex.sub(r"\s+", " ", unicodedata.normalize("NFC", part)))
             for word in self.splitter.finditer(part):
-                yield from self.word([word[0].encode().decode("latin-1").translate(self.chars)])
+                yield from self.word(self._symbols(word[0]))
+
+    def _symbols(self, word: str) -> Iterator[str]:
+        for i in range(0, len(word), 4 * STEP):
+            yield word[i : i + 4 * STEP].encode().decode("latin-1").translate(self.chars)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         word = plain_word(piece)
         if word is not None:
-            return list(self.word([word.encode().decode("latin-1").translate(self.chars)]))
+            return list(self.word(self._symbols(word)))
         return list(self.pieces(piece.decode(errors="replace")))
 
 
@@ -224,73 +241,106 @@ class TextDecoder:
     """Incremental byte-to-text machine for byte-level tokens; the word suffix is a space."""
 
     def __init__(self, coder: Transducer) -> None:
-        byte = {c: b for b, c in enumerate(byte_alphabet())}
-        self.coder, self.byte = coder, byte
+        byte, suffix = {c: b for b, c in enumerate(byte_alphabet())}, coder.suffix
+        self.bytes = {i: name.encode() for name, i in coder.specials.items()}
+        for i, name in coder.names.items():
+            ended = bool(suffix) and name.endswith(suffix)
+            self.bytes.setdefault(i, bytes(byte[c] for c in (name.removesuffix(suffix) if ended else name)) + b" " * ended)
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        out, suffix = bytearray(), self.coder.suffix
-        for i in ids:
-            name = self.coder.names[i]
-            ended = bool(suffix) and name.endswith(suffix)
-            out += bytes(self.byte[c] for c in (name.removesuffix(suffix) if ended else name))
-            if ended:
-                out += b" "
-        return self.machine.decode(bytes(out))
+        return self.machine.decode(b"".join(map(self.bytes.__getitem__, ids)))
 
     def finish(self) -> str:
-        return self.machine.decode(b"", True)
+        """What was left unfinished; the machine is as new after it."""
+        rest = self.machine.decode(b"", True)
+        self.machine.reset()
+        return rest
 
 
-class PieceDecoder:
-    """The decoded text in pieces of UTF-8: tokens with a space between, as of a tokenizer without a decoder."""
-
-    STEP = 1 << 16
+class NameDecoder:
+    """The decoded text of a tokenizer without a decoder, in pieces of UTF-8."""
 
     def __init__(self, coder: Transducer) -> None:
-        self.names = [coder.names.get(i, "").encode() for i in range(max(coder.names) + 1)]
+        self.names = {i: name.encode() for i, name in coder.names.items()}
+        self.begun = False
+
+    def feed(self, ids: list[int]) -> bytes:
+        before = b" " if self.begun and ids else b""
+        self.begun |= bool(ids)
+        return before + b" ".join(map(self.names.__getitem__, ids))
 
-    def chunks(self, ids: np.ndarray) -> Iterator[bytes]:
-        get = self.names.__getitem__
-        for at in range(0, len(ids), self.STEP):
-            yield (b" " if at else b"") + b" ".join(map(get, ids[at : at + self.STEP].tolist()))
+    def finish(self) -> None:
+        self.begun = False
+
+
+class Coder:
+    """Encoder and decoders of a vocabulary file with a bounded memory of pieces."""
+
+    def __init__(self, path: str) -> None:
+        self.transducer = Transducer(path)
+        self.dtype = np.uint16 if max(self.transducer.names) < 1 << 16 else np.uint32
+        self.memo = PieceMemo(self.transducer.encode_piece, self.dtype)
+        self.text, self.names = TextDecoder(self.transducer), NameDecoder(self.transducer)
+
+    def blocks(self, text: bytes) -> Iterator[np.ndarray]:
+        """The ids of a text, chunk by chunk."""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > CHUNK:
+                cut = max(text.rfind(c, at + CHUNK // 2, at + CHUNK) for c in (b" ", b"\n"))
+                space = _SPACE.search(text, at + CHUNK) if cut < 0 else None
+                end = cut + 1 if cut >= 0 else space.end() if space else end
+            if end - at <= 2 * CHUNK:
+                yield np.frombuffer(self.memo.ids(text[at:end]), self.dtype)
+            else:
+                for piece in text[at:end].split():
+                    ids = self.transducer.pieces(piece.decode(errors="replace"))
+                    while len(some := np.fromiter(islice(ids, CHUNK), self.dtype)):
+                        yield some
+            at = end
+
+    def round_trip(self, text: bytes, keep_ids: bool) -> tuple[int, str, str, str, bytes | None]:
+        """Number of ids, digests of ids, of the decoded text as the library gives it and as plain text, and the ids."""
+        count, kept = 0, []
+        ids_digest, names_digest, text_digest = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        for block in self.blocks(text):
+            raw, ids = block.astype("<u4").tobytes(), block.tolist()
+            count += len(ids)
+            ids_digest.update(raw)
+            names_digest.update(self.names.feed(ids))
+            text_digest.update(self.text.feed(ids).encode())
+            if keep_ids:
+                kept.append(raw)
+        text_digest.update(self.text.finish().encode())
+        self.names.finish()
+        return count, ids_digest.hexdigest(), names_digest.hexdigest(), text_digest.hexdigest(), b"".join(kept) if keep_ids else None
 
 
 @lru_cache(maxsize=2)
-def stream_memo(path: str) -> tuple[PieceMemo, PieceDecoder]:
-    coder = Transducer(path)
-    return PieceMemo(coder.encode_piece, np.uint16 if max(coder.names) < 1 << 16 else np.uint32), PieceDecoder(coder)
+def coder_of(path: str) -> Coder:
+    return Coder(path)
+
+
+RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string"
 
 
 def _round_trip(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, decoder = stream_memo(path)
+        coder = coder_of(path)
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()][: 5 if keep_ids else 4]
+        names = [f.split()[0] for f in RESULT.split(", ")] + ["ids"] * keep_ids
         for batch in batches:
-            counts, digests, decoded, kept = [], [], [], []
-            for text in texts_of(batch.column("text")).cast(pa.large_binary()):
-                ids = np.frombuffer(memo.ids(text.as_py()), memo.dtype)
-                raw = ids.astype("<u4").tobytes()
-                back = hashlib.sha256()
-                for piece in decoder.chunks(ids):
-                    back.update(piece)
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(raw).hexdigest())
-                decoded.append(back.hexdigest())
-                if keep_ids:
-                    kept.append(raw)
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array(kept, pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            rows = [coder.round_trip(text.as_py(), keep_ids) for text in texts_of(batch.column("text")).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names)
 
     return run
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the ids as 32-bit integers."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256, and with ``keep_ids`` the ids as 32-bit integers."""
+    schema = RESULT + ", ids binary" * keep_ids
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(_round_trip(tokenizer, keep_ids), schema)
 
 

@@ -225,6 +225,39 @@ def test_bpe_stream_is_the_library(spark, edge, empty):
     assert "".join(decoder.feed([i]) for i in ids) + decoder.finish() == "thé 漢 wörld "
 
 
+def test_bpe_stream_of_long_texts_in_constant_memory():
+    import tracemalloc
+
+    from llm.bpe_stream import CHUNK, STEP, coder_of
+
+    path, tok = library()
+    coder, r = coder_of(path), random.Random(13)
+    words = ["".join(r.choice("etaoinshrdluéß漢") for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(60_000)), "".join(r.choice("theraning") for _ in range(3 * CHUNK)), "x" + "é́ \t" * CHUNK, "ab1,;" * CHUNK + " <|endoftext|> tail"]
+    for text in texts:
+        ids = tok.encode(text, add_special_tokens=False).ids
+        raw, decoded = b"".join(i.to_bytes(4, "little") for i in ids), tok.decode(ids, skip_special_tokens=False).encode()
+        n, of_ids, of_names, of_text, _ = coder.round_trip(text.encode(), False)
+        assert (n, of_ids, of_names) == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest())
+        whole = coder.text.feed(ids) + coder.text.finish()
+        assert of_text == hashlib.sha256(whole.encode()).hexdigest()
+    peaks = []
+    for times in (1, 8):
+        text = (texts[0] + " ").encode() * (4 * times)
+        tracemalloc.start()
+        coder.round_trip(text, False)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] + 1_000_000 and peaks[1] < len(text) // 2
+    # The transducer holds a short tail only, far below its sufficient lookahead.
+    held = 0
+    for upto in coder.transducer.word(iter(lambda: "th" * STEP, None)):
+        held += 1
+        if held > 20 * STEP:
+            break
+    assert held > 20 * STEP
+
+
 # 4 and 10 ---------------------------------------------------------------------------------------------------------
 
 
