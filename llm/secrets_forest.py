@@ -1,10 +1,14 @@
 """Secret scan: candidate strings, judged by a random forest.
 
-A candidate is a run of at least LEAST characters of letters, digits and
-``+/_-`` (with ``=`` at its end) that has a digit or mixed case, or what is
-assigned to a word such as ``token`` or ``password``: a quoted value of any
-characters, or an unspaced one, from KEYED_LEAST characters on.  Of overlapping
-secrets the longest is the finding.  The forest looks at its length, the transitions
+A candidate is
+* a run of at least LEAST characters of letters, digits and ``+/_-`` (with ``=``
+  at its end) that has a digit or mixed case, also several of them with points
+  between after ``eyJ`` (signed tokens),
+* what is assigned to a word such as ``token`` or ``password``: a quoted value of
+  any characters, or an unspaced one, from KEYED_LEAST characters on,
+* the password of an address, ``scheme://user:password@host``,
+* the body of a block that begins as a private key.
+Of overlapping secrets the longest is the finding.  The forest looks at its length, the transitions
 between kinds of characters, its entropy, how much of it dictionary words cover,
 whether it is part of a path or address, and the words next to it.  It is
 trained on labelled findings: ``fit`` takes any, ``labelled_findings`` makes a
@@ -41,11 +45,15 @@ _CODE = re.compile(r"[(\[{<>)\]}]|\$[A-Za-z]|%[A-Za-z]")
 _BLANK = re.compile(r"(?i)your|example|change|placeholder|xxx|\*\*\*|redacted|dummy|sample|<.*>|\$\{|\{\{")
 #: Types, constants and states that stand where a value would.
 BLANKS = frozenset("string integer number boolean object undefined required optional expired invalid missing unknown default hidden disabled enabled password passwd secret username correct incorrect".split())
+_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,30}://[^\s:/@\"'<>]{0,64}:([^\s/@\"'<>]{3,128})@(?=[A-Za-z0-9\[])")
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----((?:(?!-----)[^\0]){16,}?)-----END ")
+_SIGNED = re.compile(r"eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){1,2}")
 _RUN = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _WORD = re.compile(r"[a-z]{2,}")
 GOOD_WORDS = frozenset("token secret password passwd pwd apikey key auth bearer credential credentials private access api login pass".split())
 BAD_WORDS = frozenset("commit sha sha1 sha256 md5 hash checksum digest uuid guid id revision version build etag blob tree image layer example sample test dummy serial order isbn phone card account invoice".split())
+SCHEMES = "postgres postgresql mysql mongodb mongodb+srv redis amqp http https ftp ssh".split()
 DICTIONARY = frozenset(
     "the and for with from this that name user data file path type value item list test config service server client request response handler manager "
     "factory builder module index node error message event state content source target object class method function system process thread default "
@@ -53,7 +61,7 @@ DICTIONARY = frozenset(
     "string example placeholder your here change replace sample image page view model controller template layout format parser reader writer "
     "buffer stream socket session cache queue worker task job time date day month year long short high low new old get set put post all one two".split()
 )
-NAMES = "length runs per_char digits lowers uppers others hex entropy covered distinct slashes path_before address assigned quoted good_word bad_word aligned prefix keyed said code blank symbols spaces".split()
+NAMES = "length runs per_char digits lowers uppers others hex entropy covered distinct slashes path_before address assigned quoted good_word bad_word aligned prefix keyed said code blank symbols spaces login block".split()
 
 
 def features(text: str, start: int, end: int) -> list[float]:
@@ -103,6 +111,8 @@ def features(text: str, start: int, end: int) -> list[float]:
         float(low in BLANKS or _BLANK.search(s) is not None),
         sum(not c.isalnum() and c not in "+/_-= " for c in s),
         s.count(" "),
+        float(after[:1] == "@" and re.search(r"://[^\s:/@]{0,46}:$", before) is not None),
+        float(before.endswith("PRIVATE KEY-----")),
     ]
 
 
@@ -112,6 +122,8 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         # A run of words, dashes or lines alone is no candidate.
         if any(c.isdigit() for c in s) or re.search(r"[a-z][A-Z]|[A-Z][a-z][A-Z]", s):
             yield m.span()
+    for p in (_LOGIN, _BLOCK, _SIGNED):
+        yield from (m.span(p.groups) for m in p.finditer(text))
     at = 0
     while m := _ASSIGNED.search(text, at):
         start, end = m.span(2 if m[2] is not None else 3)
@@ -138,7 +150,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     for i in range(count):
         true = i % 2 == 0
         if true:
-            kind = int(r.integers(10))
+            kind = int(r.integers(13))
             s = [
                 lambda: chars(hexes, pick([32, 40, 40, 64])),
                 lambda: chars(hexes, pick([32, 40])).upper(),
@@ -150,6 +162,9 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
                 lambda: pick(["", chars("etaoinshrdlucmfwyp", 3).title()]) + chars("etaoinshrdlucmfwyp", int(r.integers(5, 9))) + chars("0123456789", int(r.integers(1, 5))) + chars("xyzabc", int(r.integers(4))),
                 lambda: chars(b62, int(r.integers(8, 16))),
                 lambda: chars(b62 + "!@#%^&*.?~", int(r.integers(7, 20))) + pick("!@#%^&*?~") + chars(b62, 3),
+                lambda: chars(b62 + "!%^&*.-", int(r.integers(5, 24))),
+                lambda: "\n" + "\n".join(chars(b62 + "+/", 64) for _ in range(int(r.integers(1, 20)))) + "\n",
+                lambda: ".".join(["eyJ" + chars(b62, int(r.integers(12, 60))), *(chars(b62 + "_-", int(r.integers(12, 80))) for _ in range(int(r.integers(1, 3))))]),
             ][kind]()
             key = pick(good) if kind != 4 or r.random() < 0.5 else fill().split()[0]
             if r.random() < 0.4:
@@ -163,8 +178,14 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
             tail = (text[-1] if text[-1] in "\"'" else "") + pick(["", " ", "!! ", "### ", ";", ","] if kind < 6 else ["", " ", "; ", ", "]) + fill()
             if kind > 5 and text[-1] not in "\"'":
                 tail = pick(["", " ", ", "]) and pick([" ", ", ", "; "]) + fill()
+            if kind == 10:
+                text, tail = f"{fill()} {pick(SCHEMES)}://{chars('etaoinshrdlu', int(r.integers(0, 9)))}:", f"@{chars('etaoinshrdlu', 6)}.{pick(words)}.net{pick([':5432', '', '/'])}{fill()}"
+            elif kind == 11:
+                text, tail = f"{fill()}\n-----BEGIN {pick(['RSA ', 'EC ', '', 'OPENSSH '])}PRIVATE KEY-----", f"-----END {fill()}"
+            elif kind == 12:
+                text, tail = f"{fill()}{pick([' ', ' Bearer ', ': ', '=', ' token '])}", pick([" ", ", "]) + fill()
         else:
-            kind = int(r.integers(13))
+            kind = int(r.integers(14))
             s = [
                 lambda: chars(hexes, pick([32, 40, 40, 64])),
                 lambda: "-".join(chars(hexes, n) for n in (8, 4, 4, 4, 12)),
@@ -179,6 +200,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
                 lambda: pick([f"{pick(words)}.{pick(words)}({pick(words)})", f"get_{pick(words)}()", "${" + pick(words).upper() + "_KEY}", f"<{pick(words)}-{pick(words)}>", "{{ " + pick(words) + ".value }}", f'os.environ[{pick(words)}]', f"{pick(words)}[{pick(words)}]", f"{pick(words)}({pick(words)}, {pick(words)})"]),
                 lambda: pick(["your_password", "your-token", "changeme", "xxxxxxxx", "********", "example-token", "<password>", "YOUR_SECRET", "placeholder", "redacted", "my_example_key"]),
                 lambda: chars("etaoinshrdlucm", int(r.integers(6, 12))),
+                lambda: pick(["password", "PASSWORD", "${" + pick(words).upper() + "}", "$" + pick(words).upper(), "%s", "{" + pick(words) + "}", "xxxx", "****", "your-password", "secret"]),
             ][kind]()
             if kind in (0, 1):
                 text = f"{fill()} {pick(bad)}" + pick([" ", ": ", "=", ' = "', ":", " is "])
@@ -191,7 +213,9 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
             if kind > 8:
                 key = pick(["", "", "db_", "user ", "the "]) + pick("password passwd pwd secret token api_key auth_token Password key login".split())
                 text = f"{fill()} {key}" + pick([": ", " = ", "=", " is "] + [' = "', ': "'] * (kind in (9, 11)))
-            tail = ('"' if text.endswith('"') else "") + (pick(["", " ", ".py", "(", "!! ", ","]) if kind < 9 else pick([" ", ", ", "; "])) + fill()
+            if kind == 13:
+                text = f"{fill()} {pick(SCHEMES)}://{pick(['user', 'username', '${USER}', chars('etaoinshrdlu', 4)])}:"
+            tail = f"@{pick(['host', 'localhost', chars('etaoinshrdlu', 6)])}/{fill()}" if kind == 13 else ('"' if text.endswith('"') else "") + (pick(["", " ", ".py", "(", "!! ", ","]) if kind < 9 else pick([" ", ", ", "; "])) + fill()
         out.append((text + s + tail, len(text), len(text) + len(s), int(true)))
     return out
 
@@ -281,7 +305,7 @@ def masked(text: str, found: list[tuple[int, int, float]]) -> str:
 
 FOUND = "doc_id long, start long, length long, score double"
 #: Cheap test on the bytes; a text without it has no candidate.
-_MAYBE = re.compile(rb"[A-Za-z0-9+/_\-]{16}|(?i:pass|pwd|secret|token|credential|key|auth|login|bearer)")
+_MAYBE = re.compile(rb"[A-Za-z0-9+/_\-]{16}|://[^\s:/@]{0,64}:[^\s/@]{3,128}@|(?i:pass|pwd|secret|token|credential|key|auth|login|bearer)")
 
 
 def _scan(forest: Forest):
