@@ -166,15 +166,34 @@ def write_codes(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return saved(rows.mapInArrow(_write(tokenizer, end_id), BLOCKS), "codes")
 
 
-def read_codes(blocks: DataFrame) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def _located(blocks: DataFrame) -> DataFrame:
+    """Blocks with the number of tokens before them in the whole table (first)."""
     # One row per part that wrote a file, so the running sum is over as many rows as there were write tasks.
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    rows = blocks.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("before")).alias("first"), "n_docs", "doc_ids", "payload")
+    return blocks.join(F.broadcast(ahead), "part").withColumn("first", F.col("ahead") + F.col("before"))
+
+
+def read_codes(blocks: DataFrame) -> DataFrame:
+    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    rows = _located(blocks).select("first", "n_docs", "doc_ids", "payload")
     return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def token_range(blocks: DataFrame, start: int, end: int) -> DataFrame:
+    """(at, ids): tokens start to end - 1 of the whole table, a row per block that holds some of them; only these blocks' payloads are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block, first = Block(row["payload"]), row["first"]
+                i, j = max(start - first, 0), min(end - first, block.n_tokens)
+                yield pa.RecordBatch.from_arrays([pa.array([first + i]), pa.array([block.tokens(i, j).tolist()], pa.list_(pa.int64()))], ["at", "ids"])
+
+    rows = _located(blocks).where((F.col("first") < end) & (F.col("first") + F.col("n_tokens") > start))
+    return rows.select("first", "payload").mapInArrow(run, "at long, ids array<long>")
+
+
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -178,7 +178,7 @@ def library():
 
 
 def test_token_codes_round_trip(spark, edge, empty):
-    from llm.token_codes import read_codes, write_codes
+    from llm.token_codes import read_codes, token_range, write_codes
 
     path, tok = library()
     got, start = by_id(read_codes(write_codes(edge, path, 2))), 0
@@ -188,6 +188,11 @@ def test_token_codes_round_trip(spark, edge, empty):
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), crc)
         start += len(ids)
     assert read_codes(write_codes(empty, path, 2)).count() == 0
+    blocks = write_codes(edge.union(edge), path, 2)
+    assert sorted((r.doc_id, r.n_tokens) for r in read_codes(blocks).collect()) == sorted((d, got[d].n_tokens) for d in got for _ in range(2))
+    every = [i for d, text, *_ in EDGE for _ in range(2) for i in [*tok.encode(text or "", add_special_tokens=False).ids, 2]]
+    for i, j in ((0, 1), (5, 40), (len(every) - 3, len(every)), (0, len(every))):
+        assert [t for r in sorted(token_range(blocks, i, j).collect()) for t in r.ids] == every[i:j]
 
 
 def test_block_gives_any_token():
@@ -294,6 +299,50 @@ def test_classifiers_on_held_out_rows(kind, spark, labelled, edge, empty):
     assert {r.score for r in run(edge, labels.where("false")).collect()} == {0.5}
 
 
+def test_ftrl_against_plain_steps():
+    import math
+
+    import numpy as np
+
+    from llm import ftrl_toxicity as ft
+
+    r, model = random.Random(3), ft.Ftrl()
+    z, n = {}, {}
+    for _ in range(400):
+        at, label = sorted(r.sample(range(12), 4)), r.randrange(2)
+        label = int(label or 3 in at)
+        model.learn(np.array(at), label)
+        w = {}
+        for i in [*at, "bias"]:
+            zi, ni, l1 = z.get(i, 0.0), n.get(i, 0.0), 0 if i == "bias" else ft.L1
+            w[i] = 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((ft.BETA + math.sqrt(ni)) / ft.ALPHA + ft.L2)
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in w:
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / ft.ALPHA
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    assert all(abs(model.z[i] - z[i]) < 1e-9 and abs(model.n[i] - n[i]) < 1e-9 for i in range(12)) and abs(model.z[-1] - z["bias"]) < 1e-9
+    assert {i: w for i, w in enumerate(model.weights(np.arange(12))) if w}.keys() <= {i for i in range(12) if abs(z[i]) > ft.L1}
+
+
+def test_quality_scores_against_plain_sizes(spark, labelled):
+    import math
+
+    import zstandard
+
+    from llm import zstd_quality as zq
+
+    docs, labels, _ = labelled
+    good, bad, slope, intercept = model = zq.fit(docs, labels)
+    coders = [zstandard.ZstdCompressor(level=zq.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (good, bad)]
+    for row in zq.with_score(docs.limit(20), model).collect():
+        raw = row.text.encode()
+        a, b = (sum(len(c.compress(raw[i : i + zq.PIECE])) for i in range(0, len(raw), zq.PIECE)) for c in coders)
+        assert abs(row.score - 1 / (1 + math.exp(-(slope * (b - a) / max(a, b) + intercept)))) < 1e-9
+    # Repeated labels and rows.
+    again = zq.quality(docs.union(docs), labels.union(labels))
+    assert again.count() == 1200 and again.distinct().count() == 600
+
+
 # 5 --------------------------------------------------------------------------------------------------------------
 
 
@@ -676,3 +725,34 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     expected = texts[202].replace(secret, "<secret>")
     assert bytes(out[202].ids) == b"".join(i.to_bytes(4, "little") for i in tok.encode(expected, add_special_tokens=False).ids)
     assert cp.STAGES[3][1](spark, docs, folder).where(F.col("n_chars") != F.length("text")).count() == 0
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    r = random.Random(5)
+    good = [" ".join(prose(r, 60)) for _ in range(30)]
+    texts = [(i, t) for i, t in enumerate(good)] + [(100, None), (101, ""), (None, good[3] + " more"), (None, " ".join(prose(r, 60))), (5, " ".join(prose(r, 60))), (6, good[6]), (6, good[6])]
+    schema = "doc_id long, text string, n_chars long, score string, key string, bit long, p long, held_out int"
+    rows = [(d, t, 7 if t is None else len(t), "s", None, 1, 2, 3) for d, t in texts]
+    labels = [(i, 1, 0) for i in range(30)] + [(200 + i, 0, 0) for i in range(30)]
+    folder = str(tmp_path)
+    junk = [(200 + i, " ".join(["ha", "hu"][i % 2] for _ in range(80)), 1, "s", None, 1, 2, 3) for i in range(30)]
+    spark.createDataFrame(rows + junk, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(good[9].split()[:30])), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    judged = cp.quality(spark, docs, folder)
+    left = {x.doc_id for x in judged.collect()}
+    assert judged.columns == docs.columns and not left & set(range(200, 230)) and left >= set(range(30))
+    # The other stages on all rows, whatever the classifier says of empty texts.
+    kept = docs
+    for _, stage in cp.STAGES[1:-1]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == docs.columns
+    left = [(x.doc_id, x.text) for x in kept.collect()]
+    assert (9, good[9]) not in left and (5, texts[-3][1]) in left and left.count((6, good[6])) == 1
+    assert sum(t is not None and t.startswith(good[3]) for _, t in left) == 1 and (100, None) in left and (101, "") in left
+    assert {x.n_chars for x in kept.where("doc_id = 100").collect()} == {7}
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.where("false"), folder).count() == 0
