@@ -27,7 +27,7 @@ from .store import table
 
 #: Labelled rows are learnt from whole, in the order of a hash, up to so many rows and bytes; a row that would go beyond the bytes is passed over.
 #: DICTIONARY_SHARE of the rows make the dictionaries, from all their bytes, the others the curve.
-FIT_ROWS, FIT_BYTES, DICTIONARY_SHARE = 12_000, 1 << 27, 0.6
+FIT_ROWS, FIT_BYTES, DICTIONARY_SHARE = 12_000, 1 << 23, 0.6
 SAMPLE_BYTES = 2_048
 DICTIONARY_BYTES, LEVEL, PIECE = 65_536, 1, 512
 THRESHOLD = 0.7
