@@ -110,3 +110,16 @@ def masks(docs: DataFrame, content_type: str = "plain") -> DataFrame:
             yield _batch(rows, "doc_id long, start int, finish int")
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, start int, finish int")
+
+
+def edit_scores(rows: DataFrame) -> DataFrame:
+    """doc_id, found, wanted, both, precision, recall, f1 of corrections (doc_id, text, expected, got); a rate without a divisor is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(*(batch.column(c).to_pylist() for c in ("text", "expected", "got")))
+            yield _batch([(d, *prose.edit_score(*(x or "" for x in t))) for d, t in zip(batch.column("doc_id").to_pylist(), texts)], "doc_id long, found long, wanted long, both long")
+
+    counts = rows.selectExpr("cast(doc_id AS long) AS doc_id", "text", "expected", "got").mapInArrow(run, "doc_id long, found long, wanted long, both long")
+    rates = counts.withColumn("precision", F.expr("round(both / nullif(found, 0), 6)")).withColumn("recall", F.expr("round(both / nullif(wanted, 0), 6)"))
+    return rates.withColumn("f1", F.expr("round(2 * both / nullif(found + wanted, 0), 6)"))

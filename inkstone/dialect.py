@@ -7,6 +7,8 @@ unless an operator says otherwise.
 
 from __future__ import annotations
 
+import re
+
 
 class Spark:
     name = "spark"
@@ -30,13 +32,32 @@ class Spark:
         return f"regexp_replace({text}, {self.lit(pattern)}, {self.lit(to.replace(chr(92), '$'))})"
 
     def explode(self, source: str, array: str, keep: str = "doc_id") -> str:
-        """(keep, ord from 0, item) of an array column of a relation."""
-        return f"(SELECT {keep}, pos AS ord, col AS item FROM (SELECT {keep}, posexplode({array}) FROM {source}))"
+        """(keep, ord from 0, item) of an array column of a relation.
+
+        An outer explode: the optimiser would test a plain one's array for emptiness below it, and so evaluate it three times.
+        """
+        return f"(SELECT {keep}, pos AS ord, col AS item FROM (SELECT {keep}, posexplode_outer({array}) FROM {source}) WHERE pos IS NOT NULL)"
+
+    def hits(self, source: str, text: str, pattern: str, keep: str = "doc_id") -> str:
+        """(keep, ord from 0, start from 0, item) of all matches; places are running sums of the pieces between them."""
+        zipped = f"zip_with({self.all(text, pattern)}, {self.split(text, pattern)}, (x, g) -> struct(x AS item, length(g) AS gap))"
+        return self._placed(f"(SELECT {keep}, pos AS ord, col.item AS item, col.gap AS gap FROM (SELECT {keep}, posexplode_outer({zipped}) FROM {source}) WHERE col.item IS NOT NULL)", keep)
+
+    def _placed(self, rows: str, keep: str) -> str:
+        before = f"OVER (PARTITION BY {keep} ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        return f"(SELECT {keep}, ord, CAST(sum(gap + length(item)) {before} AS BIGINT) - length(item) AS start, item FROM {rows})"
+
+    def spliced(self, text: str, pattern: str, to: str) -> str:
+        """The text with each match x replaced by the expression ``to`` of x."""
+        return f"array_join(zip_with({self.split(text, pattern)}, {self.all(text, pattern)}, (g, x) -> concat(g, coalesce({to}, ''))), '')"
+
+    def struct(self, **fields: str) -> str:
+        return "to_json(named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + "))"
 
     def rows(self, source: str, keep: str, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
         """Several rows of expressions for each row of a relation, in one scan."""
         body = ", ".join("struct(" + ", ".join(f"{v} AS {n}" for v, n in zip(r, names)) + ")" for r in rows)
-        return f"(SELECT {keep}, r.* FROM (SELECT {keep}, explode(array({body})) AS r FROM {source}))"
+        return f"(SELECT {keep}, r.* FROM (SELECT {keep}, explode_outer(array({body})) AS r FROM {source}))"
 
     def split(self, text: str, mark: str) -> str:
         return f"split({text}, {self.lit(mark)})"
@@ -87,12 +108,22 @@ class Duck(Spark):
     def explode(self, source: str, array: str, keep: str = "doc_id") -> str:
         return f"(SELECT {keep}, unnest(range(len(a))) AS ord, unnest(a) AS item FROM (SELECT {keep}, {array} AS a FROM {source}))"
 
+    def hits(self, source: str, text: str, pattern: str, keep: str = "doc_id") -> str:
+        pieces = f"SELECT {keep}, {self.all(text, pattern)} AS found, {self.split(text, pattern)} AS gaps FROM {source}"
+        return self._placed(f"(SELECT {keep}, unnest(range(len(found))) AS ord, unnest(found) AS item, length(unnest(gaps[1:len(found)])) AS gap FROM ({pieces}))", keep)
+
+    def spliced(self, text: str, pattern: str, to: str) -> str:
+        return f"array_to_string(list_transform(list_zip({self.split(text, pattern)}, {self.all(text, pattern)}), lambda p: p[1] || coalesce({re.sub(chr(92) + 'bx' + chr(92) + 'b', 'p[2]', to)}, '')), '')"
+
+    def struct(self, **fields: str) -> str:
+        return "CAST(to_json({" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}) AS VARCHAR)"
+
     def rows(self, source: str, keep: str, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
         body = ", ".join("{" + ", ".join(f"'{n}': {v}" for v, n in zip(r, names)) + "}" for r in rows)
         return f"(SELECT {keep}, r.* FROM (SELECT {keep}, unnest([{body}]) AS r FROM {source}))"
 
     def split(self, text: str, mark: str) -> str:
-        return f"string_split({text}, {self.lit(mark)})"
+        return f"{'string_split' if len(mark) == 1 else 'regexp_split_to_array'}({text}, {self.lit(mark)})"
 
     def size(self, array: str) -> str:
         return f"len({array})"

@@ -33,6 +33,7 @@ RULES = (
     ("零寬", "零寬度", "variant", 1, "", 1, "", "term"),
     ("視頻", "影音", "cross_strait", 2, "video", 2, "", "media"),
     ("城市", "都市", "variant", 1, "city", 2, "", "optional"),
+    ("祖國", "", "political_coloring", 1, "motherland", 0, "", "politics"),
 )
 
 #: Longer correct forms that swallow a match at their own offset.

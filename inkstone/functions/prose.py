@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 from . import lexicon as lx
 from .chars import CONTEXT, HAN
@@ -32,6 +35,35 @@ def normalised(text: str) -> tuple[str, list[int]]:
     return "".join(out), [*places, len(text)]
 
 
+def forward(places: list[int], a: int, b: int) -> tuple[int, int]:
+    """The range of the normal form that holds the original's [a, b); ``places`` as of ``normalised``, empty if nothing changed."""
+    return (bisect_right(places, a) - 1 if a < places[-1] else len(places) - 1, bisect_left(places, b)) if places else (a, b)
+
+
+_PIECES = re.compile(r"[^。！？\n]*[。！？\n]?")
+
+
+def edits(text: str, to: str) -> set[tuple[int, int, str]]:
+    """Spans of a text with their replacements: pieces up to a sentence's end are paired first, characters within those that differ."""
+    old, new = (_PIECES.findall(x) for x in (text, to))
+    if len(old) == len(new):
+        blocks = [(i, i + 1, i, i + 1) for i in range(len(old))]
+    else:
+        blocks = [(a, b, c, d) for op, a, b, c, d in SequenceMatcher(None, old, new).get_opcodes() if op != "equal"]
+    starts, out = [0, *accumulate(map(len, old))], set()
+    for a, b, c, d in blocks:
+        left, right = "".join(old[a:b]), "".join(new[c:d])
+        if left != right:
+            out |= {(starts[a] + i, starts[a] + j, right[k:n]) for op, i, j, k, n in SequenceMatcher(None, left, right, autojunk=False).get_opcodes() if op != "equal"}
+    return out
+
+
+def edit_score(text: str, expected: str, got: str) -> tuple[int, int, int]:
+    """(edits found, edits expected, edits in both) of two corrections of a text."""
+    want, have = edits(text, expected), edits(text, got)
+    return len(have), len(want), len(want & have)
+
+
 @lru_cache(maxsize=1)
 def words() -> dict[str, int]:
     """The segmenter's dictionary: forms and clues of rules, with how common single characters are taken to be."""

@@ -29,7 +29,7 @@ TEXT: dict[str, str] = {
     # exclusion spans
     "exc1_url_spans": r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+",
     "exc1_mention_spans": r"@[a-zA-Z0-9_]+",
-    "exc1_term_mention": "「[^「」]{1,12}」(一詞|這個詞|是(originally)?的?(說法|用語))",
+    "exc1_term_mention": "「[^「」]{1,12}」(一詞|這個詞|是的?(說法|用語))",
     "exc8_headings": r"(?m)^ {0,3}#{1,6}[ \t][^\n]*",
     # grammar
     "grm1_a_not_a_with_ma": "(是不是|有沒有|能不能|會不會|要不要|可不可以|好不好|對不對|想不想|行不行)[^。！？\\n]*嗎",
@@ -92,10 +92,12 @@ def sentence_op(pattern: str) -> Callable[[Spark, Names], str]:
 
 
 def run_op(flag: str, least: int) -> Callable[[Spark, Names], str]:
-    """Runs of neighbouring sentences."""
+    """Runs of neighbouring sentences of one paragraph."""
 
     def sql(d: Spark, t: Names) -> str:
-        return f"WITH s AS {sentences(d, t.zh)} SELECT doc_id, first_ord, n FROM {runs('s', d.has('item', flag), least)}"
+        inner = f"(SELECT doc_id, ord AS para, item FROM {paragraphs(d, t.zh)})"
+        s = sentences(d, inner, "item", "doc_id, para")
+        return f"WITH s AS {s} SELECT doc_id, para, first_ord, n FROM {runs('s', d.has('item', flag), least, 'doc_id, para')}"
 
     return sql
 

@@ -33,10 +33,14 @@ def seg2(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, count(*) AS n, max(length(item)) AS longest FROM {paragraphs(d, t.zh)} GROUP BY doc_id"
 
 
+def by_paragraph(d: Spark, t: Names) -> str:
+    """(doc_id, para, ord, item): the sentences of each paragraph."""
+    return sentences(d, f"(SELECT doc_id, ord AS para, item FROM {paragraphs(d, t.zh)})", "item", "doc_id, para")
+
+
 def seg3(d: Spark, t: Names) -> str:
     """Sentences of each paragraph."""
-    ids = f"(SELECT doc_id * 100000 + ord AS key, doc_id, item FROM {paragraphs(d, t.zh)})"
-    return f"SELECT key, count(*) AS n FROM {sentences(d, ids, 'item', 'key')} GROUP BY key"
+    return f"SELECT doc_id, para, count(*) AS n FROM {by_paragraph(d, t)} GROUP BY doc_id, para"
 
 
 def line_runs(pattern: str, least: int):
@@ -99,10 +103,7 @@ def ai19(d: Spark, t: Names) -> str:
 
 def ai29(d: Spark, t: Names) -> str:
     """Slogans: one parallel sentence in two paragraphs or more."""
-    ids = f"(SELECT doc_id * 100000 + ord AS key, item FROM {paragraphs(d, t.zh)})"
-    return f"SELECT key DIV 100000 AS doc_id, item, count(DISTINCT key) AS n FROM {sentences(d, ids, 'item', 'key')} WHERE {d.has('item', '不是[^，]*，(而)?是')} GROUP BY key DIV 100000, item HAVING count(DISTINCT key) > 1".replace(
-        "DIV", "DIV" if d.name == "spark" else "//"
-    )
+    return f"SELECT doc_id, item, count(DISTINCT para) AS n FROM {by_paragraph(d, t)} WHERE {d.has('item', '不是[^，]*，(而)?是')} GROUP BY doc_id, item HAVING count(DISTINCT para) > 1"
 
 
 def neighbours(first: str, second: str):
@@ -117,8 +118,8 @@ def neighbours(first: str, second: str):
 
 def ai37(d: Spark, t: Names) -> str:
     """Stock conclusions: a paragraph's last sentence, of 20 characters at most, that begins with one."""
-    ids = f"(SELECT doc_id * 100000 + ord AS key, item FROM {paragraphs(d, t.zh)})"
-    return f"SELECT key FROM (SELECT key, ord, item, max(ord) OVER (PARTITION BY key) AS last, count(*) OVER (PARTITION BY key) AS n FROM {sentences(d, ids, 'item', 'key')}) WHERE ord = last AND n >= 2 AND length(item) <= 20 AND {d.has('item', '^(由此可見|總之|綜上所述)')}"
+    last = f"SELECT *, max(ord) OVER (PARTITION BY doc_id, para) AS last, count(*) OVER (PARTITION BY doc_id, para) AS n FROM {by_paragraph(d, t)}"
+    return f"SELECT doc_id, para FROM ({last}) WHERE ord = last AND n >= 2 AND length(item) <= 20 AND {d.has('item', '^(由此可見|總之|綜上所述)')}"
 
 
 def sc3(d: Spark, t: Names) -> str:
@@ -185,9 +186,12 @@ def sc14(d: Spark, t: Names) -> str:
 
 
 def sc15(d: Spark, t: Names) -> str:
-    """Terms used in both forms: a flagged form and the standard one for one English term."""
-    std = f"(SELECT doc_id, {d.all('zh', '(軟體|網路|資料|影片|程式|品質)', 1)} AS found FROM {t.zh})"
-    return f"SELECT i.doc_id, i.english, count(DISTINCT i.ord) AS flagged, count(DISTINCT s.ord) AS standard FROM {issues(d, t)} i JOIN {d.explode(std, 'found')} s ON i.doc_id = s.doc_id AND i.target = s.item WHERE i.english <> '' GROUP BY i.doc_id, i.english"
+    """Terms used in both forms: a flagged form and a standard one of the same rule."""
+    forms = sorted({x for r in lx.RULES for x in r[1].split("/") if x}, key=lambda x: (-len(x), x))
+    std = f"(SELECT doc_id, item, count(*) AS n FROM {d.explode(f'(SELECT doc_id, {d.all(chr(122) + chr(104), chr(40) + chr(124).join(forms) + chr(41), 1)} AS found FROM {t.zh})', 'found')} GROUP BY doc_id, item)"
+    flagged = f"(SELECT doc_id, found, english, target, count(*) AS n FROM {issues(d, t)} WHERE target <> '' AND target <> found GROUP BY doc_id, found, english, target)"
+    targets = d.explode(f"(SELECT doc_id, found, english, n, {d.split('target', '/')} AS ts FROM {flagged})", "ts", "doc_id, found, english, n")
+    return f"SELECT f.doc_id, f.found, f.english, max(f.n) AS flagged, sum(s.n) AS standard FROM {targets} f JOIN {std} s ON f.doc_id = s.doc_id AND f.item = s.item GROUP BY f.doc_id, f.found, f.english"
 
 
 def ort1(d: Spark, t: Names) -> str:

@@ -57,7 +57,42 @@ def pre1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", there_and_back("text").alias("nfc")).select("doc_id", F.length("nfc").alias("n_chars"), F.sha2("nfc", 256).alias("digest"))
 
 
+def pre3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the middle third of a text in form D stands in its normal form C."""
+    import unicodedata
+
+    @F.pandas_udf("a long, b long")
+    def moved(texts):
+        import pandas as pd
+
+        def place(t: str) -> tuple[int, int]:
+            parted = unicodedata.normalize("NFD", t)
+            return prose.forward(prose.normalised(parted)[1], len(parted) // 3, 2 * len(parted) // 3)
+
+        return pd.DataFrame([place(t) for t in texts], columns=["a", "b"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return docs.select("doc_id", moved("text").alias("r")).select("doc_id", "r.a", "r.b")
+
+
+def pol21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of a correction that knows one term against those of all safe fixes, as precision, recall and F1."""
+    from ..dialect import SPARK
+    from .policies import fixed
+
+    rows = _zh(spark, sf_dir).select("doc_id", "text", F.expr(fixed("text", SPARK)).alias("expected"), F.expr("replace(text, '軟件', '軟體')").alias("got"))
+    return api.edit_scores(rows)
+
+
+def ort12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated units of one to three ideographs, by unit."""
+    unit = r"([\x{4E00}-\x{9FFF}]{1,3})\1"
+    found = _zh(spark, sf_dir).select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit(unit), F.lit(1))).alias("unit")).where("unit IS NOT NULL")
+    return found.groupBy("doc_id", "unit").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "pre3_forward_ranges": pre3, "pol21_edit_scores": pol21, "ort12_repeated_units": ort12,
     "lex19_overlap_resolution": lex19, "fx7_convert": fx7, "seg4_word_segmentation": seg4, "exc3_merged_masks": exc3, "exc6_markdown_mask": exc6, "exc15_html_lang_scopes": exc15, "pre1_normal_form": pre1,
 }
 ORACLE_SQL = {"pre1_normal_form": "SELECT doc_id, length(nfc_normalize(text)) AS n_chars, sha256(nfc_normalize(text)) AS digest FROM documents WHERE text IS NOT NULL"}

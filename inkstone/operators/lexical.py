@@ -32,16 +32,19 @@ MATCH = alternation([r[0] for r in lx.RULES] + list(lx.EXCEPTIONS))
 MASK = r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+|@[a-zA-Z0-9_]+"
 
 
-def matches(d: Spark, t: Names) -> str:
-    """(doc_id, ord, item) of all hits outside URLs and mentions; exception forms match but are no hits."""
-    clean = d.sub("zh", MASK, CUT)
-    inner = f"(SELECT doc_id, {d.all(clean, MATCH, 1)} AS found FROM {t.zh})"
-    swallowed = ", ".join(f"'{e}'" for e in lx.EXCEPTIONS)
-    return f"(SELECT * FROM {d.explode(inner, 'found')} WHERE item NOT IN ({swallowed}))"
+#: Masks and forms in one alternation: a mask swallows what stands in it, and so does an exception form.
+PLACES = f"{MASK}|{MATCH}"
+
+
+def matches(d: Spark, t: Names, text: str = "zh", source: str = "") -> str:
+    """(doc_id, ord, start, item) of all hits outside URLs and mentions; exception forms match but are no hits."""
+    forms = ", ".join(f"'{r}'" for r in sorted({r[0] for r in lx.RULES} - set(lx.EXCEPTIONS)))
+    return f"(SELECT * FROM {d.hits(source or t.zh, text, PLACES)} WHERE item IN ({forms}))"
 
 
 def issues(d: Spark, t: Names) -> str:
-    return f"(SELECT doc_id, ord, item AS found, rule_id, target, kind, severity, english, tags FROM {matches(d, t)} m JOIN {merged()} r ON m.item = r.source)"
+    """Findings with their places and the attributes of their rules."""
+    return f"(SELECT doc_id, ord, start, item AS found, rule_id, target, kind, severity, english, tags, clues FROM {matches(d, t)} m JOIN {merged()} r ON m.item = r.source)"
 
 
 def lex1(d: Spark, t: Names) -> str:
@@ -71,11 +74,13 @@ def lex8(d: Spark, t: Names) -> str:
 
 def lex9(d: Spark, t: Names) -> str:
     """Clue gate, at the grain of a clause: a rule with clues needs one of them in the clause around its hit."""
-    clauses = f"(SELECT doc_id, {d.split(d.sub('zh', '[。！？；]', CUT), CUT)} AS parts FROM {t.zh})"
-    hit = f"(SELECT c.doc_id, c.ord, r.source, r.clues, c.item FROM {d.explode(clauses, 'parts')} c JOIN (SELECT * FROM {merged()} WHERE clues <> '') r ON instr(c.item, r.source) > 0)"
-    clue = f"(SELECT rule_source, item AS clue FROM {d.explode(f'(SELECT source AS rule_source, {d.split(chr(99) + chr(108) + chr(117) + chr(101) + chr(115), chr(47))} AS cs FROM {merged()} WHERE clues <> {chr(39)}{chr(39)})', 'cs', 'rule_source')})"
-    return f"""SELECT h.doc_id, h.source, count(DISTINCT h.ord) AS clauses, count(DISTINCT CASE WHEN c.clue <> h.source AND instr(h.item, c.clue) > 0 THEN h.ord END) AS with_clue
-      FROM {hit} h JOIN {clue} c ON h.source = c.rule_source GROUP BY h.doc_id, h.source"""
+    gated = sorted({r[0] for r in lx.RULES if r[6]}, key=lambda f: (-len(f), f))
+    clauses = f"(SELECT doc_id, {d.split('zh', '[。！？；]')} AS parts FROM {t.zh})"
+    pieces = f"(SELECT doc_id, ord, item AS clause FROM {d.explode(clauses, 'parts')} WHERE {d.has('item', '|'.join(gated))})"
+    # Hits by term equality with the rules; each clause is looked at once.
+    hit = f"(SELECT h.doc_id, h.clause_ord, h.clause, r.source, r.clues FROM (SELECT DISTINCT doc_id, clause_ord, clause, item FROM {d.explode(f'(SELECT doc_id, ord AS clause_ord, clause, {d.all(chr(99) + chr(108) + chr(97) + chr(117) + chr(115) + chr(101), alternation([r[0] for r in lx.RULES] + list(lx.EXCEPTIONS)), 1)} AS fs FROM {pieces})', 'fs', 'doc_id, clause_ord, clause')}) h JOIN (SELECT * FROM {merged()} WHERE clues <> '') r ON h.item = r.source)"
+    with_clue = d.size(d.filter(d.split("clues", "/"), "x", "x <> source AND instr(clause, x) > 0")) + " > 0"
+    return f"SELECT doc_id, source, count(*) AS clauses, sum(CASE WHEN {with_clue} THEN 1 ELSE 0 END) AS with_clue FROM {hit} GROUP BY doc_id, source"
 
 
 def lex14(d: Spark, t: Names) -> str:
@@ -84,9 +89,8 @@ def lex14(d: Spark, t: Names) -> str:
 
 
 def lex16(d: Spark, t: Names) -> str:
-    """Names in other than their written form, not inside an identifier or dotted label."""
-    found = d.all("zh", r"(?i)(^|[^A-Za-z0-9_.\-])(" + "|".join(lx.CASES) + r")($|[^A-Za-z0-9_.\-])", 2)
-    inner = f"(SELECT doc_id, {found} AS found FROM {t.zh})"
+    """Names in other than their written form: whole identifiers, dotted labels and file names are read as one."""
+    inner = f"(SELECT doc_id, {d.all('zh', '[A-Za-z0-9_.' + chr(92) + '-]+')} AS found FROM {t.zh})"
     return f"SELECT e.doc_id, e.item AS found, c.term, count(*) AS n FROM {d.explode(inner, 'found')} e JOIN {lx.values(lx.CASES, 'term', 'c')} c ON lower(e.item) = lower(c.term) WHERE e.item <> c.term GROUP BY e.doc_id, e.item, c.term"
 
 

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from ..dialect import Spark
 from ..functions import lexicon as lx
 from ..plans.registered import Names
-from .lexical import MATCH, RULES, issues, merged
-from .segments import CUT
+from .lexical import MASK, PLACES, RULES, alternation, issues, matches, merged
+from .segments import CUT, lines
 
 MEMORY = lx.values(lx.MEMORY, "found, chosen", "m")
 IGNORED = lx.values(lx.IGNORED, "found", "g")
@@ -46,12 +46,18 @@ def pol5(d: Spark, t: Names) -> str:
     return f"SELECT rule_id, source = '' AS no_source, source = target AS same, target = '' AND english = '' AS nothing FROM {RULES} WHERE source = '' OR source = target OR (target = '' AND english = '')"
 
 
+def anti(d: Spark) -> str:
+    return "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+
+
 def pol6(d: Spark, t: Names) -> str:
-    """Glossary: findings on proper nouns go, banned terms are errors."""
-    banned = d.all("zh", "(" + "|".join(lx.BANNED) + ")", 1)
-    hits = d.explode(f"(SELECT doc_id, {banned} AS found FROM {t.zh})", "found")
-    kept = f"SELECT i.doc_id, i.found, i.severity FROM {issues(d, t)} i LEFT ANTI JOIN {PROPER} p ON i.found = p.found" if d.name == "spark" else f"SELECT i.doc_id, i.found, i.severity FROM {issues(d, t)} i ANTI JOIN {PROPER} p ON i.found = p.found"
-    return f"SELECT doc_id, found, max(severity) AS severity, count(*) AS n FROM ({kept} UNION ALL SELECT doc_id, item, 3 FROM {hits}) GROUP BY doc_id, found"
+    """Glossary: findings on proper nouns go; a banned term makes the finding that covers it an error, and is an error of its own where none does."""
+    proper = f"(SELECT i.* FROM {issues(d, t)} i {anti(d)} {PROPER} p ON i.found = p.found)"
+    banned = f"(SELECT * FROM {d.hits(t.zh, 'zh', MASK + '|' + alternation(lx.BANNED))} WHERE item IN ({', '.join(chr(39) + b + chr(39) for b in lx.BANNED)}))"
+    meets = "i.doc_id = b.doc_id AND i.start < b.start + length(b.item) AND b.start < i.start + length(i.found)"
+    covered = f"SELECT i.doc_id, i.start, i.found, max(CASE WHEN b.item IS NULL THEN i.severity ELSE 3 END) AS severity FROM {proper} i LEFT JOIN {banned} b ON {meets} GROUP BY i.doc_id, i.start, i.found"
+    bare = f"SELECT b.doc_id, b.start, b.item AS found, 3 AS severity FROM {banned} b {anti(d)} {proper} i ON {meets}"
+    return f"SELECT doc_id, found, severity, count(*) AS n, min(start) AS first_place FROM ({covered} UNION ALL {bare}) GROUP BY doc_id, found, severity"
 
 
 def pol7(d: Spark, t: Names) -> str:
@@ -65,21 +71,38 @@ def pol9(d: Spark, t: Names) -> str:
 
 
 def pol10(d: Spark, t: Names) -> str:
-    """Baseline: fingerprints of findings by kind, term and document that the even documents don't have."""
-    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
-    key = d.sha("concat(kind, '|', found)")
-    return f"SELECT a.print, count(*) AS n FROM (SELECT {key} AS print, doc_id FROM {issues(d, t)}) a {anti} (SELECT DISTINCT {key} AS print FROM {issues(d, t)} WHERE doc_id % 2 = 0 AND severity < 2) b ON a.print = b.print GROUP BY a.print"
+    """Baseline: findings of the merged rules whose fingerprint (kind, form, document) a run with the base layer alone doesn't have."""
+    key = d.sha("concat(kind, '|', found, '|', cast(doc_id AS string))")
+    base = f"(SELECT source, max(kind) AS kind FROM {RULES} WHERE layer = 0 GROUP BY source)"
+    before = f"(SELECT DISTINCT {key} AS print FROM (SELECT m.doc_id, m.item AS found, b.kind FROM {matches(d, t)} m JOIN {base} b ON m.item = b.source))"
+    return f"SELECT a.doc_id, a.kind, a.found, count(*) AS n FROM (SELECT {key} AS print, doc_id, kind, found FROM {issues(d, t)}) a {anti(d)} {before} b ON a.print = b.print GROUP BY a.doc_id, a.kind, a.found"
 
 
 def pol11(d: Spark, t: Names) -> str:
-    """Stance: a neutral reader drops one kind of finding."""
-    return f"SELECT kind, count(*) AS n FROM {issues(d, t)} WHERE kind <> 'political_coloring' GROUP BY kind"
+    """Stance: for a neutral reader findings of political colouring go; what is left, and what went, by kind."""
+    return f"SELECT kind, sum(CASE WHEN kind <> 'political_coloring' THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN kind = 'political_coloring' THEN 1 ELSE 0 END) AS dropped FROM {issues(d, t)} GROUP BY kind"
+
+
+#: A heading's line: up to three spaces, one to six number signs, and a space.
+HEADING = "(?m)^ {0,3}#{1,6}[ \\t][^\\n]*"
+
+
+def within(d: Spark, t: Names, spans: str) -> str:
+    """Findings (i) joined with the span (s) of their document that contains them."""
+    return f"{issues(d, t)} i JOIN {spans} s ON i.doc_id = s.doc_id AND s.start <= i.start AND i.start + length(i.found) <= s.start + length(s.item)"
 
 
 def pol12(d: Spark, t: Names) -> str:
     """Findings in headings get one step more severe."""
-    heads = d.explode(f"(SELECT doc_id, {d.all('zh', '(?m)^ {0,3}#{1,6}[ ][^' + chr(92) + 'n]*', 0)} AS hs FROM {t.zh})", "hs")
-    return f"SELECT h.doc_id, r.source, least(3, r.severity + 1) AS severity, count(*) AS n FROM {heads} h JOIN {merged()} r ON instr(h.item, r.source) > 0 GROUP BY h.doc_id, r.source, r.severity"
+    return f"SELECT i.doc_id, i.start, i.found, least(3, i.severity + 1) AS severity FROM {within(d, t, d.hits(t.zh, 'zh', HEADING))}"
+
+
+def pol13(d: Spark, t: Names) -> str:
+    """Findings in cells between bars, with the cell's number in its line."""
+    lined = f"(SELECT doc_id, ord AS line, item AS row_text FROM {lines(d, t.zh)} WHERE instr(item, '|') > 0)"
+    cells = f"(SELECT doc_id, line, ord AS cell, item FROM {d.explode(f'(SELECT doc_id, line, {d.split(chr(114) + chr(111) + chr(119) + chr(95) + chr(116) + chr(101) + chr(120) + chr(116), chr(91) + chr(124) + chr(93))} AS cs FROM {lined})', 'cs', 'doc_id, line')})"
+    forms = f"(SELECT doc_id, line, cell, item AS found FROM {d.explode(f'(SELECT doc_id, line, cell, {d.all(chr(105) + chr(116) + chr(101) + chr(109), PLACES)} AS fs FROM {cells})', 'fs', 'doc_id, line, cell')})"
+    return f"SELECT f.doc_id, f.line, f.cell, f.found, count(*) AS n FROM {forms} f JOIN {merged()} r ON f.found = r.source GROUP BY f.doc_id, f.line, f.cell, f.found"
 
 
 def pol14(d: Spark, t: Names) -> str:
@@ -93,8 +116,9 @@ def pol15(d: Spark, t: Names) -> str:
 
 
 def pol17(d: Spark, t: Names) -> str:
-    """Hash of the merged rules."""
-    return f"SELECT {d.sha(d.joined(chr(115) + 'ource', 'rule_id'))} AS ruleset FROM {merged()}"
+    """Hash of the merged rules: every field of every rule counts."""
+    fields = "concat(source, '>', target, '>', kind, '>', cast(severity AS string), '>', english, '>', clues, '>', tags)"
+    return f"SELECT {d.sha(d.joined(fields, 'rule_id', ';'))} AS ruleset FROM {merged()}"
 
 
 def pol18(d: Spark, t: Names) -> str:
@@ -120,8 +144,8 @@ def sc17(d: Spark, t: Names) -> str:
 
 
 def sc19(d: Spark, t: Names) -> str:
-    """Places of a term in one string by document."""
-    return f"SELECT doc_id, found, {d.joined('cast(ord AS string)', 'ord', ',')} AS places FROM {issues(d, t)} WHERE found = '視頻' GROUP BY doc_id, found"
+    """Places of each term in one string by document."""
+    return f"SELECT doc_id, found, {d.joined('cast(start AS string)', 'start', ',')} AS places FROM {issues(d, t)} GROUP BY doc_id, found"
 
 
 def sc20(d: Spark, t: Names) -> str:
@@ -164,16 +188,13 @@ def da10(d: Spark, t: Names) -> str:
 
 
 def fixed(text: str, d: Spark) -> str:
-    """Text with every safe fix applied: rules with one suggestion, longest source first."""
-    best: dict[str, tuple[int, str]] = {}
+    """Text with every safe fix spliced in at its finding: one suggestion, no clues to weigh; masks and exception forms stay as they are."""
+    last: dict[str, tuple] = {}
     for r in lx.RULES:
-        if r[5] >= best.get(r[0], (-1, ""))[0]:
-            best[r[0]] = r[5], r[1]
-    for source in sorted(best, key=lambda s: (-len(s), s)):
-        to = best[source][1]
-        if to and "/" not in to and to != source:
-            text = f"replace({text}, '{source}', '{to}')"
-    return text
+        if r[0] not in last or r[5] >= last[r[0]][5]:
+            last[r[0]] = r
+    safe = " ".join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in sorted(last.values()) if r[1] and "/" not in r[1] and r[1] != r[0] and not r[6])
+    return d.spliced(text, PLACES, f"CASE x {safe} ELSE x END")
 
 
 def fx1(d: Spark, t: Names) -> str:
@@ -192,14 +213,15 @@ def fx3(d: Spark, t: Names) -> str:
 
 
 def fx4(d: Spark, t: Names) -> str:
-    """How far later findings move: the running sum of length changes, by document."""
-    return f"SELECT doc_id, ord, sum(CASE WHEN target <> '' AND instr(target, '/') = 0 THEN length(target) - length(found) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shift FROM {issues(d, t)}"
+    """Where findings stand after the fixes before them: the running sum of length changes, by document."""
+    moved = "sum(CASE WHEN target <> '' AND instr(target, '/') = 0 AND clues = '' THEN length(target) - length(found) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"SELECT doc_id, start, start + coalesce({moved}, 0) AS place FROM {issues(d, t)}"
 
 
 def fx5(d: Spark, t: Names) -> str:
     """Convergence: findings left after fixing."""
-    inner = f"(SELECT doc_id, {d.all(fixed('zh', d), MATCH, 1)} AS found FROM {t.zh})"
-    return f"SELECT item AS found, count(*) AS n FROM {d.explode(inner, 'found')} GROUP BY item"
+    again = f"(SELECT doc_id, {fixed('zh', d)} AS fixed_text FROM {t.zh})"
+    return f"SELECT item AS found, count(*) AS n FROM {matches(d, t, 'fixed_text', again)} GROUP BY item"
 
 
 def st1(d: Spark, t: Names) -> str:
@@ -237,7 +259,7 @@ def snk4(d: Spark, t: Names) -> str:
 
 OPS: dict[str, Callable[[Spark, Names], str]] = {
     "pol1_merge_spelling_layers": pol1, "pol2_merge_case_layers": pol2, "pol3_drop_tags": pol3, "pol4_pack_conflicts": pol4, "pol5_pack_validation": pol5, "pol6_glossary": pol6, "pol7_ignore_terms": pol7,
-    "pol9_translation_memory": pol9, "pol10_baseline": pol10, "pol11_stance": pol11, "pol12_heading_boost": pol12, "pol14_explain": pol14, "pol15_scan_cache": pol15, "pol17_ruleset_hash": pol17,
+    "pol9_translation_memory": pol9, "pol10_baseline": pol10, "pol11_stance": pol11, "pol12_heading_boost": pol12, "pol13_table_cells": pol13, "pol14_explain": pol14, "pol15_scan_cache": pol15, "pol17_ruleset_hash": pol17,
     "pol18_ruleset_checks": pol18, "pol20_evaluation": pol20, "sc16_grouping": sc16, "sc17_summary": sc17, "sc19_places": sc19, "sc20_batch_gate": sc20, "sc21_ratios": sc21, "da1_eligible": da1,
     "da2_collocations": da2, "da3_clue_score": da3, "da10_judgments": da10, "fx1_verdicts": fx1, "fx2_fixed_text": fx2, "fx3_json_admissible": fx3, "fx4_offset_shift": fx4, "fx5_convergence": fx5,
     "st1_override_upsert": st1, "st4_memory_import": st4, "st6_cache_eviction": st6, "st8_badge": st8, "snk3_compact_report": snk3, "snk4_tabular_report": snk4,

@@ -9,8 +9,8 @@ from ..functions import lexicon as lx
 from ..functions.chars import HAN
 from ..plans.registered import Names
 from .documents import signals
-from .lexical import MASK, MATCH, converted, issues, merged
-from .policies import fixed
+from .lexical import MASK, MATCH, converted, issues, matches, merged
+from .policies import fixed, within
 from .segments import CUT, lines, paragraphs, sentences
 
 H = f"[{HAN}]"
@@ -69,9 +69,9 @@ def snk7(d: Spark, t: Names) -> str:
 
 
 def pre8(d: Spark, t: Names) -> str:
-    """Conversion of the string values of a JSON text only."""
-    value = d.first("zh", "“([^”]*)”", 1)
-    return f"SELECT doc_id, {converted(value)} AS converted FROM {t.zh} WHERE {value} <> ''"
+    """Conversion of quoted values only: all of them, and nothing around them."""
+    done = d.spliced("zh", "“[^”]*”", converted("x"))
+    return f"SELECT doc_id, {d.count('zh', '“[^”]*”')} AS n, {d.sha(done)} AS digest FROM {t.zh} WHERE {d.has('zh', '“[^”]*”')}"
 
 
 def pre9(d: Spark, t: Names) -> str:
@@ -85,7 +85,7 @@ def pre11(d: Spark, t: Names) -> str:
     """Register of the visible text: masked spans are blanked first."""
     clean = d.sub("zh", MASK, " ")
     anchor = rf"(^|[^{HAN}A-Za-z0-9])(" + "|".join(lx.FORMAL) + ")"
-    return f"SELECT doc_id, {d.has(clean, anchor)} AS formal FROM {t.zh}"
+    return f"SELECT doc_id, {d.has(clean, anchor)} OR {d.has(f'substring({clean}, 1, 100)', '本合約|本契約')} AS formal FROM {t.zh}"
 
 
 def pre13(d: Spark, t: Names) -> str:
@@ -172,9 +172,10 @@ def ai28(d: Spark, t: Names) -> str:
 
 
 def ai39(d: Spark, t: Names) -> str:
-    """Findings that are mentions: inside corner brackets on their line."""
-    inner = f"(SELECT doc_id, {d.all('zh', '「[^「」]*」', 0)} AS found FROM {t.zh})"
-    return f"SELECT e.doc_id, r.source, count(*) AS n FROM {d.explode(inner, 'found')} e JOIN {merged()} r ON instr(e.item, r.source) > 0 GROUP BY e.doc_id, r.source"
+    """Findings that are mentions, within corner brackets: by rule, and how many findings are left without them."""
+    inner = d.hits(t.zh, "zh", "「[^「」]*」")
+    spoken = f"(SELECT DISTINCT i.doc_id, i.start, i.found FROM {within(d, t, inner)})"
+    return f"SELECT i.doc_id, i.found, count(m.start) AS mentions, count(*) - count(m.start) AS used FROM {issues(d, t)} i LEFT JOIN {spoken} m ON i.doc_id = m.doc_id AND i.start = m.start GROUP BY i.doc_id, i.found HAVING count(m.start) > 0"
 
 
 def tr13(d: Spark, t: Names) -> str:
@@ -234,9 +235,9 @@ def da11(d: Spark, t: Names) -> str:
 
 def fx6(d: Spark, t: Names) -> str:
     """State carried over a re-scan: findings of a term before and after fixing."""
-    inner = f"(SELECT doc_id, {d.all(fixed('zh', d), MATCH, 1)} AS found FROM {t.zh})"
+    again = f"(SELECT doc_id, {fixed('zh', d)} AS fixed_text FROM {t.zh})"
     before = f"(SELECT doc_id, found, count(*) AS n FROM {issues(d, t)} GROUP BY doc_id, found)"
-    after = f"(SELECT doc_id, item AS found, count(*) AS n FROM {d.explode(inner, 'found')} GROUP BY doc_id, item)"
+    after = f"(SELECT doc_id, item AS found, count(*) AS n FROM {matches(d, t, 'fixed_text', again)} GROUP BY doc_id, item)"
     return f"SELECT b.doc_id, b.found, b.n AS before_fix, a.n AS after_fix FROM {before} b JOIN {after} a ON b.doc_id = a.doc_id AND b.found = a.found"
 
 

@@ -7,8 +7,12 @@ near miss.  It is plain ``replace`` from top to bottom, alike in every engine.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import once
+
 #: Word between spaces, and what takes its place.
 SLOTS = (
     ("the", "軟件"),
@@ -53,7 +57,7 @@ SLOTS = (
     ("der", "优化软件的质量与数据"),
     ("die", "用戶的"),
     ("und", "，可能，也許，大概，"),
-    ("zu", "高興的跑，慢慢的走，"),
+    ("zu", "高興的跑，慢慢的走，祖國的"),
     ("den", "在2024年曾已去過了。"),
     ("das", "不是結束，而是開始。\n\n被看見被發現被使用，被記住被忘記的人被找到。\n\n"),
     ("ein", "到底為什麼？因為愛。由此可見。\n\n"),
@@ -63,14 +67,14 @@ SLOTS = (
     ("im", "​零寬\n// zhtw:disable-next-line\n軟件\n"),
     ("el", "……等等「未閉合"),
     ("los", "好（說明)與(備註)的"),
-    ("las", "１２３ｋｍ"),
+    ("las", "１２３ｋｍ\n| 軟件 | 說明 |\n"),
     ("se", "文件夾，文件"),
     ("con", "敬啟者，本合約生效。"),
     ("no", "「外『內』外」"),
     ("del", "眾所皆知，有研究指出，"),
     ("su", "這個故事告訴我們，"),
     ("al", "領先時代十年。"),
-    ("es", "的。好的。對的。是的。"),
+    ("es", "的。好的。對的。是的。工程序列，"),
 )
 
 
@@ -85,5 +89,10 @@ ZH_SQL = f"(SELECT doc_id, {zh_expr()} AS zh FROM documents)"
 
 
 def zh_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, zh) of the documents of ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{zh_expr()} AS zh")
+    """(doc_id, zh) of the documents of ``sf_dir``, written once and dealt over as many parts as the session shuffles into."""
+
+    def make() -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").selectExpr("doc_id", f"{zh_expr()} AS zh")
+
+    return once(spark, "zh-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12], make)
