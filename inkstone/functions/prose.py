@@ -40,11 +40,11 @@ def forward(places: list[int], a: int, b: int) -> tuple[int, int]:
     return (bisect_right(places, a) - 1 if a < places[-1] else len(places) - 1, bisect_left(places, b)) if places else (a, b)
 
 
-_PIECES = re.compile(r"[^。！？\n]*[。！？\n]?")
+_PIECES = re.compile(r"[^。！？，、\s,.]*[。！？，、\s,.]?")
 
 
 def edits(text: str, to: str) -> set[tuple[int, int, str]]:
-    """Spans of a text with their replacements: pieces up to a sentence's end are paired first, characters within those that differ."""
+    """Spans of a text with their replacements: pieces up to a mark or space are paired first, characters within those that differ."""
     old, new = (_PIECES.findall(x) for x in (text, to))
     if len(old) == len(new):
         blocks = [(i, i + 1, i, i + 1) for i in range(len(old))]
