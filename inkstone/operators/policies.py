@@ -237,8 +237,9 @@ def st4(d: Spark, t: Names) -> str:
 
 
 def st6(d: Spark, t: Names) -> str:
-    """Cache eviction: the newest entries that fit the byte limit stay."""
-    return f"SELECT doc_id FROM (SELECT doc_id, source, sum({d.bytes('text')}) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM {t.documents}) WHERE held <= 65536"
+    """Cache eviction: of the newest 2,000 entries those stay that fit 32 MiB; the running sum is over the 2,000 alone."""
+    newest = f"(SELECT doc_id, {d.bytes('text')} AS held_bytes FROM {t.documents} WHERE text IS NOT NULL ORDER BY doc_id DESC LIMIT 2000)"
+    return f"SELECT doc_id FROM (SELECT doc_id, sum(held_bytes) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM {newest}) WHERE held <= 33554432"
 
 
 def st8(d: Spark, t: Names) -> str:
