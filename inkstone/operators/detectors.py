@@ -1,6 +1,6 @@
 """Detectors that are a pattern over a text, a sentence, a paragraph or a line.
 
-``TEXT`` patterns count in the whole text, ``SENTENCE`` ones flag sentences.
+``TEXT`` patterns count in the whole text (those with places are in ``shapes``), ``SENTENCE`` ones flag sentences.
 Patterns avoid lookaround, so both engines read them alike; an operator whose
 rule needs more is in a module of its own.
 """
@@ -18,50 +18,16 @@ H = f"[{HAN}]"
 
 TEXT: dict[str, str] = {
     # orthography
-    "ort5_enumeration_comma": f"{H}{{1,4}}，{H}{{1,4}}，{H}{{1,4}}[，。]",
-    "ort9_range_mark": rf"[0-9{HAN}]~{H}|{H}~[0-9{HAN}]|{H}-{H}",
     "ort10_ellipsis": rf"[{CONTEXT}]\.{{3,}}|\.{{3,}}[{CONTEXT}]|。{{3,}}|[{CONTEXT}]…",
     "ort11_cjk_latin_spacing": rf"{H}[A-Za-z0-9]|[A-Za-z0-9]{H}",
     "ort11_space_by_fullwidth_mark": r" [，。！？；：]|[，。！？；：] ",
-    "ort11_repeated_fullwidth_mark": r"[，！？；：]{2,}",
     "ort11_fullwidth_digits": r"[\x{FF10}-\x{FF19}]+",
-    "ort14_spaced_acronym": r"(^|[^A-Za-z])[A-Z] [A-Z] [A-Z]( [A-Z])*($|[^A-Za-z])",
     # exclusion spans
     "exc1_url_spans": r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+",
     "exc1_mention_spans": r"@[a-zA-Z0-9_]+",
     "exc1_term_mention": "「[^「」]{1,12}」(一詞|這個詞|是的?(說法|用語))",
     "exc8_headings": r"(?m)^ {0,3}#{1,6}[ \t][^\n]*",
-    # grammar
-    "grm1_a_not_a_with_ma": "(是不是|有沒有|能不能|會不會|要不要|可不可以|好不好|對不對|想不想|行不行)[^。！？\\n]*嗎",
-    "grm2_he_joining_clauses": f"(了|過|著)和(我|你|他|她|它|我們|他們)",
-    "grm3_bare_shi_adjective": "(我|你|他|她|它|這|那)是(好|忙|累|快|慢|高|大|小|重要)[，。]",
-    "grm4_redundant_preposition": "(影響|探討|研究|討論|說明|強調|分析).{0,2}(到|於|著)(了)?",
-    "grm5_nominalised_verb": f"(進行|加以|予以){H}{{0,2}}(研究|分析|討論|調查|處理|修改|測試|改善)",
-    "grm6_verbose_action": f"(做出|作出)(了)?{H}?(決定|貢獻|選擇|判斷|反應|改變)",
-    "grm7_dui_jinxing": f"對({H}{{1,6}})進行({H}{{2}})",
-    "grm8_double_attribution": "根據[^，。]*(顯示|指出|表示)",
-    # lexical AI style
-    "ai3_passive_rewrite": "被廣泛(採用|使用|應用|認為|接受)",
-    "ai4_didactic": "這個(故事|例子|經驗)[^。]{0,6}告訴(我們|你)",
-    "ai5_vague_exaggeration": "領先[^。]{0,4}(時代|業界|世界)[^。]{0,6}[0-9一二三四五六七八九十百]+年",
-    "ai18_negative_parallel": "(不只是|不僅是|不僅僅是)[^。]{0,30}(而是|更是)",
-    "ai20_significance_stamp": "標誌著[^。]{0,12}(時代|里程碑|階段|轉折)",
-    "ai21_era_opener": "隨著[^。]{0,40}不斷發展",
-    "ai25_formulaic_despite": "儘管[^。]{0,40}挑戰[^。]{0,12}(仍將|仍然|依然|將繼續)",
-    "ai26_false_range": "從[^。]{1,10}到[^。]{1,10}再到",
-    "ai31_colon_reveal": f"{H}{{1,12}}：不是[^，。]{{1,24}}，(是|而是)",
-    "ai35_fake_candor": "(說實話|老實說|坦白說|講真的)？",
-    "ai36_opening_announcement": "(廢話不多說|話不多說|直接進入正題|說實話)",
     # translationese
-    "tr2_abstract_subject": "的(減少|增加|提升|下降|出現)[^。]{0,6}(導致|標誌著|意味著|帶來)",
-    "tr5_copula_classifier": "是一(個|名|位|種)[^，。]{1,12}的",
-    "tr6_de_mixup": "(高興|慢慢|快樂|認真|安靜|努力|仔細)的(跑|走|說|做|看|工作|學習)",
-    "tr8_redundant_di": "(慢慢|漸漸|悄悄|默默|不斷|逐步)(地|的)",
-    "tr9_tense_markers": "[0-9]+[年月日][^。]*(曾|已|過|了)[^。]*(曾|已|過|了)[^。]*(曾|已|過|了)",
-    "tr10_superlative_one_of": "最[^。之]{1,20}之一",
-    "tr11_connectives": "因為[^。]{0,40}所以|雖然[^。]{0,40}但是|如果[^。]{0,40}那麼|當[^。]{0,30}的時候",
-    "tr12_nominal_chain": f"的(問題|情況|過程|方式|狀態)的{H}{{1,4}}(問題|情況|過程|方式|狀態)",
-    "tr15_paired_connectives": "因為[^。]{1,40}，所以",
     "tr16_head_chain": f"{H}{{1,3}}的{H}{{1,3}}的{H}{{1,3}}的",
     # scores
     "sc9_weak_verbs": f"(進行|加以|予以|做出|作出|給予|展開)(了)?{H}{{0,4}}(研究|分析|決定|討論|處理|貢獻|支持|調查)",
@@ -71,7 +37,6 @@ TEXT: dict[str, str] = {
 #: Flags of single sentences.
 SENTENCE: dict[str, str] = {
     "rh1_long_sentence": f"{H}{{15,}}",
-    "tr3_conditional_sentence": "(如果|假如|若)",
     "ai17_tricolon": f"、({H}{{2}})、({H}{{2}})、({H}{{2}})、",
     "ai1_implication": "意味著",
 }
@@ -123,7 +88,6 @@ _prose = lambda d: f"length({d.sub('item', chr(92) + 's', '')})"
 OPS |= {
     # A paragraph of 20 characters or more with more passive marks than max(2, 2 per 100 characters).
     "tr1_passive_density": paragraph_op(lambda d: f"length(item) >= 20 and {d.count('item', '被')} > greatest(2, ceil(length(item) / 100.0 * 2))", lambda d: d.count("item", "被")),
-    "tr7_de_chain": paragraph_op(lambda d: d.has("item", "的[^，。的]*的[^，。的]*的[^，。的]*的"), lambda d: d.count("item", "的[^，。的]*的[^，。的]*的[^，。的]*的")),
     "tr14_one_of_density": paragraph_op(lambda d: f"length(item) >= 100 and {d.count('item', '之一')} >= 2", lambda d: d.count("item", "之一")),
     "ai23_excessive_bold": paragraph_op(lambda d: f"length(item) >= 30 and {d.count('item', '[*][*][^*]+[*][*]')} >= greatest(3, ceil(length(item) / 200.0 * 3))", lambda d: d.count("item", "[*][*][^*]+[*][*]")),
     "ai24_em_dash_overuse": paragraph_op(lambda d: f"{d.count('item', '——')} >= 2", lambda d: d.count("item", "——")),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import contexts, detectors, documents, engine, lexical, policies, reports
+from .operators import contexts, detectors, documents, engine, lexical, policies, reports, shapes
 from .plans.registered import duck_sql, spark_query
 
-OPS = contexts.OPS | detectors.OPS | lexical.OPS | documents.OPS | policies.OPS | reports.OPS
+OPS = contexts.OPS | detectors.OPS | lexical.OPS | documents.OPS | policies.OPS | reports.OPS | shapes.OPS
 QUERIES = {name: spark_query(sql) for name, sql in OPS.items()} | engine.QUERIES
 ORACLE_SQL = {name: duck_sql(sql) for name, sql in OPS.items()} | engine.ORACLE_SQL
 

@@ -26,14 +26,14 @@ SLOTS = (
     ("was", "——用戶——信息——軟體和網路，好:的"),
     ("for", "最重要的城市之一。標誌著新的時代。"),
     ("on", "因為下雨，所以取消。儘管面臨挑戰，仍將繼續前進。"),
-    ("are", "根據報告顯示，大家都知道的問題的整個情況，說實話？"),
-    ("with", "對數據進行分析，核心：不是速度，而是質量。"),
+    ("are", "根據報告顯示，大家都知道的問題的整個情況。說實話？"),
+    ("with", "對數據進行分析，關鍵在於：不是速度，而是質量。"),
     ("as", "做出了決定。他吃了和我說了，他是好，影響到了。"),
     ("at", "“視頻”這是一段沒有任何停頓並且長達三十個字以上而且還在繼續說下去的句子所以讀起來真的非常累人。"),
     ("be", "被使用，被廣泛採用，被看見。他去了。他來了。他走了。\n- 請打開\n- 請關閉\n- 請離開\n"),
     ("this", "你好，您好。"),
     ("have", "儘管面臨挑戰，仍將繼續前進。\n# 結論\n標誌著新的時代。核心：不是速度，而是質量。"),
-    ("from", "\n\n從城市到鄉村再到海邊，"),
+    ("from", "\n\n從大城市到小鄉村再到海邊，"),
     ("or", "蘋果，香蕉，橘子，"),
     ("by", "不是甲，而是乙。不是丙，而是丁。不是戊，而是己。CPU的GPU 文件"),
     ("which", "說實話？由此可見，這很重要。說實話？由此可見。\n\n"),
@@ -41,7 +41,7 @@ SLOTS = (
     ("de", "計算機"),
     ("la", "、紅色、藍色、綠色、"),
     ("le", "的人的書的頁的字，"),
-    ("et", "的減少導致了問題。"),
+    ("et", "的減少導致了問題。政策的實施效果的提升，"),
     ("les", "是一個好的地方。"),
     ("des", "默認...鼠標"),
     ("en", "如果可以，"),
@@ -49,7 +49,7 @@ SLOTS = (
     ("une", "Github和JAVASCRIPT很好"),
     ("du", "12:30到15~20公里，城市~鄉村 ，好！！"),
     ("que", "進程"),
-    ("est", "他很好。他很忙。他很累。"),
+    ("est", "他很好。他很忙。他很累。廢話不多說，"),
     ("pour", "C P U 和U S B 接口"),
     ("par", "https://example.com/軟件/說明 "),
     ("sur", "@user_軟件 「網絡」一詞"),
@@ -57,7 +57,7 @@ SLOTS = (
     ("der", "优化软件的质量与数据"),
     ("die", "用戶的"),
     ("und", "，可能，也許，大概，"),
-    ("zu", "高興的跑，慢慢的走，祖國的"),
+    ("zu", "高興的跑，慢慢的走，慢慢地走，祖國的"),
     ("den", "在2024年曾已去過了。"),
     ("das", "不是結束，而是開始。\n\n被看見被發現被使用，被記住被忘記的人被找到。\n\n"),
     ("ein", "到底為什麼？因為愛。由此可見。\n\n"),
@@ -66,14 +66,14 @@ SLOTS = (
     ("ist", "希望對你有幫助。\n\n# 結論\n"),
     ("im", "​零寬\n// zhtw:disable-next-line\n軟件\n"),
     ("el", "……等等「未閉合"),
-    ("los", "好（說明)與(備註)的"),
+    ("los", "好（說明)與(備註)的。雖然下雨，但是他們去了。"),
     ("las", "１２３ｋｍ\n| 軟件 | 說明 |\n"),
     ("se", "文件夾，文件"),
     ("con", "敬啟者，本合約生效。"),
     ("no", "「外『內』外」"),
     ("del", "眾所皆知，有研究指出，"),
-    ("su", "這個故事告訴我們，"),
-    ("al", "領先時代十年。"),
+    ("su", "這裡的故事告訴我們，發揮了關鍵作用。"),
+    ("al", "領先時代10年。他會去，如果可以。"),
     ("es", "的。好的。對的。是的。工程序列，"),
 )
 
