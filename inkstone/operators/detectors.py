@@ -1,6 +1,6 @@
 """Detectors that are a pattern over a text, a sentence, a paragraph or a line.
 
-``TEXT`` patterns count in the whole text (those with places are in ``shapes``), ``SENTENCE`` ones flag sentences.
+``TEXT`` patterns count in the whole text (those with places are in ``shapes``), runs are of sentences.
 Patterns avoid lookaround, so both engines read them alike; an operator whose
 rule needs more is in a module of its own.
 """
@@ -10,38 +10,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..dialect import Spark
-from ..functions.chars import CONTEXT, HAN
+from ..functions.chars import HAN
 from ..plans.registered import Names
 from .segments import paragraphs, runs, sentences
 
 H = f"[{HAN}]"
 
 TEXT: dict[str, str] = {
-    # orthography
-    "ort10_ellipsis": rf"[{CONTEXT}]\.{{3,}}|\.{{3,}}[{CONTEXT}]|。{{3,}}|[{CONTEXT}]…",
-    "ort11_cjk_latin_spacing": rf"{H}[A-Za-z0-9]|[A-Za-z0-9]{H}",
-    "ort11_space_by_fullwidth_mark": r" [，。！？；：]|[，。！？；：] ",
-    "ort11_fullwidth_digits": r"[\x{FF10}-\x{FF19}]+",
     # exclusion spans
     "exc1_url_spans": r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+",
     "exc1_mention_spans": r"@[a-zA-Z0-9_]+",
     "exc1_term_mention": "「[^「」]{1,12}」(一詞|這個詞|是的?(說法|用語))",
     "exc8_headings": r"(?m)^ {0,3}#{1,6}[ \t][^\n]*",
-    # translationese
-    "tr16_head_chain": f"{H}{{1,3}}的{H}{{1,3}}的{H}{{1,3}}的",
     # scores
     "sc9_weak_verbs": f"(進行|加以|予以|做出|作出|給予|展開)(了)?{H}{{0,4}}(研究|分析|決定|討論|處理|貢獻|支持|調查)",
     "sc10_longest_match_pronoun": "他們|她們|它們|我們|你們|他|她|它",
 }
 
-#: Flags of single sentences.
-SENTENCE: dict[str, str] = {
-    "rh1_long_sentence": f"{H}{{15,}}",
-    "ai17_tricolon": f"、({H}{{2}})、({H}{{2}})、({H}{{2}})、",
-    "ai1_implication": "意味著",
-}
-
-
 def text_op(pattern: str) -> Callable[[Spark, Names], str]:
     def sql(d: Spark, t: Names) -> str:
         return f"SELECT doc_id, n FROM (SELECT doc_id, {d.count('zh', pattern)} AS n FROM {t.zh}) WHERE n > 0"
@@ -49,13 +34,6 @@ def text_op(pattern: str) -> Callable[[Spark, Names], str]:
     return sql
 
 
-def sentence_op(pattern: str) -> Callable[[Spark, Names], str]:
-    def sql(d: Spark, t: Names) -> str:
-        return f"SELECT doc_id, count(*) AS n, min(ord) AS first_sentence FROM {sentences(d, t.zh)} WHERE {d.has('item', pattern)} GROUP BY doc_id"
-
-    return sql
-
-
 def run_op(flag: str, least: int) -> Callable[[Spark, Names], str]:
     """Runs of neighbouring sentences of one paragraph."""
 
@@ -81,7 +59,6 @@ RUNS = {
 }
 
 OPS: dict[str, Callable[[Spark, Names], str]] = {k: text_op(p) for k, p in TEXT.items()}
-OPS |= {k: sentence_op(p) for k, p in SENTENCE.items()}
 OPS |= {k: run_op(*(v if isinstance(v, tuple) else (v, 3))) for k, v in RUNS.items()}
 
 _prose = lambda d: f"length({d.sub('item', chr(92) + 's', '')})"

@@ -194,17 +194,6 @@ def sc15(d: Spark, t: Names) -> str:
     return f"SELECT f.doc_id, f.found, f.english, max(f.n) AS flagged, sum(s.n) AS standard FROM {targets} f JOIN {std} s ON f.doc_id = s.doc_id AND f.item = s.item GROUP BY f.doc_id, f.found, f.english"
 
 
-def ort1(d: Spark, t: Names) -> str:
-    """Half-width marks next to ideographs: by mark."""
-    p = {"comma": f"{H},|,{H}", "stop": rf"{H}\.($|[^A-Za-z0-9.])", "question": rf"{H}\?", "exclamation": f"{H}!", "semicolon": f"{H};|;{H}", "colon": f"{H}:($|[^0-9])"}
-    return f"SELECT doc_id, {', '.join(f'{d.count(chr(122) + chr(104), v)} AS {k}' for k, v in p.items())} FROM {t.zh}"
-
-
-def ort6(d: Spark, t: Names) -> str:
-    """Curly quotes about Chinese, by paragraph: pairs to turn into corner brackets."""
-    return f"SELECT doc_id, ord, {d.count('item', '“[^“”]*' + H + '[^“”]*”')} AS pairs FROM {paragraphs(d, t.zh)} WHERE {d.count('item', '“[^“”]*' + H + '[^“”]*”')} > 0"
-
-
 def ort8(d: Spark, t: Names) -> str:
     """Brackets that don't close within their paragraph, and inner ones outside outer ones."""
     c = lambda m: d.count("item", m)
@@ -224,12 +213,6 @@ def ort12(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, n FROM (SELECT doc_id, {d.count('zh', '|'.join(u + u for u in units))} AS n FROM {t.zh}) WHERE n > 0"
 
 
-def pol19(d: Spark, t: Names) -> str:
-    """Runs of three or more of one symbol in the raw documents, but for markup that opens a line."""
-    runs_of = "|".join(f"[{s}]{{3,}}" for s in ("!", "#", "$", "%", "&", "*", "+", "=", "@", "?"))
-    return f"SELECT doc_id, n FROM (SELECT doc_id, {d.count('text', runs_of)} - {d.count('text', '(?m)^[#*=+]{3,}')} AS n FROM {t.documents}) WHERE n > 0"
-
-
 OPS: dict[str, Callable[[Spark, Names], str]] = {
     "seg1_sentences": seg1, "seg1_latin_sentences": seg1_raw, "seg2_paragraphs": seg2, "seg3_paragraph_sentences": seg3,
     "ai6_phrase_density": ai6, "ai8_binary_contrast": ai8, "ai9_paragraph_endings": ai9, "ai10_dash_overuse": ai10, "ai11_formulaic_headings": orphan_lines("^#+ .*(總結|展望|結論|前言)", 2),
@@ -237,6 +220,6 @@ OPS: dict[str, Callable[[Spark, Names], str]] = {
     "ai22_mechanical_bullets": line_runs(r"^[ ]*[-*+] [*][*][^*]+[*][*]", 3), "ai29_repeated_slogan": ai29, "ai30_rhetorical_question": neighbours("？$", "^(因為|答案|就是)"),
     "ai32_question_reveal": neighbours("(到底|究竟)[^。]*？$", "^(因為|不是|就是)"), "ai37_stock_conclusion": ai37,
     "sc1_machine_score": sc1, "sc3_punctuation_profile": sc3, "sc5_sentence_variability": sc5, "sc6_translation_score": sc6, "sc8_longest_de_chain": sc8, "sc11_oral_density": sc11,
-    "sc12_quality_flags": sc12, "sc13_regional_axis": sc13, "sc14_top_findings": sc14, "sc15_consistency": sc15, "ort1_halfwidth_marks": ort1, "ort6_quote_pairs": ort6, "ort8_quote_hierarchy": ort8,
-    "ort12_repetition_cjk": ort12, "ort13_repetition_latin": ort13, "pol19_symbol_runs": pol19,
+    "sc12_quality_flags": sc12, "sc13_regional_axis": sc13, "sc14_top_findings": sc14, "sc15_consistency": sc15, "ort8_quote_hierarchy": ort8,
+    "ort12_repetition_cjk": ort12, "ort13_repetition_latin": ort13, 
 }

@@ -17,13 +17,6 @@ H = f"[{HAN}]"
 ENDED = "[^。！？；]"
 
 
-def counted(pattern: str):
-    def sql(d: Spark, t: Names) -> str:
-        return f"SELECT doc_id, n FROM (SELECT doc_id, {d.count('zh', pattern)} AS n FROM {t.zh}) WHERE n > 0"
-
-    return sql
-
-
 def per_paragraph(pattern: str, least: int):
     def sql(d: Spark, t: Names) -> str:
         return f"SELECT doc_id, ord, {d.count('item', pattern)} AS n FROM {paragraphs(d, t.zh)} WHERE {d.count('item', pattern)} >= {least}"
@@ -178,26 +171,12 @@ def ai39(d: Spark, t: Names) -> str:
     return f"SELECT i.doc_id, i.found, count(m.start) AS mentions, count(*) - count(m.start) AS used FROM {issues(d, t)} i LEFT JOIN {spoken} m ON i.doc_id = m.doc_id AND i.start = m.start GROUP BY i.doc_id, i.found HAVING count(m.start) > 0"
 
 
-def tr13(d: Spark, t: Names) -> str:
-    """False friends that a companion in the clause confirms."""
-    clauses = d.explode(f"(SELECT doc_id, {d.split(d.sub('zh', '[，。！？；]', CUT), CUT)} AS cs FROM {t.zh})", "cs")
-    return f"SELECT doc_id, count(*) AS n FROM {clauses} WHERE {d.has('item', '質量|信息|數據')} AND {d.has('item', '軟件|軟體|計算機|速度')} GROUP BY doc_id"
-
-
 def tr17(d: Spark, t: Names) -> str:
     """Long modifiers: spans without a comma, of 18 characters or more, with three 的."""
     clauses = d.explode(f"(SELECT doc_id, {d.split(d.sub('zh', '[，。！？；、]', CUT), CUT)} AS cs FROM {t.zh})", "cs")
     return f"SELECT doc_id, count(*) AS n, max(length(item)) AS longest FROM {clauses} WHERE length(item) >= 18 AND {d.count('item', '的')} >= 3 GROUP BY doc_id"
 
 
-def tr18(d: Spark, t: Names) -> str:
-    """Of two passes that flag one sentence the indexed one counts."""
-    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
-    a = f"(SELECT doc_id, ord FROM {sentences(d, t.zh)} WHERE {d.has('item', '因為')})"
-    b = f"(SELECT doc_id, ord FROM {sentences(d, t.zh)} WHERE {d.has('item', '因為[^。]{1,40}，所以')})"
-    return f"SELECT a.doc_id, count(*) AS n FROM {a} a {anti} {b} b ON a.doc_id = b.doc_id AND a.ord = b.ord GROUP BY a.doc_id"
-
-
 def sc2(d: Spark, t: Names) -> str:
     """Phrase signal: mean excess of the phrases that occur."""
     return f"SELECT doc_id, present, round(CASE WHEN present = 0 THEN 0 ELSE excess / present END, 6) AS signal FROM {signals(d, t)} WHERE chars >= 500"
@@ -282,7 +261,7 @@ OPS: dict[str, Callable[[Spark, Names], str]] = {
     "pre8_conversion_of_values": pre8, "pre9_conversion_gate": pre9, "pre11_visible_register": pre11, "pre13_adjacent_marks": pre13, "exc4_masked_hits": exc4, "exc9_table_cells": exc9, "exc11_front_matter": exc11,
     "exc14_placeholders": exc14, "exc17_suppression": exc17, "seg8_word_count": seg8, "lex3_register_rule_sets": lex3, "lex11_positional_clues": lex11, "lex12_deletion_extension": lex12,
     "lex13_context_suggestion": lex13, "lex18_structural_guards": lex18, "ai2_copula_avoidance": ai2, "ai7_bare_attribution": ai7, "ai28_line_metaphor": ai28, "ai34_psych_verdict": per_paragraph("他很(好|忙|累)", 2),
-    "ai38_fake_depth": per_paragraph("(說實話|由此可見|意味著)", 2), "ai39_mentions": ai39, "tr13_false_friends": tr13, "tr17_long_modifier": tr17, "tr18_phase_dedup": tr18, "ort2_parentheses": counted(H + "[(][^()]{1,512}[)]" + H),
-    "ort3_colon": counted(H + ":($|[^0-9/])"), "sc2_phrase_signal": sc2, "sc7_domain_thresholds": sc7, "sc18_resolution_tier": sc18, "da4_profile_prior": da4, "da6_promoted_suggestion": da6,
+    "ai38_fake_depth": per_paragraph("(說實話|由此可見|意味著)", 2), "ai39_mentions": ai39, "tr17_long_modifier": tr17,
+    "sc2_phrase_signal": sc2, "sc7_domain_thresholds": sc7, "sc18_resolution_tier": sc18, "da4_profile_prior": da4, "da6_promoted_suggestion": da6,
     "da11_context_key": da11, "fx6_carried_state": fx6, "pol8_suppressed_terms": pol8, "pol16_report_digest": pol16, "st2_suppression_set": st2, "st3_memory_record": st3, "st5_judgment_eviction": st5, "st9_supplied_masks": st9,
 }

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from ..dialect import Spark
-from ..functions.chars import HAN
+from ..functions.chars import CONTEXT, HAN
 from ..functions import lexicon as lx
 from ..plans.registered import Names
 from .lexical import MASK
@@ -48,6 +48,14 @@ PERSONS = "畫家 學者 作家 工程師 程式設計師 設計師 研究員 
 NOT_WHEN = "下時作初今年日前地局事中然面選權代"
 
 
+DEFINES, FOLLOWS, EXPLAINS = "定義 是指 就是 亦即 所謂 稱為 指的是", "因此 所以 結果 導致 造成 如果 一旦 將會 可能", "換言之 換句話說 簡單來說 簡言之 具體來說"
+FALSE_FRIENDS = "實際上 字面上 基本上 絕對地 肯定地 明顯地 嚴肅地表示 誠實地說"
+ABSTRACT = "實施 分析 講解 理解 認識 發現 提升 下降 改善 評估 探索 建構 推動 落實 形成 確立 發展 建立 促進 強化 深化 整合 統合 落地 規劃 執行"
+PAUSES = r"，、；：。！？,;:.!?（）()「」『』【】〔〕《》〈〉—－…\"“”‘’\-"
+#: ASCII marks whose runs are markup where they open a line.
+MARKUP = "#:-~*_=+`>|"
+
+
 class Shape(NamedTuple):
     kind: str
     severity: int
@@ -60,11 +68,13 @@ class Shape(NamedTuple):
     #: No finding where this matches in what was read.
     unless: str = ""
     #: A further condition over ``item``, ``place`` (of the finding in it) and ``found``.
-    where: str = ""
+    where: str | Callable[[Spark], str] = ""
     #: Findings of formal letters and contracts where this matches are none.
     formal: str = ""
     #: What of the finding is rewritten; none means all.
     part: str = ""
+    #: The suggestion as an expression over ``item`` and ``found``, in place of a rewriting.
+    rewrite: str | Callable[[Spark], str] = ""
 
 
 def grammar(severity: int, core: str, to: str | None = None, **more: str) -> Shape:
@@ -86,9 +96,40 @@ def inside(scan: str) -> dict[str, str]:
 
 _WHEN = f"當(?:[^{NOT_WHEN}。！？!?\\n]{S}{{0,26}}?)?"
 _SOURCE = rf"[ \t]*[^。！？!?\n，,；;：:\[\]\s][^。！？!?\n，,；;：:\[\]]*?"
+#: A clause of two Latin words or more, one of them in lower case, keeps its mark.
+_LATIN = "(^|[^A-Za-z])[a-z][A-Za-z]*[^A-Za-z]+[A-Za-z]|[A-Za-z][^A-Za-z]+[a-z]"
+_WIDE = "translate(found, ',!?;:.', '，！？；：。')"
+_TERM = words(FALSE_FRIENDS)
+_SPAN = r"[^、。！？!?\n；.]"
+_RUNS = lambda marks: "(?:" + "|".join(f"\\x{{{ord(c):02X}}}{{3,}}" for c in marks) + ")"
+SYMBOLS = "".join(chr(i) for i in range(0x21, 0x7F) if not chr(i).isalnum())
 _HEADS = f"的{words('實施 改善 提升 下降')}[^。！？!?\\n，,；;和與及、]*?的{words('提升 改善 下降')}|的{words('分析 講解 理解 認識')}[^。！？!?\\n，,；;和與及、]*?的{words('發現 理解 認識')}"
 
-SHAPES: dict[str, Shape] = {
+#: A detector is one shape or several, whose findings are united.
+SHAPES: dict[str, Shape | tuple[Shape, ...]] = {
+    "ort1_halfwidth_marks": (
+        Shape("punctuation", 2, "[,?;]", before=f"[{CONTEXT}][ ]*", rewrite=_WIDE),
+        Shape("punctuation", 2, "[.!]", before=f"[{CONTEXT}][ ]*", after=f"{ANY}?", unless=r"\.[.A-Za-z0-9]\z|!\[\z", rewrite=_WIDE),
+        Shape("punctuation", 2, "[,!?;]", before=rf"[^A-Za-z0-9 ()/_\-{CONTEXT}][A-Za-z0-9 ()/_-]*", after=f"[ ]*[{CONTEXT}]", unless=_LATIN, rewrite=_WIDE),
+    ),
+    "ort2_parentheses": Shape("punctuation", 2, r"\([^()\n]{1,512}\)", before=f"[{CONTEXT}]", after=f"[{CONTEXT}]", rewrite="concat('（', substring(found, 2, length(found) - 2), '）')"),
+    "ort3_colon": (
+        Shape("punctuation", 2, ":", before=f"[{CONTEXT}][ ]*", after=f"{ANY}?", unless=r":[0-9/]\z", rewrite=_WIDE),
+        Shape("punctuation", 2, ":", before=rf"[^A-Za-z0-9 ()/_\-{CONTEXT}\]][A-Za-z0-9()/_-][A-Za-z0-9 ()/_-]*", after=f"[ ]*[{CONTEXT}]", unless=_LATIN, rewrite=_WIDE),
+    ),
+    "ort6_quote_pairs": Shape(
+        "punctuation", 2, rf"“[^“”\n]*[{HAN}][^“”\n]*”", before=f"[A-Za-z] |{ANY}", after=f" [A-Za-z]|{ANY}?", unless=r"^[A-Za-z][\s\S]*[A-Za-z]\z",
+        rewrite="concat('「', substring(found, 2, length(found) - 2), '」')",
+    ),
+    "ort10_ellipsis": (
+        Shape("punctuation", 2, r"\.{3,}", "……", before=f"[{CONTEXT}]"),
+        Shape("punctuation", 2, r"\.{3,}", "……", before=f"[^.={CONTEXT}]", after=f"[{CONTEXT}]"),
+        Shape("punctuation", 2, "。{3,}", "……"),
+        Shape("punctuation", 1, "…", "……", before=f"[{HAN}]", after=r"[^…]|\z"),
+    ),
+    "ort11_cjk_latin_spacing": (Shape("spacing", 1, "", before=f"[{HAN}]", after="[A-Za-z0-9]", rewrite="' '"), Shape("spacing", 1, "", before="[A-Za-z0-9]", after=f"[{HAN}]", rewrite="' '")),
+    "ort11_space_by_fullwidth_mark": (Shape("spacing", 1, "[ ]+", before="[，。！？；：]", rewrite="''"), Shape("spacing", 1, "[ ]+", before="[^ ，。！？；：]", after="[，。！？；：]", rewrite="''")),
+    "ort11_fullwidth_digits": Shape("spacing", 1, r"[\x{FF10}-\x{FF19}]+", rewrite="translate(found, '０１２３４５６７８９', '0123456789')"),
     "ort5_enumeration_comma": Shape("punctuation", 1, f"[{HAN}]{{1,4}}，[{HAN}]{{1,4}}，[{HAN}]{{1,4}}", "、", after="[，。]", part="，"),
     "ort9_range_mark": Shape("punctuation", 1, "[~-]", "～", before=f"[0-9{HAN}]", after=f"[0-9{HAN}]", unless="^[0-9]~[0-9]|[0-9]-|-[0-9]"),
     "ort11_repeated_fullwidth_mark": Shape("spacing", 1, "，{2,}|！{2,}|？{2,}|；{2,}|：{2,}", r"\1", part=f"^({ANY}){ANY}*"),
@@ -105,6 +146,10 @@ SHAPES: dict[str, Shape] = {
     "grm8_double_attribution": grammar(
         1, "根據(?:" + "|".join(f"({_SOURCE}){v}" for v in ("顯示", "指出", "表明", "表示", "說明")) + ")", r"根據\1\2\3\4\5", after=f"{ANY}?", unless=r"(說明[書文]|表示[式法]|顯示[器屏卡幕])\z"
     ),
+    "ai1_implication": ai(
+        "意味著", **inside(SENTENCE), rewrite=lambda d: "CASE " + " ".join(f"WHEN {d.has('item', words(w))} THEN '{to}'" for w, to in ((DEFINES, "表示"), (FOLLOWS, "代表"), (EXPLAINS, "也就是說"))) + " END"
+    ),
+    "ai17_tricolon": ai("|".join(f"{_SPAN}{{{n}}}、{_SPAN}{{{n}}}、{_SPAN}{{{n}}}" for n in range(1, 9)), before=r"[、。！？!?\n；.]", after=r"[、。！？!?\n；.]|\z"),
     "ai3_passive_rewrite": ai("被(廣泛(?:使用|採用|應用))", r"\1"),
     "ai4_didactic": ai(f"的{words('故事 案例 經驗 教訓 歷史')}{S}{{0,7}}?{words('告訴 提醒 啟示')}{words('我們 後人 世人')}"),
     "ai5_vague_exaggeration": ai(rf"{words('領先 超前 超越')}{S}{{0,18}}?{words('時代 業界 同期')}(?:{S}{{0,4}}?[^。！？!?\n0-9])?[0-9]{{1,2}}年"),
@@ -126,6 +171,15 @@ SHAPES: dict[str, Shape] = {
     "tr10_superlative_one_of": translated(1, r"(?:最|極為)[^之。！？!?\n]{1,18}之一", unless=f"{words(PERSONS)}之一"),
     "tr11_connectives": translated(1, f"因為{S}{{0,38}}?所以|雖然{S}{{0,38}}?但是|{_WHEN}的時候|如果{S}{{0,38}}?那麼", formal="."),
     "tr12_nominal_chain": translated(1, _HEADS),
+    "tr13_false_friends": (
+        translated(1, _TERM, scan=CLAUSE, before=f"{ANY}*?", after=f"{ANY}*{_TERM}{ANY}*"),
+        translated(1, _TERM, scan=CLAUSE, before=f"{ANY}*{_TERM}{ANY}*?", after=f"{ANY}*"),
+        translated(1, _TERM, after=r"[ ]*[(（][A-Za-z][A-Za-z ]*[)）]"),
+    ),
+    "tr16_head_chain": translated(1, f"{words(ABSTRACT)}(?:的{words(ABSTRACT)}){{2,}}"),
+    "rh1_long_sentence": translated(
+        1, f"{ANY}{{8}}", scan=SENTENCE, before=r"\s*", after=f"{ANY}*", where=lambda d: f"{d.count('item', f'[{HAN}]')} > 30 AND {d.has('item', f'(?:[{HAN}][^{PAUSES}{HAN}]*){{15}}')}"
+    ),
     "tr15_paired_connectives": translated(1, f"因為({S}{{0,38}}?所以)|雖然({S}{{0,38}}?但是)|({_WHEN})的時候|(如果{S}{{0,38}}?)那麼", r"\1\2\3\4", formal="."),
 }
 
@@ -136,8 +190,13 @@ def formal(d: Spark) -> str:
     return f"({d.has('zh', anchor)} OR {d.has('substring(zh, 1, 100)', '本合約|本契約')})"
 
 
-def findings(s: Shape, d: Spark, source: str) -> str:
-    """(doc_id, start, found, suggestion, kind, severity) of a shape over a relation (doc_id, zh)."""
+def findings(s: Shape | tuple[Shape, ...], d: Spark, source: str) -> str:
+    """(doc_id, start, found, suggestion, kind, severity) of a detector over a relation (doc_id, zh)."""
+    return " UNION ".join(one(x, d, source) for x in s) if isinstance(s[0], tuple) else one(s, d, source)
+
+
+def one(s: Shape, d: Spark, source: str) -> str:
+    said = lambda x: x(d) if callable(x) else x
     keep = "doc_id, formal" if s.formal else "doc_id"
     register = f", {formal(d)} AS formal" if s.formal else ""
     body = f"(SELECT doc_id{register}, concat(chr(10), zh) AS body FROM {source})"
@@ -147,13 +206,30 @@ def findings(s: Shape, d: Spark, source: str) -> str:
     conditions = [d.has("item", full), f"NOT {d.has('item', MASK)}"] + ([f"NOT {d.has('item', s.unless)}"] if s.unless else [])
     conditions += [f"NOT (formal AND {d.has('item', s.formal)})"] if s.formal else []
     parts = f"(SELECT doc_id, start, item, CAST(length({d.first('item', full, 1)}) AS BIGINT) AS place, {d.first('item', full, 2)} AS found FROM {d.hits(body, 'body', read, keep)} WHERE {' AND '.join(conditions)})"
-    rewritten = "CAST(NULL AS string)" if s.to is None else d.sub("found", s.part or rf"^(?:{s.core})\z", s.to)
-    where = f" WHERE {s.where}" if s.where else ""
+    rewritten = said(s.rewrite) or ("CAST(NULL AS string)" if s.to is None else d.sub("found", s.part or rf"^(?:{s.core})\z", s.to))
+    where = f" WHERE {said(s.where)}" if s.where else ""
     return f"SELECT doc_id, start + place - 1 AS start, found, {rewritten} AS suggestion, '{s.kind}' AS kind, {s.severity} AS severity FROM {parts}{where}"
 
 
-def shape_op(s: Shape) -> Callable[[Spark, Names], str]:
+def shape_op(s: Shape | tuple[Shape, ...]) -> Callable[[Spark, Names], str]:
     return lambda d, t: findings(s, d, t.zh)
 
 
-OPS: dict[str, Callable[[Spark, Names], str]] = {name: shape_op(s) for name, s in SHAPES.items()}
+#: Runs of one symbol on the raw documents, but for markup that opens a line.
+SYMBOL_RUNS = Shape("repetition", 1, _RUNS(SYMBOLS), scan=rf"\n[ \t\r]*{_RUNS(MARKUP)}|{_RUNS(SYMBOLS)}")
+
+
+def pol19(d: Spark, t: Names) -> str:
+    """Runs of three or more of one symbol in the raw documents, with their places."""
+    return findings(SYMBOL_RUNS, d, f"(SELECT doc_id, text AS zh FROM {t.documents})")
+
+
+def tr18(d: Spark, t: Names) -> str:
+    """Lexical findings that no finding of the indexed pass of their family overlaps."""
+    anti = "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
+    pairs = (("connective", "tr11_connectives", "tr15_paired_connectives"), ("nominalization", "tr12_nominal_chain", "tr16_head_chain"))
+    united = lambda k: " UNION ALL ".join(f"SELECT doc_id, start, found, '{p[0]}' AS family FROM ({findings(SHAPES[p[k]], d, t.zh)})" for p in pairs)
+    return f"SELECT a.doc_id, a.start, a.found, a.family FROM ({united(1)}) a {anti} ({united(2)}) b ON a.doc_id = b.doc_id AND a.family = b.family AND a.start < b.start + length(b.found) AND b.start < a.start + length(a.found)"
+
+
+OPS: dict[str, Callable[[Spark, Names], str]] = {name: shape_op(s) for name, s in SHAPES.items()} | {"pol19_symbol_runs": pol19, "tr18_phase_dedup": tr18}

@@ -39,9 +39,9 @@ SLOTS = (
     ("which", "說實話？由此可見，這很重要。說實話？由此可見。\n\n"),
     ("not", "意味著改變，標誌著新的時代。"),
     ("de", "計算機"),
-    ("la", "、紅色、藍色、綠色、"),
+    ("la", "。紅色、藍色、綠色、換言之，意味著改變。"),
     ("le", "的人的書的頁的字，"),
-    ("et", "的減少導致了問題。政策的實施效果的提升，"),
+    ("et", "的減少導致了問題。政策的實施效果的提升，推動的落實的發展，"),
     ("les", "是一個好的地方。"),
     ("des", "默認...鼠標"),
     ("en", "如果可以，"),
@@ -70,7 +70,7 @@ SLOTS = (
     ("las", "１２３ｋｍ\n| 軟件 | 說明 |\n"),
     ("se", "文件夾，文件"),
     ("con", "敬啟者，本合約生效。"),
-    ("no", "「外『內』外」"),
+    ("no", "「外『內』外」實際上基本上(basically)如此，"),
     ("del", "眾所皆知，有研究指出，"),
     ("su", "這裡的故事告訴我們，發揮了關鍵作用。"),
     ("al", "領先時代10年。他會去，如果可以。"),
