@@ -23,7 +23,6 @@ TEXT: dict[str, str] = {
     "exc1_term_mention": "「[^「」]{1,12}」(一詞|這個詞|是的?(說法|用語))",
     "exc8_headings": r"(?m)^ {0,3}#{1,6}[ \t][^\n]*",
     # scores
-    "sc9_weak_verbs": f"(進行|加以|予以|做出|作出|給予|展開)(了)?{H}{{0,4}}(研究|分析|決定|討論|處理|貢獻|支持|調查)",
     "sc10_longest_match_pronoun": "他們|她們|它們|我們|你們|他|她|它",
 }
 

@@ -153,12 +153,6 @@ def sc1(d: Spark, t: Names) -> str:
       FROM {signals(d, t)} WHERE chars >= 500"""
 
 
-def sc6(d: Spark, t: Names) -> str:
-    """Translation-style score of texts of 200 characters or more: the share of weights of the signals beyond their rates per 100 characters."""
-    clamp = lambda n, th: f"(CASE WHEN {n} * 100.0 / chars > {th} THEN least(2, greatest(0.1, ({n} * 100.0 / chars - {th}) / {th})) ELSE 0 END)"
-    return f"SELECT doc_id, round(least(1, ({clamp('passive', 0.8)} * 1.0 + {clamp('de', 4)} * 0.7 + {clamp('weak', 0.5)} * 0.8 + {clamp('pronouns', 1.5)} * 0.6) / 3.1), 6) AS score FROM {signals(d, t)} WHERE chars >= 200"
-
-
 def sc8(d: Spark, t: Names) -> str:
     """Most 的 in one clause."""
     clause = d.split(d.sub("zh", "[，。！？；\\n]", CUT), CUT)
@@ -219,7 +213,7 @@ OPS: dict[str, Callable[[Spark, Names], str]] = {
     "ai12_list_density": ai12, "ai13_mixed_address": ai13, "ai14_stacked_please": line_runs(r"^[ ]*[-*+] *請", 3), "ai15_invisible_characters": ai15, "ai19_section_closers": ai19,
     "ai22_mechanical_bullets": line_runs(r"^[ ]*[-*+] [*][*][^*]+[*][*]", 3), "ai29_repeated_slogan": ai29, "ai30_rhetorical_question": neighbours("？$", "^(因為|答案|就是)"),
     "ai32_question_reveal": neighbours("(到底|究竟)[^。]*？$", "^(因為|不是|就是)"), "ai37_stock_conclusion": ai37,
-    "sc1_machine_score": sc1, "sc3_punctuation_profile": sc3, "sc5_sentence_variability": sc5, "sc6_translation_score": sc6, "sc8_longest_de_chain": sc8, "sc11_oral_density": sc11,
+    "sc1_machine_score": sc1, "sc3_punctuation_profile": sc3, "sc5_sentence_variability": sc5, "sc8_longest_de_chain": sc8, "sc11_oral_density": sc11,
     "sc12_quality_flags": sc12, "sc13_regional_axis": sc13, "sc14_top_findings": sc14, "sc15_consistency": sc15, "ort8_quote_hierarchy": ort8,
     "ort12_repetition_cjk": ort12, "ort13_repetition_latin": ort13, 
 }

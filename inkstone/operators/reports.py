@@ -182,12 +182,6 @@ def sc2(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, present, round(CASE WHEN present = 0 THEN 0 ELSE excess / present END, 6) AS signal FROM {signals(d, t)} WHERE chars >= 500"
 
 
-def sc7(d: Spark, t: Names) -> str:
-    """Thresholds by domain against the passive rate of a document."""
-    domains = lx.values((("general", 0.8), ("technical", 1.2), ("literary", 0.5), ("news", 1.0)), "domain, threshold", "t")
-    return f"SELECT domain, count(*) AS documents, sum(CASE WHEN passive * 100.0 / chars > threshold THEN 1 ELSE 0 END) AS beyond FROM {signals(d, t)} CROSS JOIN {domains} WHERE chars >= 200 GROUP BY domain"
-
-
 def sc18(d: Spark, t: Names) -> str:
     """Resolution tier of each finding's rule."""
     return f"SELECT CASE WHEN instr(r.target, '/') > 0 AND r.clues <> '' THEN 'clues' WHEN instr(r.target, '/') > 0 THEN 'judge' ELSE 'rule' END AS tier, count(*) AS n FROM {issues(d, t)} i JOIN {merged()} r ON i.found = r.source GROUP BY 1"
@@ -262,6 +256,6 @@ OPS: dict[str, Callable[[Spark, Names], str]] = {
     "exc14_placeholders": exc14, "exc17_suppression": exc17, "seg8_word_count": seg8, "lex3_register_rule_sets": lex3, "lex11_positional_clues": lex11, "lex12_deletion_extension": lex12,
     "lex13_context_suggestion": lex13, "lex18_structural_guards": lex18, "ai2_copula_avoidance": ai2, "ai7_bare_attribution": ai7, "ai28_line_metaphor": ai28, "ai34_psych_verdict": per_paragraph("他很(好|忙|累)", 2),
     "ai38_fake_depth": per_paragraph("(說實話|由此可見|意味著)", 2), "ai39_mentions": ai39, "tr17_long_modifier": tr17,
-    "sc2_phrase_signal": sc2, "sc7_domain_thresholds": sc7, "sc18_resolution_tier": sc18, "da4_profile_prior": da4, "da6_promoted_suggestion": da6,
+    "sc2_phrase_signal": sc2, "sc18_resolution_tier": sc18, "da4_profile_prior": da4, "da6_promoted_suggestion": da6,
     "da11_context_key": da11, "fx6_carried_state": fx6, "pol8_suppressed_terms": pol8, "pol16_report_digest": pol16, "st2_suppression_set": st2, "st3_memory_record": st3, "st5_judgment_eviction": st5, "st9_supplied_masks": st9,
 }

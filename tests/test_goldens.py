@@ -17,6 +17,10 @@ TEXTS = {
     8: "Visit our site, 你好, iPhone與github和my_github",
     9: "| 軟件 | 說明 |\n「軟件」一詞，軟件",
     10: "祖國的視頻“优化软件”和“数据”，视",
+    11: "被" + "好" * 199,
+    12: "甲的乙的丙的丁的，" + "好" * 191,
+    13: "被" + "好" * 198,
+    14: "https://a.b/被被被被 " + "好" * 199,
 }
 
 
@@ -108,3 +112,14 @@ def test_ranges_edits_and_files(spark, tmp_path):
     for _ in range(2):
         write_fixed(api.fix(docs), str(tmp_path / "out"))
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["軟體"]
+
+
+def test_translation_score_by_domain(run):
+    """By hand: excess over the threshold by the threshold, held to 0.1 and 2, times the weight, over the weights' sum of 3.6."""
+    scores = {(r[0], r[1]): r[2] for r in run("sc7_domain_thresholds")}
+    assert {k[0] for k in scores} >= {11, 12, 14} and 13 not in {k[0] for k in scores}
+    assert [scores[11, x] for x in ("general", "technical", "literary", "news")] == [0.185185, 0.0, 0.555556, 0.277778]
+    assert [scores[12, x] for x in ("general", "literary")] == [0.019444, 0.157407]
+    assert scores[14, "literary"] == 0
+    general = {r[0]: tuple(r[1:]) for r in run("sc6_translation_score")}
+    assert general[11] == (200, 1, 0, 0, 0, 0, 0.185185) and general[12] == (200, 0, 0, 0, 1, 4, 0.019444)
