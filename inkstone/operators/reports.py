@@ -149,11 +149,6 @@ def lex18(d: Spark, t: Names) -> str:
     return f"SELECT source, kind FROM {merged()} WHERE kind = 'ai_filler'"
 
 
-def ai2(d: Spark, t: Names) -> str:
-    """Copula avoidance: 作為, 標誌著, 充當, 擁有, 設有 in sentences without a technical term."""
-    return f"SELECT doc_id, count(*) AS n FROM {sentences(d, t.zh)} WHERE {d.has('item', '作為|標誌著|充當|擁有|設有')} AND NOT {d.has('item', '參數|變數|介面|接口|函數')} GROUP BY doc_id"
-
-
 def ai7(d: Spark, t: Names) -> str:
     """Attributions without a source: no year, bracket or named authority in the sentence."""
     return f"SELECT doc_id, count(*) AS n FROM {sentences(d, t.zh)} WHERE {d.has('item', '有研究指出|專家表示|眾所皆知|報告顯示')} AND NOT {d.has('item', '[0-9]{4}|[(（]|大學|研究院')} GROUP BY doc_id"
@@ -254,7 +249,7 @@ OPS: dict[str, Callable[[Spark, Names], str]] = {
     "src2_extension_filter": src2, "src3_changed_documents": src3, "src4_size_limit": src4, "snk1_json_report": snk1, "snk2_human_report": snk2, "snk5_sarif_rules": snk5, "snk7_search_replace": snk7,
     "pre8_conversion_of_values": pre8, "pre9_conversion_gate": pre9, "pre11_visible_register": pre11, "pre13_adjacent_marks": pre13, "exc4_masked_hits": exc4, "exc9_table_cells": exc9, "exc11_front_matter": exc11,
     "exc14_placeholders": exc14, "exc17_suppression": exc17, "seg8_word_count": seg8, "lex3_register_rule_sets": lex3, "lex11_positional_clues": lex11, "lex12_deletion_extension": lex12,
-    "lex13_context_suggestion": lex13, "lex18_structural_guards": lex18, "ai2_copula_avoidance": ai2, "ai7_bare_attribution": ai7, "ai28_line_metaphor": ai28, "ai34_psych_verdict": per_paragraph("他很(好|忙|累)", 2),
+    "lex13_context_suggestion": lex13, "lex18_structural_guards": lex18, "ai7_bare_attribution": ai7, "ai28_line_metaphor": ai28, "ai34_psych_verdict": per_paragraph("他很(好|忙|累)", 2),
     "ai38_fake_depth": per_paragraph("(說實話|由此可見|意味著)", 2), "ai39_mentions": ai39, "tr17_long_modifier": tr17,
     "sc2_phrase_signal": sc2, "sc18_resolution_tier": sc18, "da4_profile_prior": da4, "da6_promoted_suggestion": da6,
     "da11_context_key": da11, "fx6_carried_state": fx6, "pol8_suppressed_terms": pol8, "pol16_report_digest": pol16, "st2_suppression_set": st2, "st3_memory_record": st3, "st5_judgment_eviction": st5, "st9_supplied_masks": st9,

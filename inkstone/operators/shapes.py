@@ -232,4 +232,28 @@ def tr18(d: Spark, t: Names) -> str:
     return f"SELECT a.doc_id, a.start, a.found, a.family FROM ({united(1)}) a {anti} ({united(2)}) b ON a.doc_id = b.doc_id AND a.family = b.family AND a.start < b.start + length(b.found) AND b.start < a.start + length(a.found)"
 
 
-OPS: dict[str, Callable[[Spark, Names], str]] = {name: shape_op(s) for name, s in SHAPES.items()} | {"pol19_symbol_runs": pol19, "tr18_phase_dedup": tr18}
+# Verbs that stand for 是 and 有, words around them that make others of them, and terms that make a text technical.
+COPULAS = "作為 標誌著 充當 擁有 設有"
+COPULA_COMPOUNDS = "所作為|大作為|擁有[權者感量]"
+TECHNICAL = "系統 程式 函式 API 介面 模組 元件 架構 伺服器 資料庫"
+#: Ideographs in 80 bytes.
+NEAR = 26
+
+
+def copulas(d: Spark, source: str) -> str:
+    """Verbs in place of 是 and 有 with a technical term at most ``NEAR`` characters before or after; no suggestion."""
+    is_term = "item IN (" + ", ".join(f"'{w}'" for w in TECHNICAL.split()) + ")"
+    seen = d.hits(source, "zh", f"{MASK}|{COPULA_COMPOUNDS}|{words(COPULAS)}|{words(TECHNICAL)}")
+    over = "OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN"
+    placed = f"""(SELECT doc_id, start, item, max(CASE WHEN {is_term} THEN start END) {over} UNBOUNDED PRECEDING AND CURRENT ROW) AS last_term,
+      min(CASE WHEN {is_term} THEN start + length(item) END) {over} CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_end FROM {seen})"""
+    near = f"(coalesce(last_term >= start - {NEAR}, false) OR coalesce(next_end <= start + length(item) + {NEAR}, false))"
+    return f"SELECT doc_id, start, item AS found, CAST(NULL AS string) AS suggestion, 'ai_style' AS kind, 1 AS severity FROM {placed} WHERE item IN ({', '.join(chr(39) + w + chr(39) for w in COPULAS.split())}) AND {near}"
+
+
+def ai2(d: Spark, t: Names) -> str:
+    """Copula avoidance in technical surroundings."""
+    return copulas(d, t.zh)
+
+
+OPS: dict[str, Callable[[Spark, Names], str]] = {name: shape_op(s) for name, s in SHAPES.items()} | {"ai2_copula_avoidance": ai2, "pol19_symbol_runs": pol19, "tr18_phase_dedup": tr18}

@@ -43,7 +43,7 @@ SLOTS = (
     ("le", "的人的書的頁的字，"),
     ("et", "的減少導致了問題。政策的實施效果的提升，推動的落實的發展，"),
     ("les", "是一個好的地方。"),
-    ("des", "默認...鼠標"),
+    ("des", "默認...鼠標，系統擁有擁有權，"),
     ("en", "如果可以，"),
     ("un", "打印。。。屏幕"),
     ("une", "Github和JAVASCRIPT很好"),

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from inkstone.dialect import DUCK, SPARK
-from inkstone.operators.shapes import SHAPES, SYMBOL_RUNS, findings
+from inkstone.operators.shapes import SHAPES, SYMBOL_RUNS, copulas, findings
 from inkstone.plans.registered import _doubles, _long_sums
 
 #: (text, (start, found, suggestion) of each finding)
@@ -91,3 +91,15 @@ def test_symbol_runs(spark):
     spark.createDataFrame(list(texts.items()), "doc_id long, zh string").createOrReplaceTempView("symbol_docs")
     rows = spark.sql(findings(SYMBOL_RUNS, SPARK, "symbol_docs")).collect()
     assert sorted((r.doc_id, r.start, r.found) for r in rows) == [(1, 3, "!!!"), (3, 2, "---"), (4, 7, "***"), (5, 1, "'''")]
+
+
+def test_copulas_near_technical_terms(spark):
+    far = "這" * 27
+    texts = {1: "系統擁有功能", 2: "他擁有功能", 3: "系統的擁有權", 4: f"系統{far}擁有", 5: f"作為{far[:24]}系統", 6: f"作為{far[:25]}系統", 7: "看https://a.b/擁有系統", 8: "他有所作為的系統", 9: None, 10: "擁有作為，API"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, zh string").createOrReplaceTempView("copula_docs")
+    expected = [(1, 2, "擁有"), (5, 0, "作為"), (10, 0, "擁有"), (10, 2, "作為")]
+    assert sorted((r.doc_id, r.start, r.found) for r in spark.sql(copulas(SPARK, "copula_docs")).collect()) == expected
+    con = duckdb.connect()
+    con.execute("CREATE TABLE copula_docs (doc_id BIGINT, zh VARCHAR)")
+    con.executemany("INSERT INTO copula_docs VALUES (?, ?)", [list(x) for x in texts.items()])
+    assert sorted(r[:3] for r in con.execute(_long_sums(copulas(DUCK, "copula_docs"))).fetchall()) == expected
