@@ -99,7 +99,7 @@ def ai16(d: Spark, t: Names) -> str:
 
 def sc4(d: Spark, t: Names) -> str:
     """Part of punctuation in the machine score: how far the gaps' variation, weighted by counts, falls below 0.5, up to 0.1."""
-    return f"SELECT doc_id, round(greatest(0, 0.5 - sum(cv * n) / sum(n)) / 0.5 * 0.1, 5) AS part FROM ({sc3(d, t)}) GROUP BY doc_id"
+    return f"SELECT doc_id, round(greatest(0, 0.5 - avg(cv * n) / avg(n)) / 0.5 * 0.1, 5) AS part FROM ({sc3(d, t)}) GROUP BY doc_id"
 
 
 def da7(d: Spark, t: Names) -> str:
