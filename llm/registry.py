@@ -8,9 +8,12 @@ from .decontaminate import op5_decontaminate
 from .ftrl_toxicity import op4_toxicity
 from .jaccard_join import op1_jaccard_join
 from .quality_rules import op7_quality_rules
+from .run_index import op11_run_index
 from .secrets_forest import op9_secret_scan
 from .sharding import OP2_SQL, op2_sharding
+from .spelling_variants import OP12_SQL, op12_spelling_variants
 from .token_codes import op3_token_codes
+from .whitening import op13_whitening
 from .zstd_quality import op10_zstd_quality
 
 QUERIES = {
@@ -24,9 +27,13 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
     "op10_zstd_quality": op10_zstd_quality,
+    "op11_run_index": op11_run_index,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op8_chat_format": OP8_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
