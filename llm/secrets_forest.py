@@ -47,7 +47,8 @@ _BLANK = re.compile(r"(?i)your|example|change|placeholder|xxx|\*\*\*|redacted|du
 BLANKS = frozenset("string integer number boolean object undefined required optional expired invalid missing unknown default hidden disabled enabled password passwd secret username correct incorrect".split())
 _LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,30}://[^\s:/@\"'<>]{0,64}:([^\s/@\"'<>]{3,128})@(?=[A-Za-z0-9\[])")
 _BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----((?:(?!-----)[^\0]){16,}?)-----END ")
-_SIGNED = re.compile(r"eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){1,2}")
+_POINTED = re.compile(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+")
+_INNER = re.compile(rf"{_KEY}{_SETS}[\"'`]?")
 _RUN = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _WORD = re.compile(r"[a-z]{2,}")
@@ -116,25 +117,53 @@ def features(text: str, start: int, end: int) -> list[float]:
     ]
 
 
+def _signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of two or three parts between points, the first from its ``eyJ`` on; each part is looked at once."""
+    for m in _POINTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        starts = [at := at + len(p) + 1 for p in ["", *parts[:-1]]]
+        starts = [x - 1 for x in starts]
+        end = -1
+        for i, (p, start) in enumerate(zip(parts[:-1], starts)):
+            head = p.find("eyJ")
+            if start < end or head < 0 or len(p) - head < 11 or len(parts[i + 1]) < 8:
+                continue
+            last = i + 2 if i + 2 < len(parts) and len(parts[i + 2]) >= 8 else i + 1
+            end = starts[last] + len(parts[last])
+            yield start + head, end
+
+
+def _unspaced(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """An unspaced value without what closes its surroundings; None if little is left."""
+    opened = {close for open_, close in ("()", "[]", "{}", "<>") if open_ in text[start:end]}
+    while end > start and (text[end - 1] in ",;." or (text[end - 1] in ")]}>" and text[end - 1] not in opened)):
+        end -= 1
+    return (start, end) if end - start >= KEYED_LEAST else None
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Spans to be judged; every character lies in a bounded number of them, so time is linear in the text."""
     for m in _CANDIDATE.finditer(text):
         s = m[0]
         # A run of words, dashes or lines alone is no candidate.
         if any(c.isdigit() for c in s) or re.search(r"[a-z][A-Z]|[A-Z][a-z][A-Z]", s):
             yield m.span()
-    for p in (_LOGIN, _BLOCK, _SIGNED):
+    for p in (_LOGIN, _BLOCK):
         yield from (m.span(p.groups) for m in p.finditer(text))
-    at = 0
-    while m := _ASSIGNED.search(text, at):
+    yield from _signed_tokens(text)
+    for m in _ASSIGNED.finditer(text):
         start, end = m.span(2 if m[2] is not None else 3)
         if m[2] is None:
-            # What closes the surroundings isn't part of an unspaced value.
-            while end > start and (text[end - 1] in ",;." or (text[end - 1] in ")]}>" and "([{<"[")]}>".index(text[end - 1])] not in text[start:end])):
-                end -= 1
-        if end - start >= KEYED_LEAST:
+            if found := _unspaced(text, start, end):
+                yield found
+        elif end - start >= KEYED_LEAST:
             yield start, end
-        # A value may hold a key of its own.
-        at = max(start, m.start() + 1)
+        # A value may hold keys of its own; each one's value ends before the next key.
+        keys = list(_INNER.finditer(text, start, end))
+        for key, after in zip(keys, [*(k.start() for k in keys[1:]), end]):
+            stop = min((i for c in "&;,\"'`" if (i := text.find(c, key.end(), after)) >= 0), default=after)
+            if found := _unspaced(text, key.end(), stop):
+                yield found
 
 
 def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
@@ -150,7 +179,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     for i in range(count):
         true = i % 2 == 0
         if true:
-            kind = int(r.integers(13))
+            kind = int(r.integers(14))
             s = [
                 lambda: chars(hexes, pick([32, 40, 40, 64])),
                 lambda: chars(hexes, pick([32, 40])).upper(),
@@ -165,6 +194,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
                 lambda: chars(b62 + "!%^&*.-", int(r.integers(5, 24))),
                 lambda: "\n" + "\n".join(chars(b62 + "+/", 64) for _ in range(int(r.integers(1, 20)))) + "\n",
                 lambda: ".".join(["eyJ" + chars(b62, int(r.integers(12, 60))), *(chars(b62 + "_-", int(r.integers(12, 80))) for _ in range(int(r.integers(1, 3))))]),
+                lambda: "".join(pick([pick(words), chars("etaoinshrdlu", int(r.integers(4, 8)))]) for _ in range(2)),
             ][kind]()
             key = pick(good) if kind != 4 or r.random() < 0.5 else fill().split()[0]
             if r.random() < 0.4:
@@ -176,6 +206,8 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
                 key = pick(["", "", "db_", "user ", "DB_"]) + pick("password passwd pwd secret token api_key auth_token Password PASSWORD SECRET".split())
                 text = f"{fill()} {key}" + pick([' = "', "=", ": ", ' := "', '": "', " = '", "='", ": ", " = "] + [" is "] * (kind != 6))
             tail = (text[-1] if text[-1] in "\"'" else "") + pick(["", " ", "!! ", "### ", ";", ","] if kind < 6 else ["", " ", "; ", ", "]) + fill()
+            if kind == 13:
+                text = f"{fill()} {pick(['', 'db_', 'DB_', 'user_', 'export '])}{pick('password passwd pwd secret token PASSWORD TOKEN SECRET'.split())}{pick(['=', '=' + chr(34), '=' + chr(39)])}"
             if kind > 5 and text[-1] not in "\"'":
                 tail = pick(["", " ", ", "]) and pick([" ", ", ", "; "]) + fill()
             if kind == 10:
@@ -212,7 +244,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
                 text = f"{fill()} " + pick(["", f"{pick(words)} = ", f"{pick(bad)} ", "(", "no ", f"{pick(words)}: "])
             if kind > 8:
                 key = pick(["", "", "db_", "user ", "the "]) + pick("password passwd pwd secret token api_key auth_token Password key login".split())
-                text = f"{fill()} {key}" + pick([": ", " = ", "=", " is "] + [' = "', ': "'] * (kind in (9, 11)))
+                text = f"{fill()} {key}" + pick([": ", " is ", " = "] if kind == 12 else [": ", " = ", "=", " is "] + [' = "', ': "'] * (kind in (9, 11)))
             if kind == 13:
                 text = f"{fill()} {pick(SCHEMES)}://{pick(['user', 'username', '${USER}', chars('etaoinshrdlu', 4)])}:"
             tail = f"@{pick(['host', 'localhost', chars('etaoinshrdlu', 6)])}/{fill()}" if kind == 13 else ('"' if text.endswith('"') else "") + (pick(["", " ", ".py", "(", "!! ", ","]) if kind < 9 else pick([" ", ", ", "; "])) + fill()
