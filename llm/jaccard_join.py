@@ -33,9 +33,9 @@ stream by, and beyond LEAF rows pass on to the pivot without being held.
 
 Edge cases: a null or wordless text has an empty set and links with nothing; a
 text of fewer than n words is one shingle; repeated rows are members of one
-class; rows that share a doc_id are one document with the smallest of their
-texts; a document without doc_id links with nothing and has no component; other
-columns are ignored.
+class; rows that share a doc_id are documents of their own, and so are rows
+without one, whose class or component has a null id if all its members have;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -532,19 +532,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per doc_id of ``docs`` (doc_id, text, ...): doc_id, n_shingles, class_id, n_links, component_id.
+    """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, class_id, n_links, component_id.
 
     class_id is the smallest doc_id with the same shingle set; n_links counts all links of the class with other classes.
     """
-    docs, t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Threshold(percent)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return _joined(docs, n, percent)
+    # Rows get keys in the order of doc_id, so a component's smallest key is of its smallest doc_id.
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    keyed = saved(docs.repartitionByRange(*order[:2]).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    found = _joined(keyed.select(F.col("row").alias("doc_id"), "text"), n, percent)
+    for c in ("class_id", "component_id", "doc_id"):
+        found = found.withColumnRenamed(c, "row").join(keyed.select("row", F.col("doc_id").alias(c)), "row").drop("row")
+    return found.select("doc_id", "n_shingles", "class_id", "n_links", "component_id")
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The join of documents with one doc_id each."""
+    t = Threshold(percent)
     counts = docs.select("text").mapInArrow(_repeated_rows(n), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
     top = counts.where(F.col("c") >= ORDER_COUNT).orderBy(F.desc("c"), "s").limit(ORDER_MOST).select("s").toArrow()
     frequent = np.sort(top.column("s").to_numpy())
     rows = saved(docs.mapInArrow(_set_rows(n, t, frequent), "doc_id long, n long, key binary, prefix array<long>"), "rows")
     classes = saved(
-        rows.where("key is not null and doc_id is not null")
+        rows.where("key is not null")
         .groupBy("key")
         .agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"))
         .select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.prefix"),
@@ -603,16 +615,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     degree = degree.groupBy("node").agg(F.sum("c").alias("n_links"))
     named = names.join(joined.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left")
     named = named.select("key", "rep", "n_links", F.coalesce("component", "rep").alias("component"))
-    known = F.col("doc_id").isNotNull()
     # Documents without a set meet no key.
     bare = ids.where("key IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
     keyed = ids.where("key IS NOT NULL").join(named, "key", "left").select("doc_id", "n", "rep", "n_links", "component")
     return keyed.union(bare).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(known, F.coalesce("rep", "doc_id")).alias("class_id"),
-        F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"),
-        F.when(known, F.coalesce("component", "doc_id")).alias("component_id"),
+        F.coalesce("rep", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("component", "doc_id").alias("component_id"),
     )
 
 
