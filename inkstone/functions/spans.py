@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 
+from .chars import URL
+
 Span = tuple[int, int]
 
-_URL = re.compile(r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+")
+_URL = re.compile(URL)
 _PATH = re.compile(r"(?:\.\.?/|(?<![\w/])/)[^\s，。！？；「」]+")
 _MENTION = re.compile(r"@[a-zA-Z0-9_]+")
 _TERM = re.compile(r"[「『]([^「」『』]{1,12})[」』](?=一詞|這個詞|是(?:\w{0,2})的?(?:說法|用語))")
@@ -19,8 +21,8 @@ _YAML_KEY = re.compile(r"(?m)^[ \t]*(?:- )?[\w][\w.\-]*[ \t]*:")
 _PLACEHOLDER = re.compile(r"\\u[0-9a-fA-F]{4}|\\.|\$?\{\{?[^{}\n]{1,64}\}?\}|\$t\([^()\n]{1,64}\)|%[\d$.\-+ ]*[sdifxg]")
 #: Fixed value: the prefix of suppression comments.
 _SUPPRESS = re.compile(r"(?:<!--|//|#)[ \t]*zhtw:[ \t]*(disable-line|disable-next-line|disable|enable)\b")
-#: Primary language subtags that count as Chinese, and elements by the rules of HTML.
-CHINESE = frozenset("zh cmn yue wuu nan hak gan lzh cdo cjy cpx czh czo hsn mnp csp cnp".split())
+#: Primary language subtags of ISO 639 that count as Chinese, and elements by the rules of HTML.
+CHINESE = frozenset("cdo cjy cmn cnp cpx csp czh czo gan hak hsn lzh mnp nan wuu yue zh".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title"))
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}

@@ -84,9 +84,13 @@ def ort4(d: Spark, t: Names) -> str:
 
 def ort7(d: Spark, t: Names) -> str:
     """Quotes by depth within their paragraph: an opening one counts up, a closing one down; even depths take 「」, odd ones 『』."""
-    marks = d.hits(f"(SELECT doc_id, ord AS para, item AS body FROM {paragraphs(d, t.zh)})", "body", "[“”‘’「」『』]", "doc_id, para")
+    marks = d.hits(f"(SELECT doc_id, ord AS para, item AS body FROM {paragraphs(d, t.zh)})", "body", "[A-Za-z0-9]’[A-Za-z]|[“”‘’「」『』]", "doc_id, para")
+    # An apostrophe is no mark, and a closing one without an opening one leaves the depth at 0.
+    marks = f"(SELECT * FROM {marks} WHERE length(item) = 1)"
     step = "CASE WHEN item IN ('“', '‘', '「', '『') THEN 1 ELSE -1 END"
-    opened = f"SELECT doc_id, para, start, item, sum({step}) OVER (PARTITION BY doc_id, para ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN item IN ('“', '‘', '「', '『') THEN 1 ELSE 0 END AS depth FROM {marks}"
+    over = "OVER (PARTITION BY hit_row ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    summed = f"SELECT *, sum({step}) {over} AS total FROM {marks}"
+    opened = f"SELECT doc_id, para, start, item, total - least(0, min(total) {over}) - CASE WHEN item IN ('“', '‘', '「', '『') THEN 1 ELSE 0 END AS depth FROM ({summed})"
     to = "CASE WHEN item IN ('“', '‘', '「', '『') THEN CASE WHEN depth % 2 = 0 THEN '「' ELSE '『' END ELSE CASE WHEN depth % 2 = 0 THEN '」' ELSE '』' END END"
     return f"SELECT doc_id, para, start, item, CAST(depth AS BIGINT) AS depth, {to} AS suggestion FROM ({opened}) WHERE depth >= 0"
 

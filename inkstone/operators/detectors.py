@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..dialect import Spark
-from ..functions.chars import HAN
+from ..functions.chars import HAN, URL
 from ..plans.registered import Names
 from .segments import paragraphs, runs, sentences
 
@@ -18,7 +18,7 @@ H = f"[{HAN}]"
 
 TEXT: dict[str, str] = {
     # exclusion spans
-    "exc1_url_spans": r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+",
+    "exc1_url_spans": URL,
     "exc1_mention_spans": r"@[a-zA-Z0-9_]+",
     "exc1_term_mention": "「[^「」]{1,12}」(一詞|這個詞|是的?(說法|用語))",
     "exc8_headings": r"(?m)^ {0,3}#{1,6}[ \t][^\n]*",
@@ -53,13 +53,27 @@ def paragraph_op(conditions: Callable[[Spark], str], value: Callable[[Spark], st
 
 RUNS = {
     "tr4_pronoun_run": (r"^(他|她|它|他們|她們)", 3),
-    "rh2_ending_monotony": r"(的|了|呢)[。！？]$",
     "rh3_staccato": f"^{H}{{2,6}}[。！？]$",
 }
 
 OPS: dict[str, Callable[[Spark, Names], str]] = {k: text_op(p) for k, p in TEXT.items()}
 OPS |= {k: run_op(*(v if isinstance(v, tuple) else (v, 3))) for k, v in RUNS.items()}
 
+# Particles that end a sentence, and what may stand behind them.
+ENDINGS = "的了呢"
+CLOSERS = r"[\s。！？；，、….!?;,」』）)】〕》〉\x{22}\x{201D}\x{2019}]*"
+
+
+def rh2(d: Spark, t: Names) -> str:
+    """Three neighbouring sentences of one paragraph or more that end in the same particle; a run goes on as far as it can."""
+    s = sentences(d, f"(SELECT doc_id, ord AS para, item FROM {paragraphs(d, t.zh)})", "item", "doc_id, para")
+    ended = f"(SELECT doc_id, para, ord, {d.first('item', f'([{ENDINGS}]){CLOSERS}$', 1)} AS particle FROM {s})"
+    island = f"SELECT *, ord - row_number() OVER (PARTITION BY doc_id, para, particle ORDER BY ord) AS island FROM {ended} WHERE particle <> ''"
+    return f"SELECT doc_id, para, particle, min(ord) AS first_ord, count(*) AS n FROM ({island}) GROUP BY doc_id, para, particle, island HAVING count(*) >= 3"
+
+
+OPS["rh2_ending_monotony"] = rh2
+
 _prose = lambda d: f"length({d.sub('item', chr(92) + 's', '')})"
 OPS |= {
     # A paragraph of 20 characters or more with more passive marks than max(2, 2 per 100 characters).

@@ -195,10 +195,16 @@ def ort8(d: Spark, t: Names) -> str:
 
 
 def ort13(d: Spark, t: Names) -> str:
-    """Latin words of three letters or more twice in a row, on the raw documents: by a window over the words of each line."""
-    words = f"(SELECT doc_id, {d.all('text', '[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\n]+', 0)} AS ws FROM {t.documents})"
-    return f"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, lower(item) AS w, lower(lag(item) OVER (PARTITION BY doc_id ORDER BY ord)) AS before FROM {d.explode(words, 'ws')})
-      WHERE w = before AND {d.has('w', '^[a-z0-9]{3,}$')} GROUP BY doc_id"""
+    """Latin words of three letters or more twice in a row on the raw documents, with blanks or one line break between; each word is in one pair."""
+    words = f"(SELECT doc_id, {d.all('text', r'[A-Za-z0-9]+[\p{L}\p{N}]*|\r\n|\r|\n|[^A-Za-z0-9 \t\r\n]+', 0)} AS ws FROM {t.documents})"
+    over = "OVER (PARTITION BY doc_id ORDER BY ord)"
+    near = f"SELECT doc_id, ord, lower(item) AS w, lower(lag(item) {over}) AS one, lower(lag(item, 2) {over}) AS two FROM {d.explode(words, 'ws')}"
+    line_break = "one IN (chr(10), chr(13), concat(chr(13), chr(10)))"
+    equal = f"SELECT doc_id, ord, w, coalesce(w = one OR ({line_break} AND w = two), false) AS again FROM ({near}) WHERE {d.has('w', '^[a-z0-9]{3,}$')}"
+    runs = f"SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM ({equal})"
+    # A word that closed one pair opens none.
+    places = f"SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY ord) AS place FROM ({runs})"
+    return f"SELECT doc_id, count(*) AS n FROM ({places}) WHERE place % 2 = 0 GROUP BY doc_id"
 
 
 def ort12(d: Spark, t: Names) -> str:

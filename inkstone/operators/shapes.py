@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from ..dialect import Spark
+from ..dialect import HELD, Spark
 from ..functions.chars import CONTEXT, HAN
 from ..functions import lexicon as lx
 from ..plans.registered import Names
@@ -165,7 +165,7 @@ SHAPES: dict[str, Shape | tuple[Shape, ...]] = {
     "tr3_conditional_sentence": translated(1, words("如果 假如 若"), scan=SENTENCE, before=f"{ANY}*", after=f"{ANY}*", where="length(item) >= 6 AND place >= floor(length(item) / 2)"),
     "tr5_copula_classifier": translated(1, "是一(?:個|名|位)", scan=SENTENCE, before=f"{ANY}*?", after=f"{ANY}*的{ANY}*"),
     "tr6_de_mixup": translated(2, words(MIXED_UP), "地", part="的"),
-    "tr7_de_chain": translated(2, "[^的]*(?:的[^的]*){4,}", scan=CLAUSE),
+    "tr7_de_chain": translated(2, CLAUSE, scan=CLAUSE, where="length(found) - length(translate(found, '的', '')) >= 4"),
     "tr8_redundant_di": translated(1, f"({words(ADVERBS)})地", r"\1"),
     "tr9_tense_markers": translated(1, f"{S}*[0-9][年月日]{S}*[。！？!?]?", scan=SENTENCE, where="length(item) - length(translate(item, '曾已過了', '')) >= 3"),
     "tr10_superlative_one_of": translated(1, r"(?:最|極為)[^之。！？!?\n]{1,18}之一", unless=f"{words(PERSONS)}之一"),
@@ -176,7 +176,7 @@ SHAPES: dict[str, Shape | tuple[Shape, ...]] = {
         translated(1, _TERM, scan=CLAUSE, before=f"{ANY}*{_TERM}{ANY}*?", after=f"{ANY}*"),
         translated(1, _TERM, after=r"[ ]*[(（][A-Za-z][A-Za-z ]*[)）]"),
     ),
-    "tr16_head_chain": translated(1, f"{words(ABSTRACT)}(?:的{words(ABSTRACT)}){{2,}}"),
+    "tr16_head_chain": translated(1, f"{words(ABSTRACT)}(?:的{words(ABSTRACT)}){{2,}}{HELD}"),
     "rh1_long_sentence": translated(
         1, f"{ANY}{{8}}", scan=SENTENCE, before=r"\s*", after=f"{ANY}*", where=lambda d: f"{d.count('item', f'[{HAN}]')} > 30 AND {d.has('item', f'(?:[{HAN}][^{PAUSES}{HAN}]*){{15}}')}"
     ),
@@ -244,7 +244,7 @@ def copulas(d: Spark, source: str) -> str:
     """Verbs in place of 是 and 有 with a technical term at most ``NEAR`` characters before or after; no suggestion."""
     is_term = "item IN (" + ", ".join(f"'{w}'" for w in TECHNICAL.split()) + ")"
     seen = d.hits(source, "zh", f"{MASK}|{COPULA_COMPOUNDS}|{words(COPULAS)}|{words(TECHNICAL)}")
-    over = "OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN"
+    over = "OVER (PARTITION BY hit_row ORDER BY start ROWS BETWEEN"
     placed = f"""(SELECT doc_id, start, item, max(CASE WHEN {is_term} THEN start END) {over} UNBOUNDED PRECEDING AND CURRENT ROW) AS last_term,
       min(CASE WHEN {is_term} THEN start + length(item) END) {over} CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_end FROM {seen})"""
     near = f"(coalesce(last_term >= start - {NEAR}, false) OR coalesce(next_end <= start + length(item) + {NEAR}, false))"

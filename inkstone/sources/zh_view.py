@@ -91,8 +91,10 @@ ZH_SQL = f"(SELECT doc_id, {zh_expr()} AS zh FROM documents)"
 def zh_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, zh) of the documents of ``sf_dir``, written once and dealt over as many parts as the session shuffles into."""
 
+    source = f"{sf_dir}/documents.parquet"
+
     def make() -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        docs = spark.read.parquet(source).select("doc_id", "text")
         return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").selectExpr("doc_id", f"{zh_expr()} AS zh")
 
-    return once(spark, "zh-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12], make)
+    return once(spark, "zh-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12], source, make)
