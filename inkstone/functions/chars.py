@@ -8,3 +8,5 @@ CONTEXT = HAN + r"\x{3001}-\x{303F}\x{FF01}-\x{FF60}"
 URL = r"[a-zA-Z0-9+.\-]{0,32}://[^\s「」『』《》]+"
 #: Ends of sentences.
 ENDS = "。！？；"
+#: Stands for each character that a mask covers: of private use, and in no class that a detector looks for.
+MASKED = "\ue000"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 
-from .chars import URL
+from . import blocks
+from .chars import MASKED, URL
 
 Span = tuple[int, int]
 
@@ -13,12 +14,15 @@ _URL = re.compile(URL)
 _PATH = re.compile(r"(?:\.\.?/|(?<![\w/])/)[^\s，。！？；「」]+")
 _MENTION = re.compile(r"@[a-zA-Z0-9_]+")
 _TERM = re.compile(r"[「『]([^「」『』]{1,12})[」』](?=一詞|這個詞|是(?:\w{0,2})的?(?:說法|用語))")
-_FENCE = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,}|:{3,})[^\n]*\n.*?(?:^ {0,3}\1[ \t]*$|\Z)")
-_CODE = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,2000}>", re.S)
-_FRONT = re.compile(r"\A---[ \t]*\n.*?^---[ \t]*$", re.S | re.M)
-_YAML_KEY = re.compile(r"(?m)^[ \t]*(?:- )?[\w][\w.\-]*[ \t]*:")
-_PLACEHOLDER = re.compile(r"\\u[0-9a-fA-F]{4}|\\.|\$?\{\{?[^{}\n]{1,64}\}?\}|\$t\([^()\n]{1,64}\)|%[\d$.\-+ ]*[sdifxg]")
+#: Escapes and placeholders in a JSON string: brackets around up to 64 characters of ASCII, heads of plurals, formats.
+_PLACEHOLDER = re.compile(
+    r"\\u[0-9a-fA-F]{0,4}|\\[\s\S]|\{\{[\x00-\x7c\x7e\x7f]{0,62}\}\}|\$(?=\{)|\$t\([\x00-\x28\x2a-\x7f]{0,62}\)|\{(?:[\x00-\x7a\x7c\x7e\x7f]{0,63}[{}])?|\}"
+    r"|%%|%(?:\([\x00-\x28\x2a-\x7f]{0,62}\))?(?:\d+\$)?[-+0#]*[\d.]*[a-giopsuxA-GX@]"
+)
+_CONTAINER = re.compile(r"(?m)^[ \t]*:::[^\n]*")
+_YAML_KEY = re.compile(r"(?:[^:\"'\n]|\"[^\"\n]*\"|'[^'\n]*'|:(?![ \t\r\n]|$))*:(?=[ \t\r\n]|$)")
+_STRING = re.compile(r'"(?:[^"\\]|\\[\s\S])*"')
+_COLON = re.compile(r"[ \t\r\n]*:")
 #: Fixed value: the prefix of suppression comments.
 _SUPPRESS = re.compile(r"(?:<!--|//|#)[ \t]*zhtw:[ \t]*(disable-line|disable-next-line|disable|enable)\b")
 #: Primary language subtags of ISO 639 that count as Chinese, and elements by the rules of HTML.
@@ -81,39 +85,74 @@ def plain_mask(text: str) -> list[Span]:
     return merged(out + [m.span(1) for m in _TERM.finditer(text)])
 
 
-def markdown_mask(text: str) -> list[Span]:
-    """Code blocks and spans, HTML tags, and the structure of front matter."""
-    out = [m.span() for m in _FENCE.finditer(text)]
-    held = merged(out)
-    out += [m.span() for m in _CODE.finditer(text) if not overlaps(held, *m.span())]
-    out += [m.span() for m in _TAG.finditer(text)]
-    front = _FRONT.match(text)
-    if front:
-        out += [(0, 3), (front.end() - 3, front.end())]
-        out += [m.span() for m in _YAML_KEY.finditer(text, 0, front.end())]
-    return merged(out + html_lang_mask(text))
+def markdown_mask(text: str, code: bool = True, quotes: bool = False) -> list[Span]:
+    """Code, HTML, fence lines of containers, the structure of front matter, and what a foreign lang wraps.
+
+    ``code``: whole code blocks; else their prose is looked at.  ``quotes``: quoted blocks too.
+    """
+    out, tags, front = [], [], blocks.front_matter(text)
+    out += _yaml_structure(text, front)
+    out += [m.span() for m in _CONTAINER.finditer(text)]
+    for b in blocks.blocks(text):
+        if b.kind == "html" or b.kind in ("fence", "code") and code or b.kind == "quote" and quotes:
+            out.append((b.start, b.end))
+        inline = blocks.inline_spans(text, b)
+        out += inline
+        tags += [(x, y) for x, y in [*inline, *([(b.start, b.end)] if b.kind == "html" else [])] if text[x] == "<"]
+    if any(_LANG.search(text, x, y) for x, y in tags):
+        out += html_lang_mask(blanked(text, _between(sorted(tags), len(text))))
+    return merged(out)
+
+
+def _between(spans: list[Span], end: int) -> list[Span]:
+    """What merged spans leave of a text."""
+    held = merged(spans)
+    return [(a, b) for a, b in zip([0, *(b for _, b in held)], [*(a for a, _ in held), end]) if a < b]
+
+
+def _key_end(line: str) -> int:
+    """The place behind the colon of a YAML key: outside quotes, before white space or the line's end; 0 without one."""
+    m = _YAML_KEY.match(line)
+    return m.end() if m else 0
+
+
+def _yaml_structure(text: str, end: int) -> list[Span]:
+    """Dashes, keys and quote marks of front matter; values stay."""
+    out, at = [], 0
+    for line in text[:end].splitlines(keepends=True):
+        if line.rstrip("\r\n") == "---":
+            out.append((at, at + len(line)))
+        elif _key_end(line):
+            out.append((at, at + _key_end(line)))
+        out += [(at + i, at + i + 1) for i, c in enumerate(line) if c in "\"'"]
+        at += len(line)
+    return out
 
 
 def yaml_mask(text: str) -> list[Span]:
-    return merged([m.span() for m in _YAML_KEY.finditer(text)])
+    """Keys with their colons."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if end := _key_end(line):
+            out.append((at, at + end))
+        at += len(line) + 1
+    return merged(out)
 
 
 def json_mask(text: str) -> list[Span] | None:
     """All but string values, and placeholders in those; None if a string doesn't close."""
     strings, i = [], 0
     while (i := text.find('"', i)) >= 0:
-        j = i + 1
-        while j < len(text) and text[j] != '"':
-            j += 2 if text[j] == "\\" else 1
-        if j >= len(text):
+        m = _STRING.match(text, i)
+        if m is None:
             return None
-        strings.append((i + 1, j))
-        i = j + 1
-    values = [(a, b) for a, b in strings if not text[b + 1 :  b + 65].lstrip().startswith(":")]
+        strings.append((i + 1, m.end() - 1))
+        i = m.end()
     out, at = [], 0
-    for a, b in values:
-        out += [(at, a), *(m.span() for m in _PLACEHOLDER.finditer(text, a, b))]
-        at = b
+    for a, b in strings:
+        if not _COLON.match(text, b + 1):
+            out += [(at, a), *(m.span() for m in _PLACEHOLDER.finditer(text, a, b))]
+            at = b
     return merged([s for s in [*out, (at, len(text))] if s[0] < s[1]])
 
 
@@ -183,7 +222,26 @@ def suppressed(text: str) -> list[Span]:
     return merged(out)
 
 
+#: Content types, and what each leaves alone besides URLs, mentions and suppressed lines.
+MASKS = {
+    "plain": lambda text: [],
+    "markdown": markdown_mask,
+    "markdown_code": lambda text: markdown_mask(text, code=False),
+    "yaml": yaml_mask,
+    "json": json_mask,
+    "html": html_lang_mask,
+}
+
+
 def mask_of(text: str, content_type: str = "plain") -> list[Span]:
     """All spans that are left alone in a text of a type."""
-    own = {"markdown": markdown_mask, "yaml": yaml_mask, "json": json_mask}.get(content_type, lambda _: [])(text)
-    return merged(plain_mask(text) + (own or []) + suppressed(text))
+    return merged(plain_mask(text) + (MASKS[content_type](text) or []) + suppressed(text))
+
+
+def visible(text: str, content_type: str = "plain") -> str:
+    """The text with MASKED for each character that is left alone but line breaks; places stay."""
+    out, at = [], 0
+    for a, b in mask_of(text, content_type):
+        out += [text[at:a], "\n".join(MASKED * len(x) for x in text[a:b].split("\n"))]
+        at = b
+    return "".join([*out, text[at:]])

@@ -17,14 +17,16 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from ..dialect import HELD, Spark
-from ..functions.chars import CONTEXT, HAN
+from ..functions.chars import CONTEXT, HAN, MASKED
 from ..functions import lexicon as lx
 from ..plans.registered import Names
 from .lexical import MASK
 
+#: What ends a sentence.
+ENDED = r"。！？!?\n"
 #: A character inside a sentence, and inside a clause.
-S = r"[^。！？!?\n]"
-C = r"[^。！？!?\n，,；;：:]"
+S = f"[^{ENDED}]"
+C = f"[^{ENDED}，,；;：:]"
 ANY = r"[\s\S]"
 SENTENCE = S + "+[。！？!?]?"
 CLAUSE = r"[^。！？!?\n，,]+"
@@ -190,12 +192,18 @@ def formal(d: Spark) -> str:
     return f"({d.has('zh', anchor)} OR {d.has('substring(zh, 1, 100)', '本合約|本契約')})"
 
 
-def findings(s: Shape | tuple[Shape, ...], d: Spark, source: str) -> str:
-    """(doc_id, start, found, suggestion, kind, severity) of a detector over a relation (doc_id, zh)."""
-    return " UNION ".join(one(x, d, source) for x in s) if isinstance(s[0], tuple) else one(s, d, source)
+def findings(s: Shape | tuple[Shape, ...], d: Spark, source: str, masked: bool = False) -> str:
+    """(doc_id, start, found, suggestion, kind, severity) of a detector over a relation (doc_id, zh).
 
+    ``masked``: zh has MASKED for what its content type leaves alone, and a finding over that is none.
+    """
+    return " UNION ".join(one(x, d, source, masked) for x in s) if isinstance(s[0], tuple) else one(s, d, source, masked)
 
-def one(s: Shape, d: Spark, source: str) -> str:
+
+def one(s: Shape, d: Spark, source: str, masked: bool = False) -> str:
+    if masked:
+        # Sentences and clauses end at a mask.
+        s = s._replace(**{k: getattr(s, k).replace(ENDED, ENDED + MASKED) for k in ("core", "before", "after", "scan", "unless")})
     said = lambda x: x(d) if callable(x) else x
     keep = "doc_id, formal" if s.formal else "doc_id"
     register = f", {formal(d)} AS formal" if s.formal else ""
@@ -206,6 +214,7 @@ def one(s: Shape, d: Spark, source: str) -> str:
     conditions = [d.has("item", full), f"NOT {d.has('item', MASK)}"] + ([f"NOT {d.has('item', s.unless)}"] if s.unless else [])
     conditions += [f"NOT (formal AND {d.has('item', s.formal)})"] if s.formal else []
     parts = f"(SELECT doc_id, start, item, CAST(length({d.first('item', full, 1)}) AS BIGINT) AS place, {d.first('item', full, 2)} AS found FROM {d.hits(body, 'body', read, keep)} WHERE {' AND '.join(conditions)})"
+    parts = f"(SELECT * FROM {parts} WHERE instr(found, '{MASKED}') = 0)" if masked else parts
     rewritten = said(s.rewrite) or ("CAST(NULL AS string)" if s.to is None else d.sub("found", s.part or rf"^(?:{s.core})\z", s.to))
     where = f" WHERE {said(s.where)}" if s.where else ""
     return f"SELECT doc_id, start + place - 1 AS start, found, {rewritten} AS suggestion, '{s.kind}' AS kind, {s.severity} AS severity FROM {parts}{where}"

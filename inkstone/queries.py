@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import contexts, detectors, documents, engine, lexical, policies, reports, shapes, translation
+from .operators import contexts, detectors, documents, engine, lexical, policies, reports, shapes, structure, translation
 from .plans.registered import duck_sql, spark_query
 
 OPS = contexts.OPS | detectors.OPS | lexical.OPS | documents.OPS | policies.OPS | reports.OPS | shapes.OPS | translation.OPS
-QUERIES = {name: spark_query(sql) for name, sql in OPS.items()} | engine.QUERIES
-ORACLE_SQL = {name: duck_sql(sql) for name, sql in OPS.items()} | engine.ORACLE_SQL
+QUERIES = {name: spark_query(sql) for name, sql in OPS.items()} | engine.QUERIES | structure.QUERIES
+ORACLE_SQL = {name: duck_sql(sql) for name, sql in OPS.items()} | engine.ORACLE_SQL | structure.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
