@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..dialect import SPARK
 from ..functions import blocks, spans
+from ..functions.quotes import quotes
 from ..plans.registered import _doubles
 from ..sources.zh_view import zh_docs
 from .shapes import SHAPES, findings
@@ -99,6 +100,16 @@ def detected(docs: DataFrame, content_type: str = "plain", names: Iterable[str]
     return docs.sparkSession.sql(_doubles(" UNION ALL ".join(each)))
 
 
+def quote_faults(docs: DataFrame, content_type: str = "plain") -> DataFrame:
+    """doc_id, start, found, suggestion, fault of quotation marks and brackets."""
+    return rows_of(docs, "start int, found string, suggestion string, fault string", lambda t: quotes(t, spans.mask_of(t, content_type)))
+
+
+def ort6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation marks that become brackets, by depth, and brackets that don't nest."""
+    return quote_faults(_zh(spark, sf_dir))
+
+
 def _zh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zh_docs(spark, sf_dir).withColumnRenamed("zh", "text")
 
@@ -151,6 +162,7 @@ def exc13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "exc6_markdown_blocks": exc6, "exc7_section_starts": exc7, "exc8_heading_places": exc8, "exc9_cell_places": exc9, "exc18_content_masks": exc18, "exc18_masked_findings": exc18_found, "exc13_json_values": exc13,
+    "ort6_quote_faults": ort6,
 }
 #: Properties hold one key and a number, so no character of a string value.
 ORACLE_SQL = {"exc13_json_values": "SELECT event_id, CAST(0 AS BIGINT) AS visible FROM events"}
