@@ -73,6 +73,13 @@ class Spark:
     def size(self, array: str) -> str:
         return f"size({array})"
 
+    def item(self, array: str, place: int) -> str:
+        """An item of an array, counted from 1; null beyond its end."""
+        return f"try_element_at({array}, {place})"
+
+    def join(self, array: str, mark: str) -> str:
+        return f"array_join({array}, '{mark}')"
+
     def bytes(self, text: str) -> str:
         return f"octet_length({text})"
 
@@ -136,6 +143,12 @@ class Duck(Spark):
     def size(self, array: str) -> str:
         return f"len({array})"
 
+    def item(self, array: str, place: int) -> str:
+        return f"({array})[{place}]"
+
+    def join(self, array: str, mark: str) -> str:
+        return f"array_to_string({array}, '{mark}')"
+
     def bytes(self, text: str) -> str:
         return f"strlen({text})"
 

@@ -126,13 +126,7 @@ def snk5(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, start, {row} AS result FROM {issues(d, t)}"
 
 
-def st7(d: Spark, t: Names) -> str:
-    """Packs of the rule table: their rules, which may be exported under a valid name."""
-    packs = f"(SELECT *, concat('pack-', cast(layer AS string)) AS pack FROM {RULES})"
-    return f"SELECT pack, count(*) AS rules, count(DISTINCT source) AS sources, {d.has('max(pack)', '^[a-z0-9-]{1,64}$')} AS valid_name FROM {packs} GROUP BY pack"
-
-
 OPS: dict[str, Callable[[Spark, Names], str]] = {
     "seg6_straddled_hits": seg6, "seg7_clue_tokens": seg7, "lex6_gates": lex6, "exc7_block_boundaries": exc7, "pre5_text_facts": pre5, "src6_page_text": src6, "ort4_latin_clause": ort4,
-    "ort7_quote_depth": ort7, "ai16_suspicious_characters": ai16, "sc4_punctuation_part": sc4, "da7_semantic_chunk": da7, "snk1_json_lines": snk1, "snk5_sarif_results": snk5, "st7_packs": st7,
+    "ort7_quote_depth": ort7, "ai16_suspicious_characters": ai16, "sc4_punctuation_part": sc4, "da7_semantic_chunk": da7, "snk1_json_lines": snk1, "snk5_sarif_results": snk5,
 }

@@ -57,11 +57,6 @@ def lex2(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, kind, count(*) AS n, max(severity) AS severity FROM {issues(d, t)} GROUP BY doc_id, kind"
 
 
-def lex4(d: Spark, t: Names) -> str:
-    """Prepared rules: merged by source, tags of a disabled family dropped."""
-    return f"SELECT rule_id, source, target, kind, layer FROM {merged()} WHERE tags <> 'optional'"
-
-
 def lex5(d: Spark, t: Names) -> str:
     """Absorbers: exception forms found in texts."""
     return f"SELECT doc_id, {d.count('zh', alternation(lx.EXCEPTIONS))} AS n FROM {t.zh}"
@@ -83,11 +78,6 @@ def lex9(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, source, count(*) AS clauses, sum(CASE WHEN {with_clue} THEN 1 ELSE 0 END) AS with_clue FROM {hit} GROUP BY doc_id, source"
 
 
-def lex14(d: Spark, t: Names) -> str:
-    """Effective suggestions: the targets, or the English gloss where there is none."""
-    return f"SELECT source, CASE WHEN target <> '' THEN target WHEN english <> '' THEN english ELSE '' END AS suggestion, {d.size(d.split('target', '/'))} AS arity FROM {merged()}"
-
-
 def lex16(d: Spark, t: Names) -> str:
     """Names in other than their written form: whole identifiers, dotted labels and file names are read as one."""
     inner = f"(SELECT doc_id, {d.all('zh', '[A-Za-z0-9_.' + chr(92) + '-]+')} AS found FROM {t.zh})"
@@ -162,7 +152,6 @@ def exc5(d: Spark, t: Names) -> str:
 
 
 OPS: dict[str, Callable[[Spark, Names], str]] = {
-    "lex1_matches": lex1, "lex2_spelling": lex2, "lex4_rule_preparation": lex4, "lex5_absorbers": lex5, "lex8_superstring_cover": lex8, "lex9_clue_gate": lex9,
-    "lex14_effective_suggestions": lex14, "lex16_casing": lex16, "lex17_rule_coverage": lex17, "pre4_script": pre4, "pre6_lines": pre6, "pre7_conversion": pre7, "pre10_register": pre10,
+    "lex1_matches": lex1, "lex2_spelling": lex2, "lex5_absorbers": lex5, "lex8_superstring_cover": lex8, "lex9_clue_gate": lex9, "lex16_casing": lex16, "lex17_rule_coverage": lex17, "pre4_script": pre4, "pre6_lines": pre6, "pre7_conversion": pre7, "pre10_register": pre10,
     "pre12_character_classes": pre12, "src7_content_type": src7, "exc5_blank_out": exc5, "exc10_yaml_keys": exc10, "exc13_json_keys": exc13, "exc16_language_tag": exc16,
 }

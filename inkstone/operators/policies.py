@@ -20,32 +20,11 @@ PROPER = lx.values(lx.PROPER, "found", "p")
 BANNED = lx.values(lx.BANNED, "term", "b")
 
 
-def pol1(d: Spark, t: Names) -> str:
-    """Spelling layers merged, with how many layers define each source."""
-    return f"SELECT source, max(layer) AS layer, count(*) AS layers, max(CASE WHEN k = 1 THEN target END) AS target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY layer DESC, rule_id DESC) AS k FROM {RULES}) GROUP BY source"
-
-
-def pol2(d: Spark, t: Names) -> str:
-    """Case layers merged on the lower-cased term."""
-    rows = tuple((i, c, 0) for i, c in enumerate(lx.CASES)) + ((90, "Github", 1), (91, "Mysql", 1))
-    return f"SELECT key, term FROM (SELECT lower(term) AS key, term, row_number() OVER (PARTITION BY lower(term) ORDER BY layer DESC, id DESC) AS k FROM {lx.values(rows, 'id, term, layer', 'c')}) WHERE k = 1"
-
-
 def pol3(d: Spark, t: Names) -> str:
     """Findings left when the tags of two families are off."""
     return f"SELECT tags, count(*) AS n FROM {issues(d, t)} WHERE tags NOT IN ('optional', 'filler') GROUP BY tags"
 
 
-def pol4(d: Spark, t: Names) -> str:
-    """Packs in conflict: one source, another target than the definer before."""
-    return f"SELECT source, target, layer, before FROM (SELECT source, target, layer, lag(target) OVER (PARTITION BY source ORDER BY layer, rule_id) AS before FROM {RULES}) WHERE before <> target"
-
-
-def pol5(d: Spark, t: Names) -> str:
-    """Rules that break the schema: empty source, target equal to source, no target and no English gloss."""
-    return f"SELECT rule_id, source = '' AS no_source, source = target AS same, target = '' AND english = '' AS nothing FROM {RULES} WHERE source = '' OR source = target OR (target = '' AND english = '')"
-
-
 def anti(d: Spark) -> str:
     return "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
 
@@ -105,27 +84,11 @@ def pol13(d: Spark, t: Names) -> str:
     return f"SELECT f.doc_id, f.line, f.cell, f.found, count(*) AS n FROM {forms} f JOIN {merged()} r ON f.found = r.source GROUP BY f.doc_id, f.line, f.cell, f.found"
 
 
-def pol14(d: Spark, t: Names) -> str:
-    """Explanation of a rule: domain, whether a fix is safe, whether a person must look."""
-    return f"SELECT source, CASE WHEN kind IN ('cross_strait', 'confusable') THEN 'regional' WHEN kind = 'ai_filler' THEN 'style' ELSE 'spelling' END AS domain, target <> '' AND instr(target, '/') = 0 AS auto_fix_safe, instr(target, '/') > 0 OR clues <> '' AS needs_review FROM {merged()}"
-
-
 def pol15(d: Spark, t: Names) -> str:
     """Scan cache: texts already seen under another id, by content hash; only the first is scanned."""
     return f"SELECT digest, min(doc_id) AS first_doc, count(*) AS copies FROM (SELECT doc_id, {d.sha('text')} AS digest FROM {t.documents}) GROUP BY digest HAVING count(*) > 1"
 
 
-def pol17(d: Spark, t: Names) -> str:
-    """Hash of the merged rules: every field of every rule counts."""
-    fields = "concat(source, '>', target, '>', kind, '>', cast(severity AS string), '>', english, '>', clues, '>', tags)"
-    return f"SELECT {d.sha(d.joined(fields, 'rule_id', ';'))} AS ruleset FROM {merged()}"
-
-
-def pol18(d: Spark, t: Names) -> str:
-    """Rule checks: chains, where a target is a source of its own, and sources inside other sources."""
-    return f"SELECT a.source, b.source AS other, a.target = b.source AS chained, a.source <> b.source AND instr(b.source, a.source) > 0 AS shadowed FROM {merged()} a JOIN {merged()} b ON a.target = b.source OR (a.source <> b.source AND instr(b.source, a.source) > 0)"
-
-
 def pol20(d: Spark, t: Names) -> str:
     """Evaluation: precision, recall and F1 of "has a finding" against the quality label, as an exercise of the metrics."""
     pairs = f"(SELECT l.doc_id, l.quality = 1 AS expected, i.doc_id IS NOT NULL AS found FROM {t.labels} l LEFT JOIN (SELECT DISTINCT doc_id FROM {issues(d, t)}) i ON l.doc_id = i.doc_id)"
@@ -207,11 +170,6 @@ def fx2(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, length({fixed('zh', d)}) AS n_chars, {d.sha(fixed('zh', d))} AS digest FROM {t.zh}"
 
 
-def fx3(d: Spark, t: Names) -> str:
-    """Suggestions that may stand in a JSON string."""
-    return f"SELECT source, instr(target, chr(34)) = 0 AND instr(target, chr(92)) = 0 AND instr(target, chr(10)) = 0 AS admissible FROM {merged()}"
-
-
 def fx4(d: Spark, t: Names) -> str:
     """Where findings stand after the fixes before them: the running sum of length changes, by document."""
     moved = "sum(CASE WHEN target <> '' AND instr(target, '/') = 0 AND clues = '' THEN length(target) - length(found) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -224,18 +182,6 @@ def fx5(d: Spark, t: Names) -> str:
     return f"SELECT item AS found, count(*) AS n FROM {matches(d, t, 'fixed_text', again)} GROUP BY item"
 
 
-def st1(d: Spark, t: Names) -> str:
-    """Override upsert: the store after two changes and one deletion."""
-    store = lx.values((("軟件", "軟體", 1, 0), ("視頻", "影片", 1, 0), ("視頻", "影音", 2, 0), ("硬件", "硬體", 1, 0), ("硬件", "", 3, 1)), "source, target, version, gone", "s")
-    return f"SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY version DESC) AS k FROM {store}) WHERE k = 1 AND gone = 0"
-
-
-def st4(d: Spark, t: Names) -> str:
-    """Memory import: how many entries are new and how many change."""
-    other = lx.values((("運行", "執行"), ("打印", "列印"), ("接口", "介面")), "found, chosen", "o")
-    return f"SELECT sum(CASE WHEN m.found IS NULL THEN 1 ELSE 0 END) AS added, sum(CASE WHEN m.chosen <> o.chosen THEN 1 ELSE 0 END) AS updated FROM {MEMORY} m FULL OUTER JOIN {other} o ON m.found = o.found"
-
-
 def st6(d: Spark, t: Names) -> str:
     """Cache eviction: of the newest 2,000 entries those stay that fit 32 MiB; the running sum is over the 2,000 alone."""
     newest = f"(SELECT doc_id, {d.bytes('text')} AS held_bytes FROM {t.documents} WHERE text IS NOT NULL ORDER BY doc_id DESC LIMIT 2000)"
@@ -258,10 +204,7 @@ def snk4(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, CASE severity WHEN 3 THEN 'E' WHEN 2 THEN 'W' ELSE 'I' END || chr(9) || kind || chr(9) || found || chr(9) || target || chr(9) || cast(count(*) AS string) AS line FROM {issues(d, t)} GROUP BY doc_id, severity, kind, found, target"
 
 
-OPS: dict[str, Callable[[Spark, Names], str]] = {
-    "pol1_merge_spelling_layers": pol1, "pol2_merge_case_layers": pol2, "pol3_drop_tags": pol3, "pol4_pack_conflicts": pol4, "pol5_pack_validation": pol5, "pol6_glossary": pol6, "pol7_ignore_terms": pol7,
-    "pol9_translation_memory": pol9, "pol10_baseline": pol10, "pol11_stance": pol11, "pol12_heading_boost": pol12, "pol13_table_cells": pol13, "pol14_explain": pol14, "pol15_scan_cache": pol15, "pol17_ruleset_hash": pol17,
-    "pol18_ruleset_checks": pol18, "pol20_evaluation": pol20, "sc16_grouping": sc16, "sc17_summary": sc17, "sc19_places": sc19, "sc20_batch_gate": sc20, "sc21_ratios": sc21, "da1_eligible": da1,
-    "da2_collocations": da2, "da3_clue_score": da3, "da10_judgments": da10, "fx1_verdicts": fx1, "fx2_fixed_text": fx2, "fx3_json_admissible": fx3, "fx4_offset_shift": fx4, "fx5_convergence": fx5,
-    "st1_override_upsert": st1, "st4_memory_import": st4, "st6_cache_eviction": st6, "st8_badge": st8, "snk3_compact_report": snk3, "snk4_tabular_report": snk4,
+OPS: dict[str, Callable[[Spark, Names], str]] = { "pol3_drop_tags": pol3, "pol6_glossary": pol6, "pol7_ignore_terms": pol7,
+    "pol9_translation_memory": pol9, "pol10_baseline": pol10, "pol11_stance": pol11, "pol12_heading_boost": pol12, "pol13_table_cells": pol13, "pol15_scan_cache": pol15, "pol20_evaluation": pol20, "sc16_grouping": sc16, "sc17_summary": sc17, "sc19_places": sc19, "sc20_batch_gate": sc20, "sc21_ratios": sc21, "da1_eligible": da1,
+    "da2_collocations": da2, "da3_clue_score": da3, "da10_judgments": da10, "fx1_verdicts": fx1, "fx2_fixed_text": fx2, "fx4_offset_shift": fx4, "fx5_convergence": fx5, "st6_cache_eviction": st6, "st8_badge": st8, "snk3_compact_report": snk3, "snk4_tabular_report": snk4,
 }

@@ -144,11 +144,6 @@ def lex13(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, {pick} AS suggestion, count(*) AS n FROM {sentences(d, t.zh)} WHERE instr(item, '進程') > 0 GROUP BY doc_id, {pick}"
 
 
-def lex18(d: Spark, t: Names) -> str:
-    """Rules that a procedural detector owns."""
-    return f"SELECT source, kind FROM {merged()} WHERE kind = 'ai_filler'"
-
-
 def ai7(d: Spark, t: Names) -> str:
     """Attributions without a source: no year, bracket or named authority in the sentence."""
     return f"SELECT doc_id, count(*) AS n FROM {sentences(d, t.zh)} WHERE {d.has('item', '有研究指出|專家表示|眾所皆知|報告顯示')} AND NOT {d.has('item', '[0-9]{4}|[(（]|大學|研究院')} GROUP BY doc_id"
@@ -188,12 +183,6 @@ def da4(d: Spark, t: Names) -> str:
     return f"SELECT p.term, p.suggestion, p.weight, count(*) AS n FROM {issues(d, t)} i JOIN {prior} p ON i.found = p.term GROUP BY p.term, p.suggestion, p.weight"
 
 
-def da6(d: Spark, t: Names) -> str:
-    """Promoted suggestion: the chosen one first, the others after it."""
-    rest = d.filter(d.split("target", "/"), "x", "x <> '程序'")
-    return f"SELECT source, '程序' AS chosen, {d.size(rest)} AS others FROM {merged()} WHERE instr(target, '/') > 0"
-
-
 def da11(d: Spark, t: Names) -> str:
     """Context keys: white space dropped, up to 40 characters on each side of the first hit, hashed."""
     bare = d.sub("zh", r"\s+", "")
@@ -220,25 +209,6 @@ def pol16(d: Spark, t: Names) -> str:
     return f"SELECT doc_id, {d.sha(d.joined('found', 'ord'))} AS digest FROM {issues(d, t)} GROUP BY doc_id"
 
 
-def st2(d: Spark, t: Names) -> str:
-    """Suppression set after additions and removals."""
-    log = lx.values(((1, "軟件", 1), (2, "默認", 1), (3, "軟件", 0), (4, "視頻", 1), (5, "視頻", 1)), "seq, term, added", "l")
-    return f"SELECT term FROM (SELECT term, added, row_number() OVER (PARTITION BY term ORDER BY seq DESC) AS k FROM {log}) WHERE k = 1 AND added = 1"
-
-
-def st3(d: Spark, t: Names) -> str:
-    """Memory: the last decision for each term."""
-    best = "max_by(chosen, made)" if d.name == "spark" else "arg_max(chosen, made)"
-    log = lx.values((("運行", "執行", 1), ("運行", "運行", 5), ("打印", "列印", 2)), "found, chosen, made", "l")
-    return f"SELECT found, {best} AS chosen, count(*) AS decisions FROM {log} GROUP BY found"
-
-
-def st5(d: Spark, t: Names) -> str:
-    """Judgments kept: not older than the limit, the newest two."""
-    log = lx.values((("a", 3), ("b", 40), ("c", 10), ("d", 29)), "key, age_days", "l")
-    return f"SELECT key FROM (SELECT key, row_number() OVER (ORDER BY age_days) AS k FROM {log} WHERE age_days <= 30) WHERE k <= 2"
-
-
 def st9(d: Spark, t: Names) -> str:
     """Masks that a caller supplies: runs in languages other than Chinese."""
     tag = d.first("html", 'lang="([^"]*)"', 1)
@@ -249,8 +219,8 @@ OPS: dict[str, Callable[[Spark, Names], str]] = {
     "src2_extension_filter": src2, "src3_changed_documents": src3, "src4_size_limit": src4, "snk1_json_report": snk1, "snk2_human_report": snk2, "snk5_sarif_rules": snk5, "snk7_search_replace": snk7,
     "pre8_conversion_of_values": pre8, "pre9_conversion_gate": pre9, "pre11_visible_register": pre11, "pre13_adjacent_marks": pre13, "exc4_masked_hits": exc4, "exc9_table_cells": exc9, "exc11_front_matter": exc11,
     "exc14_placeholders": exc14, "exc17_suppression": exc17, "seg8_word_count": seg8, "lex3_register_rule_sets": lex3, "lex11_positional_clues": lex11, "lex12_deletion_extension": lex12,
-    "lex13_context_suggestion": lex13, "lex18_structural_guards": lex18, "ai7_bare_attribution": ai7, "ai28_line_metaphor": ai28, "ai34_psych_verdict": per_paragraph("他很(好|忙|累)", 2),
+    "lex13_context_suggestion": lex13, "ai7_bare_attribution": ai7, "ai28_line_metaphor": ai28, "ai34_psych_verdict": per_paragraph("他很(好|忙|累)", 2),
     "ai38_fake_depth": per_paragraph("(說實話|由此可見|意味著)", 2), "ai39_mentions": ai39, "tr17_long_modifier": tr17,
-    "sc2_phrase_signal": sc2, "sc18_resolution_tier": sc18, "da4_profile_prior": da4, "da6_promoted_suggestion": da6,
-    "da11_context_key": da11, "fx6_carried_state": fx6, "pol8_suppressed_terms": pol8, "pol16_report_digest": pol16, "st2_suppression_set": st2, "st3_memory_record": st3, "st5_judgment_eviction": st5, "st9_supplied_masks": st9,
+    "sc2_phrase_signal": sc2, "sc18_resolution_tier": sc18, "da4_profile_prior": da4,
+    "da11_context_key": da11, "fx6_carried_state": fx6, "pol8_suppressed_terms": pol8, "pol16_report_digest": pol16, "st9_supplied_masks": st9,
 }

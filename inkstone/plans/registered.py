@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..dialect import DUCK, SPARK, Spark
 from ..sources.zh_view import ZH_SQL, zh_docs
 
-TABLES = "documents pages events labels benchmark conversations".split()
+TABLES = "documents pages events labels benchmark conversations part".split()
 
 
 class Names:

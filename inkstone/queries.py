@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import contexts, detectors, documents, engine, fixing, lexical, policies, reports, rule_scan, shapes, structure, translation
+from .operators import contexts, detectors, documents, engine, fixing, lexical, policies, reports, rule_scan, shapes, stores, structure, translation
 from .plans.registered import duck_sql, spark_query
 
-OPS = contexts.OPS | detectors.OPS | lexical.OPS | documents.OPS | policies.OPS | reports.OPS | shapes.OPS | translation.OPS
+OPS = contexts.OPS | detectors.OPS | lexical.OPS | documents.OPS | policies.OPS | reports.OPS | shapes.OPS | stores.OPS | translation.OPS
 QUERIES = {name: spark_query(sql) for name, sql in OPS.items()} | engine.QUERIES | fixing.QUERIES | rule_scan.QUERIES | structure.QUERIES
 ORACLE_SQL = {name: duck_sql(sql) for name, sql in OPS.items()} | engine.ORACLE_SQL | structure.ORACLE_SQL
 

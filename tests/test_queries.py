@@ -4,13 +4,14 @@ import duckdb
 import pytest
 
 from inkstone import api, queries
+from inkstone.operators import stores
 from inkstone.streaming.incremental import scan_new
 
 NAMES = (
     "lex1_matches lex2_spelling lex9_clue_gate lex16_casing pre4_script pre6_lines pre7_conversion pre10_register seg1_sentences seg2_paragraphs ort1_halfwidth_marks ort13_repetition_latin "
     "grm1_a_not_a_with_ma tr4_pronoun_run rh2_ending_monotony ai6_phrase_density ai13_mixed_address ai22_mechanical_bullets sc1_machine_score sc3_punctuation_profile sc8_longest_de_chain "
-    "sc14_top_findings pol1_merge_spelling_layers pol6_glossary pol9_translation_memory pol20_evaluation fx2_fixed_text fx4_offset_shift snk3_compact_report"
-).split()
+    "sc14_top_findings pol6_glossary pol9_translation_memory pol20_evaluation fx2_fixed_text fx4_offset_shift snk3_compact_report"
+).split() + sorted(stores.OPS)
 
 
 @pytest.fixture(scope="session")
@@ -21,6 +22,12 @@ def tables(spark, tmp_path_factory):
     rows += [(60, "", "en", "src0", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    kinds, types = "click view error purchase signup".split(), "ECONOMY STANDARD PROMO LARGE".split()
+    parts = [(i, ["small ring", "red widget", "blue bolt"][i % 3], f"Brand#{i % 5}", types[i % 4], 1 + i * 7 % 50, 900.0 + i) for i in range(120)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{folder}/part.parquet")
+    events = [(i, f"2024-01-{1 + i % 28:02d} 00:00:{i % 60:02d}", i * 3 % 17, kinds[i * 7 % 5], f'{{"k": {i % 4}}}') for i in range(200)]
+    events = spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, props string").selectExpr("event_id", "timestamp(ts) AS ts", "user_id", "event_type", "props")
+    events.write.parquet(f"{folder}/events.parquet")
     return folder
 
 
@@ -33,7 +40,7 @@ def plain(rows, names):
 def test_against_sql(spark, tables, name):
     got = queries.QUERIES[name](spark, tables)
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "part", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tables}/{t}.parquet/*.parquet')")
     cursor = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in cursor.description]
