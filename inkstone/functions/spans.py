@@ -11,7 +11,7 @@ from .chars import MASKED, URL
 Span = tuple[int, int]
 
 _URL = re.compile(URL)
-_PATH = re.compile(r"(?:\.\.?/|(?<![\w/])/)[^\s，。！？；「」]+")
+_PATH = re.compile(r"(?:\.\.?/|(?<![\w/<])/)[^\s，。！？；「」<>]+")
 _MENTION = re.compile(r"@[a-zA-Z0-9_]+")
 _TERM = re.compile(r"[「『]([^「」『』]{1,12})[」』](?=一詞|這個詞|是(?:\w{0,2})的?(?:說法|用語))")
 #: Escapes and placeholders in a JSON string: brackets around up to 64 characters of ASCII, heads of plurals, formats.

@@ -70,7 +70,11 @@ def spark_query(sql: Sql) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def duck_sql(sql: Sql) -> str:
-    text = _long_sums(_doubles(sql(DUCK, Names()))).strip()
+    return with_zh(_long_sums(_doubles(sql(DUCK, Names()))).strip())
+
+
+def with_zh(text: str) -> str:
+    """SQL of the checking engine with the Chinese view before it."""
     if text.upper().startswith("WITH "):
         return f"WITH zh AS {ZH_SQL}, {text[5:]}"
     return f"WITH zh AS {ZH_SQL} {text}"
