@@ -15,7 +15,8 @@ The table has a row per block: part, block, before (tokens in the part before
 it), n_docs, n_tokens, doc_ids, payload; parts follow ascending doc_id.
 
 Edge cases: a null or empty text holds only the end id; a null doc_id comes
-first; repeated doc_ids are kept side by side; no rows give no blocks.
+first; repeated doc_ids are kept side by side, by checksum and text; no rows give
+no blocks.
 """
 
 from __future__ import annotations
@@ -161,8 +162,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_codes(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) in ascending doc_id order; the block table, written and read back."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id, or none, are dealt and ordered by their texts, so that places are the same in every run.
+    order = ["doc_id", "text_crc32", "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     return saved(rows.mapInArrow(_write(tokenizer, end_id), BLOCKS), "codes")
 
 
