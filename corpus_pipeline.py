@@ -10,8 +10,8 @@ Each stage but the last returns the columns of documents, whatever further ones
 there are.  Null and empty texts have no content that the quality classifier
 could accept or reject: their score is that of its curve at 0, and they pass
 stages 2 to 5 unchanged.  Of repeated rows one stays; other texts under one doc_id are
-documents of their own to stage 2, and so are rows without doc_id.  Stage 3
-removes by doc_id and leaves rows without one.  An empty table stays one.
+documents of their own to stages 2 and 3, and so are rows without doc_id.  An empty
+table stays one.
 """
 
 from __future__ import annotations
@@ -39,13 +39,18 @@ def _without(docs: DataFrame, ids: DataFrame, key: str, label: str) -> DataFrame
     return docs.join(saved(ids.distinct(), label), key, "left_anti").select(docs.columns)
 
 
+def _ids_repeat(docs: DataFrame) -> bool:
+    """Whether an id occurs twice or is missing, so that rows need keys of their own."""
+    return bool(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count())
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
     return with_score(docs, model, _SCORE).where(F.col(_SCORE) >= REJECT_BELOW).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+    if not _ids_repeat(docs):
         groups = jaccard_join(docs, n=5, percent=80)
         return _without(docs, groups.where("component_id != doc_id").select("doc_id"), "doc_id", "copies")
     # Ids repeat: rows get keys of their own, in the order of doc_id.
@@ -57,7 +62,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "doc_id", "leaks")
+    items = table(spark, sf_dir, "benchmark")
+    if not _ids_repeat(docs):
+        return _without(docs, contaminated(docs, items).select("doc_id"), "doc_id", "leaks")
+    rows = saved(docs.withColumn(_KEY, F.monotonically_increasing_id()), "keyed")
+    leaks = contaminated(rows.select(F.col(_KEY).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(_KEY))
+    return _without(rows, leaks, _KEY, "leaks").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
