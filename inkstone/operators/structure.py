@@ -22,6 +22,7 @@ from ..dialect import SPARK
 from ..functions import blocks, spans
 from ..functions.quotes import quotes
 from ..plans.registered import _doubles
+from ..sources.store import written
 from ..sources.zh_view import zh_docs
 from .shapes import SHAPES, findings
 
@@ -93,7 +94,10 @@ def visible(docs: DataFrame, content_type: str = "plain") -> DataFrame:
 
 def detected(docs: DataFrame, content_type: str = "plain", names: Iterable[str] = SHAPES) -> DataFrame:
     """doc_id, detector, start, found, suggestion, kind, severity: findings of detectors in texts of a content type."""
+    names = list(names)
     seen = visible(docs, content_type).withColumnRenamed("text", "zh")
+    # Each detector reads the texts; the masks are laid over them once.
+    seen = written(seen, "seen") if len(names) > 1 else seen
     view = "ink_seen_" + hashlib.sha256(f"{id(seen)}".encode()).hexdigest()[:12]
     seen.createOrReplaceTempView(view)
     each = [f"SELECT doc_id, '{n}' AS detector, start, found, suggestion, kind, severity FROM ({findings(SHAPES[n], SPARK, view, masked=True)})" for n in names]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,16 @@ def _delete_all() -> None:
             _delete(spark, path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back, for what several readings of it would make anew."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-ink"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _FOLDERS[folder] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` of the files of ``source``, made and written at its first use and after each change of the files."""
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-ink"
