@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 from . import blocks
 from .chars import MASKED, URL
@@ -23,8 +24,8 @@ _CONTAINER = re.compile(r"(?m)^[ \t]*:::[^\n]*")
 _YAML_KEY = re.compile(r"(?:[^:\"'\n]|\"[^\"\n]*\"|'[^'\n]*'|:(?![ \t\r\n]|$))*:(?=[ \t\r\n]|$)")
 _STRING = re.compile(r'"(?:[^"\\]|\\[\s\S])*"')
 _COLON = re.compile(r"[ \t\r\n]*:")
-#: Fixed value: the prefix of suppression comments.
-_SUPPRESS = re.compile(r"(?:<!--|//|#)[ \t]*zhtw:[ \t]*(disable-line|disable-next-line|disable|enable)\b")
+#: Fixed value: the word before the colon of suppression comments, where a caller gives no other.
+KEYWORD = "zhtw"
 #: Primary language subtags of ISO 639 that count as Chinese, and elements by the rules of HTML.
 CHINESE = frozenset("cdo cjy cmn cnp cpx csp czh czo gan hak hsn lzh mnp nan wuu yue zh".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -196,12 +197,17 @@ def html_lang_mask(html: str) -> list[Span]:
     return merged([s for s in out if s[0] < s[1]])
 
 
-def suppressed(text: str) -> list[Span]:
-    """Lines switched off by comments: a line, the next one, or a block that ends with the text if nothing else ends it."""
+@lru_cache(maxsize=8)
+def _comment(keyword: str) -> re.Pattern:
+    return re.compile(rf"(?:<!--|//|#)[ \t]*{re.escape(keyword)}:[ \t]*(disable-line|disable-next-line|disable|enable)\b")
+
+
+def suppressed(text: str, keyword: str = KEYWORD) -> list[Span]:
+    """Lines switched off by comments with a keyword: a line, the next one, or a block that ends with the text if nothing else ends it."""
     out, at, block = [], 0, None
     next_line = False
     for line in text.splitlines(keepends=True):
-        m = _SUPPRESS.search(line)
+        m = _comment(keyword).search(line)
         if next_line:
             out.append((at, at + len(line)))
             next_line = False

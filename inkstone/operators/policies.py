@@ -90,10 +90,10 @@ def pol15(d: Spark, t: Names) -> str:
 
 
 def pol20(d: Spark, t: Names) -> str:
-    """Evaluation: precision, recall and F1 of "has a finding" against the quality label, as an exercise of the metrics."""
+    """Evaluation: precision, recall, F1 and false positive rate of "has a finding" against the quality label, as an exercise of the metrics."""
     pairs = f"(SELECT l.doc_id, l.quality = 1 AS expected, i.doc_id IS NOT NULL AS found FROM {t.labels} l LEFT JOIN (SELECT DISTINCT doc_id FROM {issues(d, t)}) i ON l.doc_id = i.doc_id)"
     c = lambda cond: f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"
-    return f"SELECT tp, fp, fn, round(tp * 1.0 / nullif(tp + fp, 0), 6) AS precision_rate, round(tp * 1.0 / nullif(tp + fn, 0), 6) AS recall_rate FROM (SELECT {c('expected AND found')} AS tp, {c('NOT expected AND found')} AS fp, {c('expected AND NOT found')} AS fn FROM {pairs})"
+    return f"SELECT tp, fp, fn, round(tp * 1.0 / nullif(tp + fp, 0), 6) AS precision_rate, round(tp * 1.0 / nullif(tp + fn, 0), 6) AS recall_rate, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(fp * 1.0 / nullif(fp + tn, 0), 6) AS false_positive_rate FROM (SELECT {c('expected AND found')} AS tp, {c('NOT expected AND found')} AS fp, {c('expected AND NOT found')} AS fn, {c('NOT expected AND NOT found')} AS tn FROM {pairs})"
 
 
 def sc16(d: Spark, t: Names) -> str:
