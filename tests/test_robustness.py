@@ -87,3 +87,17 @@ def test_quote_depth(spark, text, depths):
     from inkstone.operators.contexts import ort7
 
     assert [r[1] for r in both(spark, ort7, [(1, text)], ("start", "depth"))] == depths
+
+
+def test_signature_by_hand(spark):
+    """Even punctuation gives 0.1; each family of prose 0.1, of layout 0.05; defects and short texts nothing."""
+    from inkstone.operators.signature import sc1_signature
+
+    even = "甲乙丙丁戊。" * 100
+    rows = [
+        (1, even), (2, even + "\n廢話不多說，開始"), (3, even[:300]), (4, even + "\n- **甲**：乙\n- **丙**：丁\n- **戊**：己\n"), (5, even + "你好您好"),
+        (6, even + "\n廢話不多說，開始。\n說實話？對"), (7, even + "​"), (8, None), (9, "甲" * 600),
+    ]
+    # In text 6 one gap of ten among 99 of six: a variation of 0.0659, and (0.5 - 0.0659) / 0.5 * 0.1 for it.
+    got = {i: (prose, layout, score) for i, prose, layout, score in both(spark, sc1_signature, rows, ("doc_id", "prose", "layout", "score"))}
+    assert got == {1: (0, 0, 0.1), 2: (1, 0, 0.2), 4: (0, 1, 0.15), 5: (0, 0, 0.1), 6: (2, 0, 0.28682), 7: (0, 0, round(0.1 + 0.2 / 3, 5)), 9: (0, 0, 0.0)}
