@@ -24,6 +24,7 @@ from ..functions.quotes import quotes
 from ..plans.registered import _doubles
 from ..sources.store import written
 from ..sources.zh_view import zh_docs
+from . import passages
 from .shapes import SHAPES, findings
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -104,6 +105,17 @@ def detected(docs: DataFrame, content_type: str = "plain", names: Iterable[str]
     return docs.sparkSession.sql(_doubles(" UNION ALL ".join(each)))
 
 
+def passages_detected(docs: DataFrame, content_type: str = "plain", names: Iterable[str] = passages.DETECTORS) -> DataFrame:
+    """doc_id, detector, start, found, n, kind, severity, family: findings over sentences, paragraphs and lines of a content type."""
+    names = list(names)
+    seen = visible(docs, content_type).withColumnRenamed("text", "zh")
+    seen = written(seen, "seen") if len(names) > 1 else seen
+    view = "ink_passages_" + hashlib.sha256(f"{id(seen)}".encode()).hexdigest()[:12]
+    seen.createOrReplaceTempView(view)
+    each = [f"SELECT doc_id, '{n}' AS detector, start, found, n, kind, severity, family FROM ({passages.DETECTORS[n](SPARK, view)})" for n in names]
+    return docs.sparkSession.sql(_doubles(" UNION ALL ".join(each)))
+
+
 def quote_faults(docs: DataFrame, content_type: str = "plain") -> DataFrame:
     """doc_id, start, found, suggestion, fault of quotation marks and brackets."""
     return rows_of(docs, "start int, found string, suggestion string, fault string", lambda t: quotes(t, spans.mask_of(t, content_type)))
