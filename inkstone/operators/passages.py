@@ -331,6 +331,7 @@ RESTATED = (
     ("他去了。他來了。", "你以為這樣好嗎？錯了。為什麼難？因為貴。"),
     ("總結與展望：", "總結與展望\n\n# 問題與挑戰"),
     ("核心：", "**核**和**心**，"),
+    ("標誌著新的時代。", "是大城之一，也是名城之一。"),
 )
 
 
