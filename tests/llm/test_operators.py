@@ -510,6 +510,43 @@ def test_decontamination_against_brute_force_and_reworded_items(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_decontamination_of_what_repeats_itself(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    import llm.decontaminate as d
+
+    lines = "the red box stands on that shelf with 3 kg inside. "
+    items = [(1, lines * 30), (2, "so it goes on and then " * 20)]
+    docs = [(1, lines * 200), (2, lines.replace("3 kg", "5 kg") * 40), (3, "so it goes on and then " * 150), (4, "it never goes on there")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.coverage, x.first_word, x.reworded) for x in d.contaminated(docs_df, bench).collect())
+    assert got == [(1, 1, 1.0, 0, False), (2, 1, 1.0, 0, True), (3, 2, 1.0, 0, False)]
+
+    def counted(batches):
+        for batch in batches:
+            yield d._batch([(0, 0, batch.num_rows, 0.0, 0, False)], d.FOUND)
+
+    # Rows of a pair are those of its two texts, not their product (187,866 rows before).
+    monkeypatch.setattr(d, "_judge", counted)
+    assert d.contaminated(docs_df, bench).agg(F.sum("n_windows")).first()[0] < 20_000
+
+
+def test_windows_leave_the_scan_in_small_batches():
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    import llm.decontaminate as d
+
+    text = " ".join(prose(random.Random(31), 30_000))
+    full = types.SimpleNamespace(value=(np.arange(d.FILTER_BITS // 64), np.full(d.FILTER_BITS // 64, 2**64 - 1, np.uint64)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text])], ["doc_id", "text_hash", "text"])
+    sizes = [b.num_rows for b in d._doc_windows(full, [(0, 8), (1, 8)])([batch])]
+    assert max(sizes) <= 4096 and sum(sizes) > 50_000
+
+
 # 7 --------------------------------------------------------------------------------------------------------------
 
 
