@@ -23,6 +23,10 @@ representative.  The join then works on regions:
   The far side is joined under the size window.  Groups of either side are cut
   in slices of SLICE members that meet two by two in blocks, each a task's work
   of bounded size; blocks without a pair that is still open are not made.
+* Places first meet sketches: the parities of a set's hashes in about as many
+  bits as it has elements.  Sketches of two sets differ in at most as many bits
+  as the sets in elements, so a place whose sketch differs too much from all it
+  would be compared with links with none of them, and its text stays where it is.
 * Every surviving pair is verified on whole shingle sets.  Connected components
   of the links come from alternating large-star and small-star steps.
 
@@ -134,24 +138,37 @@ def _among(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's hashes in a power of two of bits, at least as many as elements and 64."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch in so many words, which is the set's sketch of that width."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def _set_rows(k: int, t: Threshold, frequent: np.ndarray) -> Callable:
-    """Per document: size, key of the set, and prefix in rarest-first order."""
+    """Per document: size, key of the set, sketch, and prefix in rarest-first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, sketches, prefixes = [], [], [], []
             for s in shingle_sets(texts_of(batch.column("text")), k):
                 n = len(s)
                 sizes.append(n)
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+                sketches.append(_sketch(s) if n else None)
                 s = _signed(s)
                 last = _among(s, frequent)
                 if last.any():
                     s = np.concatenate([s[~last], s[last]])
                 prefixes.append(s[: n - t.least(n) + 1] if n else s)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes)],
-                ["doc_id", "n", "key", "prefix"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), _lists(prefixes)],
+                ["doc_id", "n", "key", "sketch", "prefix"],
             )
 
     return run
@@ -487,8 +504,61 @@ def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(cells), "cell").where("bit_get(bits, int(bit % 64)) = 1").select(docs.columns)
 
 
-def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent: np.ndarray, elements: bool) -> DataFrame:
-    """Every place (p, id, whole) against whole sets, region by region; large regions are cut in slices that all get the pivot."""
+def _may_link(t: Threshold, n: np.ndarray, sketches: list[np.ndarray], whole: int) -> np.ndarray:
+    """Which rows may link with the first one, or one of the first ``whole`` rows with another of these, by sizes and sketches."""
+    words = np.array(list(map(len, sketches)))
+    tables = {w: np.array([_folded(x, w) if len(x) >= w else np.zeros(w, np.uint64) for x in sketches]) for w in np.unique(words).tolist()}
+    kept = np.zeros(len(n), dtype=bool)
+    for i in range(whole):
+        js = np.arange(i + 1, whole if i else len(n))
+        js = js[np.minimum(n[i], n[js]) >= t.least(np.maximum(n[i], n[js]))]
+        width = np.minimum(words[i], words[js])
+        for w in np.unique(width).tolist():
+            at = js[width == w]
+            at = at[np.bitwise_count(tables[w][at] ^ tables[w][i]).sum(axis=1) <= t.diff(n[i], n[at])]
+            kept[at] = True
+            kept[i] |= len(at) > 0
+    return kept
+
+
+def _open(t: Threshold) -> Callable:
+    """Rows of regions, the pivot's first and then whole members, without members whose sketches rule out every link; a region without members goes whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found = None, [], []
+
+        def close() -> None:
+            if len(held) > 1:
+                n, sketches = np.array([x[1] for x in held]), [np.frombuffer(x[2], np.uint64) for x in held]
+                kept = _may_link(t, n, sketches, sum(x[3] for x in held))
+                if kept.any():
+                    found.extend((id_, *key, i > 0, whole) for i, (id_, _, _, whole) in enumerate(held) if kept[i] or not i)
+
+        def ready() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            columns = list(zip(*found)) or [()] * len(types)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], ["id", "p", "cut", "member", "whole"])
+
+        for batch in batches:
+            for p, cut, *row in zip(*(batch.column(c).to_pylist() for c in ("p", "cut", "id", "n", "sketch", "whole"))):
+                if key != (p, cut):
+                    close()
+                    key, held = (p, cut), []
+                held.append(row)
+            yield ready()
+        close()
+        yield ready()
+
+    return run
+
+
+def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent: np.ndarray, sketches: DataFrame | None) -> DataFrame:
+    """Every place (p, id, whole) against whole sets, region by region; large regions are cut in slices that all get the pivot.
+
+    With sketches (doc_id, n, sketch), links of the places that these leave open; without them, distances and elements of all places.
+    """
+    elements = sketches is None
     schema = "p long, rep long, linked boolean, dist double, e long, n long, size long, pos long, diff binary" if elements else "a long, b long"
     places = saved(places.groupBy("p", "id").agg(F.max("whole").alias("whole")), "places")
     slices = lambda which: F.expr(f"cast(ceil(count_if({which}) / {SLICE}) AS long)")
@@ -502,6 +572,11 @@ def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent
     sliced = saved(pivots.unionByName(members), "sliced")
     release(places)
     places = sliced
+    if not elements:
+        rows = places.join(sketches.hint("merge"), F.col("id") == F.col("doc_id")).select("p", "cut", "member", "whole", "id", "n", "sketch")
+        rows = rows.repartition("p", "cut").sortWithinPartitions("p", "cut", "member", F.desc("whole"), "id")
+        places = saved(rows.mapInArrow(_open(t), "id long, p long, cut long, member boolean, whole boolean"), "open")
+        release(sliced)
     # Texts are dealt by document and then by region, at every size alike.
     rows = _holding(docs, places).join(places.hint("merge"), F.col("doc_id") == F.col("id")).select("p", "cut", "member", "whole", "id", "text")
     rows = rows.repartition("p", "cut").sortWithinPartitions("p", "cut", "member", F.desc("whole"), "id")
@@ -554,7 +629,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     counts = docs.select("text").mapInArrow(_repeated_rows(n), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
     top = counts.where(F.col("c") >= ORDER_COUNT).orderBy(F.desc("c"), "s").limit(ORDER_MOST).select("s").toArrow()
     frequent = np.sort(top.column("s").to_numpy())
-    rows = saved(docs.mapInArrow(_set_rows(n, t, frequent), "doc_id long, n long, key binary, prefix array<long>"), "rows")
+    rows = saved(docs.mapInArrow(_set_rows(n, t, frequent), "doc_id long, n long, key binary, sketch binary, prefix array<long>"), "rows")
     classes = saved(
         rows.where("key is not null")
         .groupBy("key")
@@ -562,7 +637,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.prefix"),
         "classes",
     )
-    ids = saved(rows.select("doc_id", "n", "key"), "ids")
+    ids = saved(rows.select("doc_id", "n", "key", "sketch"), "ids")
     release(rows)
     held = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
     place, light, heavy = "p long, id long, whole boolean", held, None
@@ -585,7 +660,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     links, balls = [], None
     if large.limit(1).count():
         members = large.where("rep != p").select("p", F.col("rep").alias("id"), F.lit(False).alias("whole"))
-        region = saved(_verified(docs, members, n, t, frequent, True), "region")
+        region = saved(_verified(docs, members, n, t, frequent, None), "region")
         seen = region.where("pos = -1").select("p", "rep", "linked", "dist")
         near = _blocks(region.where("pos >= 0").select("p", "e", "rep", "n", "pos", "size", "linked"), ["p", "e"], "NOT linked")
         far = seen.where(F.col("dist") > 2 * (1 - percent / 100) - 1e-9).select("p", "rep")
@@ -597,7 +672,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     every = found[0]
     for x in found[1:]:
         every = every.union(x)
-    done = _verified(docs, every, n, t, frequent, False)
+    done = _verified(docs, every, n, t, frequent, ids.select("doc_id", "n", "sketch"))
     for x in links:
         done = done.union(x)
     done = saved(done.distinct(), "verified")

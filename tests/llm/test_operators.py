@@ -151,6 +151,43 @@ def test_jaccard_join_of_repeated_and_missing_ids(spark):
     assert got == sorted(want)
 
 
+def test_jaccard_join_shuffles_no_text_for_a_shared_passage(spark, monkeypatch):
+    """Texts that share a passage and little else stay where they are; those that link are compared."""
+    from llm import jaccard_join as jj
+
+    r, asked, holding = random.Random(7), set(), jj._holding
+    monkeypatch.setattr(jj, "_holding", lambda docs, ids: asked.update(x.id for x in ids.select("id").distinct().collect()) or holding(docs, ids))
+    texts = [[f"{w}{r.randrange(9)}" for w in prose(r, 90)] for _ in range(12)]
+    passage = prose(r, 30)
+    rows = [(d, " ".join([*w, *passage])) for d, w in enumerate(texts)] + [(20, " ".join([*texts[3], *passage[:-1]]))]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85) and got[20][1] == 3
+    assert {3, 20} <= asked and len(asked) <= 3  # a region's pivot may come along
+
+
+def test_sketches_keep_every_link():
+    import numpy as np
+
+    from llm.jaccard_join import Threshold, _folded, _may_link, _sketch
+
+    r, t, seen = np.random.default_rng(1), Threshold(85), 0
+    for size in (1, 2, 5, 30, 64, 65, 130, 260):
+        base = r.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+        sets = [np.unique(np.append(base[: max(1, size - a)], base[size : size + b])) for a in range(0, 40, 3) for b in (0, 1, 9)]
+        sets = [x for x in sets if len(x)]
+        sketches = [np.frombuffer(_sketch(x), np.uint64) for x in sets]
+        for x, y in zip(sets, sketches):
+            assert int(np.bitwise_count(_folded(y, 1))[0]) == int(np.count_nonzero(np.bincount((x & np.uint64(63)).astype(int)) & 1))
+        n = np.array(list(map(len, sets)))
+        linked = np.array([[t.links(len(np.intersect1d(a, b)), len(a), len(b)) for b in sets] for a in sets]) & ~np.eye(len(sets), dtype=bool)
+        seen += linked.sum()
+        for whole in (1, 4, len(sets)):
+            pairs = linked.copy()
+            pairs[whole:, 1:] = pairs[1:, whole:] = False
+            assert not (pairs.any(axis=1) & ~_may_link(t, n, sketches, whole)).any()
+    assert seen > 1000
+
+
 def test_components_of_a_long_chain(spark):
     from llm.jaccard_join import components
 
