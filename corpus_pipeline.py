@@ -36,7 +36,7 @@ _SCORE, _KEY = "__pipeline_score", "__pipeline_key"
 
 def _without(docs: DataFrame, ids: DataFrame, key: str, label: str) -> DataFrame:
     """``docs`` but for the ids in ``key``; the list is written first, so that the optimiser knows its size."""
-    return docs.join(saved(ids.distinct(), label), key, "left_anti").select(docs.columns)
+    return docs.join(saved(ids.distinct(), label, narrow=True), key, "left_anti").select(docs.columns)
 
 
 def _ids_repeat(docs: DataFrame) -> bool:

@@ -560,7 +560,7 @@ def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent
     """
     elements = sketches is None
     schema = "p long, rep long, linked boolean, dist double, e long, n long, size long, pos long, diff binary" if elements else "a long, b long"
-    places = saved(places.groupBy("p", "id").agg(F.max("whole").alias("whole")), "places")
+    places = saved(places.groupBy("p", "id").agg(F.max("whole").alias("whole")), "places", narrow=True)
     slices = lambda which: F.expr(f"cast(ceil(count_if({which}) / {SLICE}) AS long)")
     width = places.groupBy("p").agg(slices("whole").alias("wide"), slices("NOT whole").alias("parts"))
     # Whole members meet in blocks (negative cuts) where they are more than a slice; others are dealt to the cuts from 1 on.
@@ -569,7 +569,7 @@ def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent
     cuts = F.expr(f"CASE WHEN NOT whole THEN array(1L + pmod(xxhash64(id), parts)) WHEN wide > 1 THEN {blocks} ELSE array(0L) END")
     members = places.join(width, "p").select("id", "p", F.explode(cuts).alias("cut"), F.lit(True).alias("member"), "whole")
     pivots = members.select("p", "cut").distinct().select(F.col("p").alias("id"), "p", "cut", F.lit(False).alias("member"), F.lit(True).alias("whole"))
-    sliced = saved(pivots.unionByName(members), "sliced")
+    sliced = saved(pivots.unionByName(members), "sliced", narrow=True)
     release(places)
     places = sliced
     if not elements:
@@ -585,18 +585,18 @@ def _verified(docs: DataFrame, places: DataFrame, k: int, t: Threshold, frequent
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all linked nodes; component is the smallest node reachable.  Links: a < b, longs."""
-    edges = saved(links.select("a", "b").where("a < b").distinct(), "links")
+    edges = saved(links.select("a", "b").where("a < b").distinct(), "links", narrow=True)
     while True:
         # large-star: larger neighbours of u move to the smallest of u and its neighbours
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sides.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        large = saved(large, "large")
+        large = saved(large, "large", narrow=True)
         # small-star: smaller neighbours of u, and u, move to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("a", "b", "m")
         small = small.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b"))
-        after = saved(small.distinct(), "small")
+        after = saved(small.distinct(), "small", narrow=True)
         # A forest of stars: every node hangs on one root, and no root hangs on another.
         b = after.groupBy("b").agg(F.count("*").alias("parents"))
         loose = b.where("parents > 1").limit(1).count() or after.select("a").distinct().join(b, F.col("a") == b.b, "left_semi").limit(1).count()
@@ -654,8 +654,8 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     large = light.where("pos >= 0").select("s", F.col("id").alias("rep"), "n", "pos")
     large = large if heavy is None else large.unionByName(heavy)
     led = large.groupBy("s").agg(F.min(F.struct("pos", "rep")).alias("led")).select("s", F.col("led.rep").alias("p"))
-    large = saved(large.join(led, "s"), "large")
-    names = saved(classes.select("key", "rep"), "names")
+    large = saved(large.join(led, "s"), "large", narrow=True)
+    names = saved(classes.select("key", "rep"), "names", narrow=True)
     release(classes)
     links, balls = [], None
     if large.limit(1).count():
@@ -675,7 +675,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     done = _verified(docs, every, n, t, frequent, ids.select("doc_id", "n", "sketch"))
     for x in links:
         done = done.union(x)
-    done = saved(done.distinct(), "verified")
+    done = saved(done.distinct(), "verified", narrow=True)
     joined = components(done)
     apart, inside = done, []
     if balls is not None:

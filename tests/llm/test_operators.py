@@ -196,6 +196,34 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_narrow_tables_are_few_files(spark, monkeypatch):
+    """Links of some KB aren't a file for each shuffle partition where the session leaves these apart."""
+    from pathlib import Path
+
+    from llm import jaccard_join as jj
+
+    files, real = [], jj.saved
+
+    def counted(*args, **named):
+        back = real(*args, **named)
+        files.append(len(list(Path(back.saved_at.removeprefix("file:")).glob("part-*"))))
+        return back
+
+    monkeypatch.setattr(jj, "saved", counted)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + j) for i in range(0, 2000, 4) for j in (1, 2, 3)], "a long, b long")
+        got = {r.node: r.component for r in jj.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 4 * 4 for i in range(2000)}
+    assert len(files) >= 3 and max(files) <= 4 * spark.sparkContext.defaultParallelism
+
+
 # 2 --------------------------------------------------------------------------------------------------------------
 
 
