@@ -100,6 +100,16 @@ def words(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, start int, word string, known int")
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n, known for each document that has words: how many, and how many the dictionary has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([(d, *prose.word_counts(t)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t], "doc_id long, n long, known long")
+
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, n long, known long")
+
+
 def masks(docs: DataFrame, content_type: str = "plain") -> DataFrame:
     """Spans that are left alone (doc_id, start, finish)."""
     mask = spans.html_lang_mask if content_type == "html" else lambda t: spans.mask_of(t, content_type)

@@ -40,3 +40,9 @@ def test_words_cover_the_text(text):
 def test_words_take_the_most_characters():
     assert [w for _, w, _ in prose.segmented("我們研究問題")] == ["我們", "研究", "問題"]
     assert [w for _, w, _ in prose.segmented("文件夾", {"文件": 1, "文件夾": 1})] == ["文件夾"]
+
+
+def test_words_are_counted_without_a_row_for_each():
+    for text in ("軟件文件夾和數據的質量", "的了是 abc 用戶我們", "", "計算機運行程序" * 50):
+        words = prose.segmented(text)
+        assert prose.word_counts(text) == (len(words), sum(known for *_, known in words))
