@@ -1,5 +1,6 @@
 """Detectors over sentences, paragraphs and lines: findings by hand, in both engines, and behind a mask."""
 
+import random
 import time
 
 import duckdb
@@ -131,3 +132,21 @@ def test_long_texts(spark):
     for name, detector in DETECTORS.items():
         spark.sql(f"SELECT count(*) FROM ({_doubles(detector(SPARK, 'long_docs'))})").collect()
     assert time.time() - begun < 120
+
+
+@pytest.mark.parametrize("name", ["ai29_slogan_places", "ai32_reveal_places"])
+def test_a_reading_finds_what_sql_finds(spark, name):
+    """Sentences, brackets and questions of random texts in both engines."""
+    rnd = random.Random(5)
+    said = ["到底為什麼？", "為什麼？", "因為不是錢，而是人。", "因為愛。", "不是甲乙丙，而是丁戊己。", "越快越好的事情。", "甲乙丙；丁戊己。", "但是，", "「", "」", "“", '"', "\n\n", "\n", "問：", "# 為什麼？\n", " ", "https://a.b/ ", "。", "）"]
+    texts = [(i, "".join(rnd.choice(said) for _ in range(rnd.randint(2, 30)))) for i in range(300)]
+    got, again = both(spark, DETECTORS[name], texts, "random_docs")
+    assert got == again and len(got) > 10
+
+
+def test_sentences_are_not_dealt_out(spark):
+    """A text is cut, and its slogans are counted, where it is read."""
+    spark.createDataFrame([(1, "甲")], "doc_id long, zh string").createOrReplaceTempView("passage_docs")
+    for name, exchanges in (("ai29_slogan_places", 0), ("ai32_reveal_places", 1)):
+        plan = spark.sql(_doubles(DETECTORS[name](SPARK, masked(SPARK, "passage_docs"))))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == exchanges
