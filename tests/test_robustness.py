@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from inkstone.dialect import DUCK, SPARK
-from inkstone.operators import documents
+from inkstone.operators import detectors, documents
 from inkstone.operators.detectors import rh2
 from inkstone.operators.lexical import matches
 from inkstone.operators.shapes import SHAPES, findings
@@ -101,3 +101,12 @@ def test_signature_by_hand(spark):
     # In text 6 one gap of ten among 99 of six: a variation of 0.0659, and (0.5 - 0.0659) / 0.5 * 0.1 for it.
     got = {i: (prose, layout, score) for i, prose, layout, score in both(spark, sc1_signature, rows, ("doc_id", "prose", "layout", "score"))}
     assert got == {1: (0, 0, 0.1), 2: (1, 0, 0.2), 4: (0, 1, 0.15), 5: (0, 0, 0.1), 6: (2, 0, 0.28682), 7: (0, 0, round(0.1 + 0.2 / 3, 5)), 9: (0, 0, 0.0)}
+
+
+@pytest.mark.parametrize("name", ["rh2_ending_monotony"])
+def test_abbreviations_behind_ideographs(spark, name):
+    """An abbreviation begins a word behind an ideograph or an accented letter too."""
+    texts = ["軟件Mr. Wang去了。", "é No. X了。Dr. 好了。好Dr. 好了。", "了。軟件vs. A了。人了。" * 4, "甲乙了。丙丁了。好Mr. 好了了。戊己了。", "aNo. 好。xMr. Wang。_Dr. 好。"]
+    rows = [(i, x) for i, x in enumerate(texts * 2)] + [(99, "甲乙丙。" * 9 + "丁戊Dr. 己庚。" + "甲乙。丙丁。好St. 好。")]
+    columns = {"seg3_paragraph_sentences": "doc_id para n", "sc5_sentence_variability": "doc_id n deviation", "rh2_ending_monotony": "doc_id para particle first_ord n", "rh3_staccato": "doc_id para first_ord n"}
+    assert both(spark, (documents.OPS | detectors.OPS)[name], rows, columns[name].split())
