@@ -103,7 +103,7 @@ def test_signature_by_hand(spark):
     assert got == {1: (0, 0, 0.1), 2: (1, 0, 0.2), 4: (0, 1, 0.15), 5: (0, 0, 0.1), 6: (2, 0, 0.28682), 7: (0, 0, round(0.1 + 0.2 / 3, 5)), 9: (0, 0, 0.0)}
 
 
-@pytest.mark.parametrize("name", ["rh2_ending_monotony", "rh3_staccato", "sc5_sentence_variability"])
+@pytest.mark.parametrize("name", ["seg3_paragraph_sentences", "sc5_sentence_variability", "rh2_ending_monotony", "rh3_staccato"])
 def test_abbreviations_behind_ideographs(spark, name):
     """An abbreviation begins a word behind an ideograph or an accented letter too."""
     texts = ["軟件Mr. Wang去了。", "é No. X了。Dr. 好了。好Dr. 好了。", "了。軟件vs. A了。人了。" * 4, "甲乙了。丙丁了。好Mr. 好了了。戊己了。", "aNo. 好。xMr. Wang。_Dr. 好。"]
