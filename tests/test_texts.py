@@ -14,7 +14,7 @@ from inkstone.queries import QUERIES
 from inkstone.sources.zh_view import SLOTS, ZH_SQL, zh_text
 
 #: Queries whose findings are placed without a window over all of them.
-PLACED = "sc6_translation_score sc7_domain_thresholds exc18_masked_findings fx6_carried_state fx5_convergence ai29_slogan_places ort10_ellipsis ort1_halfwidth_marks tr18_phase_dedup ort11_space_by_fullwidth_mark".split()
+PLACED = "sc6_translation_score sc7_domain_thresholds exc18_masked_findings fx6_carried_state fx5_convergence ai29_slogan_places ort10_ellipsis ort1_halfwidth_marks tr18_phase_dedup ort11_space_by_fullwidth_mark ort3_colon".split()
 
 
 def texts(n: int) -> list[str]:
