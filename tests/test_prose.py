@@ -46,3 +46,17 @@ def test_words_are_counted_without_a_row_for_each():
     for text in ("軟件文件夾和數據的質量", "的了是 abc 用戶我們", "", "計算機運行程序" * 50):
         words = prose.segmented(text)
         assert prose.word_counts(text) == (len(words), sum(known for *_, known in words))
+
+
+def test_equal_pieces_are_compared_once(monkeypatch):
+    compared = []
+
+    class Counted(prose.SequenceMatcher):
+        def __init__(self, *args, **more):
+            compared.append(args)
+            super().__init__(*args, **more)
+
+    monkeypatch.setattr(prose, "SequenceMatcher", Counted)
+    text = "新軟件甲，" * 500
+    assert prose.edits(text, text.replace("軟件", "軟體")) == {(5 * i + 2, 5 * i + 3, "體") for i in range(500)}
+    assert len(compared) <= 1
