@@ -1,3 +1,5 @@
+import re
+
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -60,3 +62,26 @@ def test_equal_pieces_are_compared_once(monkeypatch):
     text = "新軟件甲，" * 500
     assert prose.edits(text, text.replace("軟件", "軟體")) == {(5 * i + 2, 5 * i + 3, "體") for i in range(500)}
     assert len(compared) <= 1
+
+
+_H, _C = prose.HAN_CLASS, prose.CONTEXT_CLASS
+#: The passes as their rules say them.
+PLAIN = {
+    "comma": rf"(?<={_C}),(?!\d)|(?<!\d),(?={_C})", "stop": rf"(?<={_C})\.(?![\w.])(?<!\.\.)", "question": rf"(?<={_C})\?", "exclamation": rf"(?<={_C})!(?!\[)", "semicolon": rf"(?<={_C});",
+    "colon": rf"(?<={_C}):(?!\d)", "parentheses": rf"(?<={_C})\([^()\n]{{1,512}}\)(?={_C})", "range": rf"(?<=[\d{_H[1:-1]}])~(?={_H})|(?<={_H})~(?=\d)|(?<={_H})-(?={_H})",
+    "ellipsis": rf"(?<={_C})\.{{3,}}|\.{{3,}}(?={_C})|。{{3,}}", "repeated unit": rf"({_H}{{2,3}})\1", "repeated word": r"(?i)\b([A-Za-z0-9]{3,})(?:[ \t]+|[ \t]*\n[ \t]*)\1\b", "spaced acronym": r"\b[A-Z](?: [A-Z]){2,}\b",
+}
+
+
+@given(st.text(alphabet="甲乙。，,.;:?!~-()[1 \nAb"))
+def test_passes_find_what_their_rules_say(text):
+    for name, _, _, pattern, _ in prose.PASSES:
+        if name in PLAIN:
+            assert [m.span() for m in pattern.finditer(text)] == [m.span() for m in re.finditer(PLAIN[name], text)]
+    if re.search(PLAIN["repeated word"], text):
+        assert prose._may_repeat(text)
+
+
+def test_a_text_is_not_searched_for_what_it_cannot_hold():
+    assert not prose._may_repeat("one two three") and prose._may_repeat("one One")
+    assert not prose._may_hold_case("git hub") and prose._may_hold_case("GITHUB")
