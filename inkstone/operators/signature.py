@@ -14,7 +14,7 @@ from collections.abc import Callable
 from ..dialect import Spark
 from ..plans.registered import Names
 from . import contexts, detectors, documents, reports, shapes
-from .documents import signals
+from .documents import sentence_families, signals
 
 _OPS = contexts.OPS | detectors.OPS | documents.OPS | reports.OPS | shapes.OPS
 #: Families by the operator whose finding shows them; layout, and what is no evidence, apart.
@@ -32,12 +32,24 @@ LEAST_CHARS = 500
 
 def families(d: Spark, t: Names) -> str:
     """(doc_id, family, side): each family that a text shows."""
+    if d.name == "spark":
+        # The detectors of one reading are asked at once.
+        at_once = [n for n in PROSE if n in shapes.SHAPES]
+        named = "CASE detector " + " ".join(f"WHEN '{n}' THEN '{n.split('_', 1)[1]}'" for n in at_once) + " END"
+        spoken = ("ai19_section_closers", "ai29_repeated_slogan", "ai30_rhetorical_question", "ai32_question_reveal", "ai37_stock_conclusion")
+        rest = [(n, "prose") for n in PROSE if n not in at_once and n not in spoken] + [(n, "layout") for n in LAYOUT] + [(n, "none") for n in NO_EVIDENCE]
+        each = [f"SELECT doc_id, {named} AS family, 'prose' AS side FROM {shapes.detected(t.zh, at_once)}", f"SELECT doc_id, substring(name, instr(name, '_') + 1) AS family, 'prose' AS side FROM {sentence_families(d, t)}"] + [f"SELECT doc_id, '{n.split('_', 1)[1]}' AS family, '{side}' AS side FROM ({_OPS[n](d, t)})" for n, side in rest]
+        return f"(SELECT DISTINCT doc_id, family, side FROM ({' UNION ALL '.join(each)}))"
     sides = [(n, "prose") for n in PROSE] + [(n, "layout") for n in LAYOUT] + [(n, "none") for n in NO_EVIDENCE]
     return "(" + " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{n.split('_', 1)[1]}' AS family, '{side}' AS side FROM ({_OPS[n](d, t)})" for n, side in sides) + ")"
 
 
 def loose(d: Spark, t: Names) -> str:
     """(doc_id, n): findings of machine style without a family."""
+    if d.name == "spark":
+        at_once = [n for n in LOOSE if n in shapes.SHAPES]
+        each = [f"SELECT doc_id FROM {shapes.detected(t.zh, at_once)}"] + [f"SELECT doc_id FROM ({_OPS[n](d, t)})" for n in LOOSE if n not in at_once]
+        return f"(SELECT doc_id, count(*) AS n FROM ({' UNION ALL '.join(each)}) GROUP BY doc_id)"
     return "(SELECT doc_id, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id FROM ({_OPS[n](d, t)})" for n in LOOSE) + ") GROUP BY doc_id)"
 
 

@@ -10,7 +10,7 @@ from inkstone.functions import matching
 from inkstone.functions.chars import URL
 from inkstone.operators import shapes
 from inkstone.plans.registered import _doubles, _long_sums
-from inkstone.queries import QUERIES
+from inkstone.queries import ORACLE_SQL, QUERIES
 from inkstone.sources.zh_view import SLOTS, ZH_SQL, zh_text
 
 #: Queries whose findings are placed without a window over all of them.
@@ -63,3 +63,18 @@ def test_no_window_over_findings(spark, tmp_path, name):
     plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     # Rules have a window of their own.
     assert not any("Window" in line and "rule_id" not in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name, readings", [("sc1_structural_families", 19)])
+def test_families_of_few_readings(spark, tmp_path, name, readings):
+    """Against the SQL, on texts that show families; detectors share readings."""
+    words = [w for w, _ in SLOTS]
+    rnd = random.Random(11)
+    rows = [(i, " ".join(rnd.choice(words + ["word", "Dr."]) for _ in range(rnd.randint(1, 150)))) for i in range(80)] + [(80, ""), (81, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = ", ".join(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"SELECT {columns} FROM ({ORACLE_SQL[name]})").fetchall())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= readings
