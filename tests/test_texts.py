@@ -65,7 +65,7 @@ def test_no_window_over_findings(spark, tmp_path, name):
     assert not any("Window" in line and "rule_id" not in line for line in plan.splitlines())
 
 
-@pytest.mark.parametrize("name, readings", [("sc1_structural_families", 19)])
+@pytest.mark.parametrize("name, readings", [("sc1_structural_families", 19), ("sc1_signature", 24)])
 def test_families_of_few_readings(spark, tmp_path, name, readings):
     """Against the SQL, on texts that show families; detectors share readings."""
     words = [w for w, _ in SLOTS]
